@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .arrays import LOWER, SPACE, Words, words
 from .common import per_slice
@@ -193,22 +194,26 @@ def _has_letter(column: str) -> Column:
     return F.coalesce(F.col(column).rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """``id_col``, ``lang_pred``, ``score`` (share of its letters) and ``n_spans`` of every row."""
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The columns ``keep`` of every row, with ``lang_pred``, ``score`` (share of its letters) and ``n_spans``; kept columns of those names are replaced."""
     names = [*model.languages, "und"]
+    found = ("lang_pred", "score", "n_spans")
+    keep = tuple(c for c in keep if c not in found)
 
     def step(rows, data, offsets):
         w, label = label_words(model, data, offsets, penalty)
         best, share = _by_document(model, w, data, label)
-        und = ~rows.column(2).to_numpy(zero_copy_only=False).astype(bool) | (not model.languages)
+        und = ~rows.column(rows.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool) | (not model.languages)
         best = np.where(und, len(names) - 1, best)
         turns = np.ones(len(label))
         turns[1:] = (label[1:] != label[:-1]) | (w.doc[1:] != w.doc[:-1])
         spans = np.bincount(w.doc, turns, minlength=w.docs).astype(np.int64)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array([names[i] for i in best], pa.string()), pa.array(np.where(und, 0.0, share)), pa.array(np.where(und, 0, spans))], names=[id_col, "lang_pred", "score", "n_spans"])
+        made = (pa.array([names[i] for i in best], pa.string()), pa.array(np.where(und, 0.0, share)), pa.array(np.where(und, 0, spans)))
+        return pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), *made], names=[*keep, *found])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("text"), _has_letter(text_col).alias("spoken")).mapInArrow(per_slice(step), f"{id_col} {kind}, lang_pred string, score double, n_spans long")
+    schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("n_spans", "long")
+    columns = [F.col(c) for c in keep] + [F.col(text_col).alias("_text"), _has_letter(text_col).alias("_spoken")]
+    return docs.select(*columns).mapInArrow(per_slice(step, "_text"), schema)
 
 
 def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:

@@ -13,9 +13,8 @@ from checkframe.llm.storage import shared_dir
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go (null text, or text with no letter); the others get the language found as ``lang``."""
-    model = language.learn(docs)
-    found = language.predict(docs, model, id_col="doc_id").where("lang_pred <> 'und'")
-    return docs.join(found.select("doc_id", "lang_pred"), "doc_id").withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    found = language.predict(docs, language.learn(docs), keep=tuple(docs.columns)).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
 STAGES = [("language_id", identify_language)]
