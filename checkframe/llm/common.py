@@ -65,13 +65,22 @@ def platt(margin: np.ndarray, label: np.ndarray, rounds: int = 100) -> tuple[flo
         rate = (n1 + 1) / (n1 + n0 + 2)
         return 1.0, float(np.log(rate / (1 - rate)))
     target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([margin, np.ones_like(margin)], axis=1)
-    beta = np.array([1.0, 0.0])
+    x = np.stack([margin, np.ones_like(margin)], axis=1).astype(np.float64)
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float((np.logaddexp(0, z) - target * z).sum())
+
+    beta, now = np.zeros(2), None
     for _ in range(rounds):
         p = sigmoid(x @ beta)
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
         step = np.linalg.solve(hessian, x.T @ (p - target))
-        beta -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        now = loss(beta)
+        size = 1.0
+        while size > 1e-6 and loss(beta - size * step) > now:
+            size /= 2
+        beta = beta - size * step
+        if np.abs(size * step).max() < 1e-8 or size <= 1e-6:
             break
     return float(beta[0]), float(beta[1])
