@@ -14,7 +14,7 @@ _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[list(range(33, 48)) + list(range(58, 65)) + list(range(91, 97)) + list(range(123, 127))] = True
 _SEPARATOR = _PUNCT | SPACE
 #: The same bytes with every ASCII mark made a blank, for words without their marks.
-_BARE = np.where(_SEPARATOR, 32, np.arange(256)).astype(np.uint8)
+BARE = np.where(_SEPARATOR, 32, np.arange(256)).astype(np.uint8)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def indicators(data: np.ndarray, offsets: np.ndarray, *, bare: bool = False) ->
     "same", the trigram "same same", and unigrams and bigrams of word shapes.
     ``bare``: unigrams of words without marks only.
     """
-    w = words(_BARE[data] if bare else data, offsets)
+    w = words(BARE[data] if bare else data, offsets)
     if len(w.hashes) == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none

@@ -23,15 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import label_model
-from .arrays import words
+from .arrays import distinct, words
 from .common import hashed_below, labelled, per_slice, platt, sample_fraction, sigmoid
-from .ngrams import _BARE, BUCKETS, _bucket, indicators
+from .ngrams import BARE
 
-FIT_ROWS = 6000
+#: Expected rows of the sample that the linear classifier is fitted on.
+FIT_ROWS = 16000
 #: The odds of a mined word are at least so many times the other class's.  Toxic rows
 #: are dealt into 64 cells by their smallest word hash, which copies and near copies
 #: share; the word is in so many cells at least, so words of a few copied texts don't count.
 MINED_ODDS, MINED_CELLS = 8.0, 12
+#: The lexicon that is mined holds so many words at most, the most frequent ones.
+MINED_WORDS = 5000
 MINED_VOTERS = 3
 
 # Lexicons of general insults by kind, several languages each.
@@ -48,35 +51,30 @@ def _hash_of(lexicon: str) -> np.ndarray:
     return np.unique(words(data, np.array([0, len(data)])).hashes)
 
 
-def _hits(w, hashes: np.ndarray) -> np.ndarray:
-    """Words of each document that are in a sorted list of hashes."""
-    at = np.searchsorted(hashes, w.hashes)
-    found = np.zeros(len(w.hashes), dtype=bool)
-    inside = at < len(hashes)
-    found[inside] = hashes[at[inside]] == w.hashes[inside]
-    return np.bincount(w.doc[found], minlength=w.docs)
+def _lookup(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each hash among the sorted ``keys``, or -1."""
+    if len(keys) == 0:
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, at, -1)
 
 
 def voters(mined: np.ndarray):
-    """A function from a slice to (documents, voters) of -1, 0, 1; ``mined`` has the voter of each bucket, or -1."""
+    """A function from a slice to (documents, voters) of -1, 0, 1; ``mined`` has sorted word hashes, dealt to the mined voters in turn."""
     lexicons = [_hash_of(x) for x in LEXICONS.values()]
     every = np.unique(np.concatenate(lexicons))
 
     def vote(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        w = words(_BARE[data], offsets)
+        w = words(BARE[data], offsets)
         n = np.diff(w.first)
-        hits = [_hits(w, x) for x in lexicons]
+        hits = [np.bincount(w.doc[_lookup(w.hashes, x) >= 0], minlength=w.docs) for x in lexicons]
         out = [np.where(h > 0, 1, -1) for h in hits]
         clean = sum(hits) == 0
-        group = mined[_bucket(w.hashes)]
-        by_group = np.stack([np.bincount(w.doc[group == k], minlength=w.docs) for k in range(MINED_VOTERS)], axis=1)
+        group = _lookup(w.hashes, mined)
+        by_group = np.stack([np.bincount(w.doc[(group >= 0) & (group % MINED_VOTERS == k)], minlength=w.docs) for k in range(MINED_VOTERS)], axis=1)
         out += [np.where(by_group[:, k] > 0, 1, np.where(n > 0, 0, -1)) for k in range(MINED_VOTERS)]
         # pattern: an insult within a few words of another one, against none at all
-        at = np.searchsorted(every, w.hashes)
-        flag = np.zeros(len(w.hashes), dtype=bool)
-        ok = at < len(every)
-        flag[ok] = every[at[ok]] == w.hashes[ok]
-        flag |= group >= 0
+        flag = (_lookup(w.hashes, every) >= 0) | (group >= 0)
         places = np.flatnonzero(flag)
         near = np.zeros(w.docs, dtype=bool)
         if len(places) > 1:
@@ -91,53 +89,50 @@ def voters(mined: np.ndarray):
 
 @dataclass
 class Model:
+    #: sorted hashes of the words that have a weight
+    keys: np.ndarray
     weight: np.ndarray
     bias: float
     slope: float
     offset: float
     labels: label_model.LabelModel | None = None
 
-    def margin(self, doc: np.ndarray, bucket: np.ndarray, n_docs: int) -> np.ndarray:
-        return np.bincount(doc, self.weight[bucket], minlength=n_docs) + self.bias
+    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        w = words(BARE[data], offsets)
+        at = _lookup(w.hashes, self.keys)
+        seen = at >= 0
+        key = np.unique(w.doc[seen] * max(1, len(self.keys)) + at[seen])
+        doc, word = np.divmod(key, max(1, len(self.keys)))
+        return np.bincount(doc, self.weight[word], minlength=w.docs) + self.bias
 
 
 def _mine(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Voter of each bucket (-1: none) and labelled rows by class; counts cover every labelled row."""
-
-    def count(batches):
-        total, seen, cells = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2, dtype=np.int64), np.zeros(BUCKETS, dtype=np.uint64)
-
-        def add(rows, data, offsets):
-            y = (rows.column(0).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
-            doc, bucket = indicators(data, offsets, bare=True)
-            np.add(total, np.bincount(y[doc] * BUCKETS + bucket, minlength=2 * BUCKETS).reshape(2, BUCKETS), out=total)
-            np.add(seen, np.bincount(y, minlength=2), out=seen)
-            w = words(_BARE[data], offsets)
-            bit = np.zeros(w.docs, dtype=np.uint64)
-            spoken = np.flatnonzero(np.diff(w.first) > 0)
-            if len(spoken):
-                bit[spoken] = np.uint64(1) << (np.minimum.reduceat(w.hashes, w.first[spoken]) & np.uint64(63))
-            toxic = y[doc] == 1
-            np.bitwise_or.at(cells, bucket[toxic], bit[doc[toxic]])
-
-        for _ in per_slice(add)(batches):
-            pass
-        at = np.flatnonzero(total.sum(axis=0))
-        columns = (np.r_[at, BUCKETS], np.r_[total[0][at], seen[0]], np.r_[total[1][at], seen[1]], np.r_[cells[at], np.uint64(0)].view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "n0", "n1", "cells"])
-
-    counts, spread = np.zeros((2, BUCKETS + 1)), np.zeros(BUCKETS + 1, dtype=np.int64)
-    summed = known.mapInArrow(count, "bucket long, n0 long, n1 long, cells long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_count(F.bit_or("cells")).alias("cells"))
-    for row in summed.toPandas().itertuples(index=False):
-        counts[:, row.bucket], spread[row.bucket] = (row.n0, row.n1), row.cells
-    n = counts[:, BUCKETS]
-    mined = np.full(BUCKETS, -1, dtype=np.int8)
-    if n.min() > 0:
-        p = (counts[:, :BUCKETS] + 0.5) / (n[:, None] + 1)
-        odds = (p[1] / (1 - p[1])) / (p[0] / (1 - p[0]))
-        take = np.flatnonzero((spread[:BUCKETS] >= MINED_CELLS) & (odds >= MINED_ODDS))
-        mined[take] = np.arange(len(take)) % MINED_VOTERS
-    return mined, n
+    """Sorted hashes of mined words and labelled rows by class; counts cover every labelled row."""
+
+    def count(rows, data, offsets):
+        y = (rows.column(0).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
+        w = words(BARE[data], offsets)
+        cell = np.zeros(w.docs, dtype=np.uint64)
+        spoken = np.flatnonzero(np.diff(w.first) > 0)
+        if len(spoken):
+            cell[spoken] = np.uint64(1) << (np.minimum.reduceat(w.hashes, w.first[spoken]) & np.uint64(63))
+        hashes, doc = distinct(w.hashes, w.doc)
+        keys, place = np.unique(hashes, return_inverse=True)
+        n = np.bincount(place * 2 + y[doc], minlength=2 * len(keys)).reshape(len(keys), 2)
+        cells = np.zeros(len(keys), dtype=np.uint64)
+        toxic = y[doc] == 1
+        np.bitwise_or.at(cells, place[toxic], cell[doc[toxic]])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), n[:, 0], n[:, 1], cells.view(np.int64))], names=["word", "n0", "n1", "cells"])
+
+    by_class = {r["y"]: r["count"] for r in known.groupBy((F.col("_label") > 0).cast("int").alias("y")).count().collect()}
+    n = np.array([by_class.get(0, 0), by_class.get(1, 0)], dtype=np.float64)
+    if n.min() == 0:
+        return np.zeros(0, dtype=np.uint64), n
+    summed = known.mapInArrow(per_slice(count), "word long, n0 long, n1 long, cells long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("cells").alias("cells"))
+    p1, p0 = (F.col("n1") + 0.5) / (n[1] + 1), (F.col("n0") + 0.5) / (n[0] + 1)
+    telling = summed.where((F.bit_count("cells") >= MINED_CELLS) & (p1 / (1 - p1) >= MINED_ODDS * p0 / (1 - p0)))
+    found = telling.orderBy(F.desc("n1"), "word").limit(MINED_WORDS).select("word").toPandas()["word"].to_numpy(dtype=np.int64)
+    return np.sort(found.view(np.uint64)), n
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
@@ -164,39 +159,40 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
     total = sum(r["n"] for r in seen)
     prior = float((n[1] + 1) / (n.sum() + 10))
     if total == 0:
-        return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, 1.0, float(np.log(prior / (1 - prior))))
+        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, 1.0, float(np.log(prior / (1 - prior))))
     votes = np.stack([np.array([r["code"] for r in seen]) // 3**k % 3 - 1 for k in range(n_voters)], axis=1)
     model = label_model.fit(votes, np.array([r["n"] for r in seen], dtype=np.float64), prior, pair_voters=True, fixed_prior=True)
 
     def sparse(rows, data, offsets):
-        doc, bucket = indicators(data, offsets, bare=True)
-        ends = np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))
-        cells = [x.astype(np.int32).tobytes() for x in np.split(bucket, ends[:-1])]
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.posterior(vote(data, offsets))), pa.array(cells, pa.binary())], names=["y", "p", "cells"])
+        w = words(BARE[data], offsets)
+        hashes, doc = distinct(w.hashes, w.doc)
+        ends = np.cumsum(np.bincount(doc, minlength=w.docs))
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.posterior(vote(data, offsets))), pa.array([x.tobytes() for x in np.split(hashes, ends[:-1])], pa.binary())], names=["y", "p", "words"])
 
     side = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label).cast("int").alias("y"))
     part = docs.where(hashed_below(id_col, sample_fraction(total, fit_rows)))
     part = part.join(side, part[id_col] == side["_label_id"], "left").select("y", "text")
-    got = part.mapInArrow(per_slice(sparse), "y int, p double, cells binary").toPandas()
-    cells = [np.frombuffer(x, dtype=np.int32) for x in got["cells"]]
-    weight, bias = logistic(cells, got["p"].to_numpy())
-    fitted = Model(weight, bias, 1.0, 0.0, model)
-    doc, bucket = np.repeat(np.arange(len(cells)), [len(x) for x in cells]), np.concatenate(cells) if cells else np.zeros(0, dtype=np.int32)
-    margin = fitted.margin(doc, bucket, len(cells))
+    got = part.mapInArrow(per_slice(sparse), "y int, p double, words binary").toPandas()
+    rows = [np.frombuffer(x, dtype=np.uint64) for x in got["words"]]
+    vocabulary, count = np.unique(np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint64), return_counts=True)
+    vocabulary = vocabulary[count >= 3]
+    cells = [x[x >= 0] for x in (_lookup(r, vocabulary) for r in rows)]
+    weight, bias = logistic(cells, got["p"].to_numpy(), len(vocabulary))
+    margin = np.array([weight[x].sum() + bias for x in cells])
     has = got["y"].notna().to_numpy()
-    if has.sum() >= 20:
-        fitted.slope, fitted.offset = platt(margin[has], (got["y"].to_numpy()[has] > 0).astype(float))
-    return fitted
+    slope, offset = platt(margin[has], (got["y"].to_numpy()[has] > 0).astype(float)) if has.sum() >= 20 else (1.0, 0.0)
+    used = weight != 0
+    return Model(vocabulary[used], weight[used], bias, slope, offset, model)
 
 
-def logistic(cells: list[np.ndarray], target: np.ndarray, *, l1: float = 6.0, l2: float = 1.0, rate: float = 0.3, rounds: int = 8, seed: int = 3) -> tuple[np.ndarray, float]:
+def logistic(cells: list[np.ndarray], target: np.ndarray, size: int, *, l1: float = 2.0, l2: float = 0.05, rate: float = 1.0, rounds: int = 8, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model with soft targets on indicator rows.
 
     Follow-the-regularised-leader steps with an L1 term: words whose evidence stays
     below it keep weight 0, so long clean texts gather no noise.
     """
     rng = np.random.default_rng(seed)
-    z, n, w = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     mean = float(np.clip(target.mean(), 1e-3, 1 - 1e-3)) if len(target) else 0.5
     bias = float(np.log(mean / (1 - mean)))
     for _ in range(rounds):
@@ -208,17 +204,16 @@ def logistic(cells: list[np.ndarray], target: np.ndarray, *, l1: float = 6.0, l2
             z[at], n[at] = zi, grown
             w[at] = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((1.0 + np.sqrt(grown)) / rate + l2))
             bias -= 0.02 * err
-    return w.astype(np.float32), float(bias)
+    return w, float(bias)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` (0 to 1) of every row."""
 
+    weights = Model(model.keys, model.weight, model.bias, model.slope, model.offset)
+
     def step(rows, data, offsets):
-        doc, bucket = indicators(data, offsets, bare=True)
-        margin = weights.margin(doc, bucket, len(offsets) - 1)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(sigmoid(weights.slope * margin + weights.offset))], names=[id_col, "score"])
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(sigmoid(weights.slope * weights.margins(data, offsets) + weights.offset))], names=[id_col, "score"])
 
-    weights = Model(model.weight, model.bias, model.slope, model.offset)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(per_slice(step), f"{id_col} {kind}, score double")
