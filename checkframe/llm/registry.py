@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, packing, quality_classifier, quality_rules, sharding, toxicity
+from . import decontamination, language, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
 from .common import fold, table
 
 
@@ -19,6 +19,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
@@ -53,8 +57,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_language_id, op3_packing, op4_decontamination, op5_sharding, op7_toxicity, op8_quality_rules, op10_quality_classifier)}
+    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op7_toxicity, op8_quality_rules, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontamination.ORACLE}
+    return {"op2_near_dedup": near_dedup.ORACLE, "op4_decontamination": decontamination.ORACLE}
