@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
+from . import decontamination, language, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
 from .common import fold, table
 
 
@@ -49,6 +49,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scoring.lm_scores(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, public_tokenizers.path("word_bpe_49k.json"), 49_408)
+    return found.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.learn(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"), label="quality")
@@ -57,7 +62,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op7_toxicity, op8_quality_rules, op10_quality_classifier)}
+    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op7_toxicity, op8_quality_rules, op9_lm_scoring, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
