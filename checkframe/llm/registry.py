@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
+from . import decontamination, language, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
 from .common import fold, table
 
 
@@ -37,6 +37,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"), label="toxic")
@@ -62,8 +67,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op7_toxicity, op8_quality_rules, op9_lm_scoring, op10_quality_classifier)}
+    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_lm_scoring, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": near_dedup.ORACLE, "op4_decontamination": decontamination.ORACLE}
+    return {"op2_near_dedup": near_dedup.ORACLE, "op4_decontamination": decontamination.ORACLE, "op6_line_dedup": line_dedup.ORACLE}

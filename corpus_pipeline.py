@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checkframe.llm import language
+from checkframe.llm import decontamination, language, line_dedup, near_dedup, packing
 from checkframe.llm.storage import shared_dir
 
 
@@ -17,7 +18,43 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
-STAGES = [("language_id", identify_language)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document or line has go; documents that lose all they had go with them."""
+    found = line_dedup.dedup_lines(docs)
+    kept = found.where("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays; documents without an id stay."""
+    kept = near_dedup.near_duplicates(docs, n=5, percent=80).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    ids = kept.select(F.col("doc_id").alias("_id"))
+    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    if kept.where("doc_id IS NOT NULL AND rows > 1").isEmpty():
+        return out
+    return out.where("doc_id IS NULL").unionByName(out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold too much of the benchmark go."""
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+    tie = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (tie == found["_tie"]), "left_anti")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of 2048 tokens, one row a piece, with its ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
 #: DuckDB SQL for the rows of ``run``; language models and packing are beyond SQL.
 ORACLE_SQL = None
