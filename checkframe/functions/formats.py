@@ -84,7 +84,7 @@ def _email(c: Column, p: dict) -> Column:
 
 
 def _datetime(c: Column, p: dict) -> Column:
-    day = F.try_to_date(F.substring(c, 1, 10), F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
     return c.rlike(rf"^(?:{DATETIME})\z") & day.isNotNull() & (F.substring(c, 1, 4) != "0000")
 
 
@@ -127,7 +127,7 @@ def _issn(c: Column, p: dict) -> Column:
 
 
 def _luhn(c: Column) -> Column:
-    return c.rlike(r"^[0-9]{2,}\z") & F.coalesce(F.luhn_check(c), F.lit(False))
+    return c.rlike(r"^[0-9]{2,}\z") & F.coalesce(F.call_function("luhn_check", c), F.lit(False))
 
 
 def _credit_card(c: Column, p: dict) -> Column:
