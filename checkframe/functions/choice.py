@@ -54,6 +54,11 @@ def _has_nan(x: Column, dtype: T.DataType) -> Column:
     return F.coalesce(F.isnan(x), F.lit(False)) if isinstance(dtype, T.FloatType | T.DoubleType) else F.lit(False)
 
 
+def _zero(x: Column, dtype: T.DataType) -> Column:
+    """Negative zero as zero."""
+    return x + F.lit(0.0) if isinstance(dtype, T.FloatType | T.DoubleType) else x
+
+
 def _unique(v: Value, p: dict) -> Column:
     if isinstance(v.dtype, T.MapType):
         items, of = F.map_values(v.column), v.dtype.valueType
@@ -65,7 +70,7 @@ def _unique(v: Value, p: dict) -> Column:
     if not paths:
         if kind_of(of) in ("vec", "map", "other"):
             raise ConfigError("unique: elements are not plain values")
-        return _distinct(F.filter(items, lambda x: ~_has_nan(x, of)))
+        return _distinct(F.transform(F.filter(items, lambda x: ~_has_nan(x, of)), lambda x: _zero(x, of)))
     parts = [_at(of, F.col("_"), path)[1] for path in paths]
 
     def nan(x: Column) -> Column:
@@ -73,7 +78,7 @@ def _unique(v: Value, p: dict) -> Column:
 
     # an element that is not there has no key
     kept = F.filter(items, lambda x: x.isNotNull() & ~nan(x))
-    return _distinct(F.transform(kept, lambda x: F.struct(*[_at(of, x, path)[0].alias(f"k{i}") for i, path in enumerate(paths)])))
+    return _distinct(F.transform(kept, lambda x: F.struct(*[_zero(*_at(of, x, path)).alias(f"k{i}") for i, path in enumerate(paths)])))
 
 
 RULES = (
