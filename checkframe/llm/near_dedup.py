@@ -9,8 +9,9 @@ estimates their similarity, and links are confirmed on the full sets.
 
 Equal sets are one class from the start.  In a bucket, members are first compared
 with one representative; only members that end in different components are compared
-further, at last each with every member outside its component, so large groups of
-near copies never give all their pairs and no link between components is left out.
+further: in small buckets by pairs, in large ones by blocks of full sets inside tasks,
+which give out links only.  So large groups of near copies never give all their pairs
+and no link between components is left out.
 
 Defined cases: text without words (null, empty) has the empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; rows without an id are
@@ -39,6 +40,13 @@ _SHIFT = 1000
 #: Candidates below the threshold by more than this are not verified; six standard errors of the estimate at 0.8.
 MARGIN = 0.15
 
+#: Members of a bucket up to which different components are compared by pairs of rows.
+SMALL_BUCKET = 32
+#: Documents of a block on either side of a comparison in larger ones.
+QUERY_BLOCK, MEMBER_BLOCK = 512, 2048
+#: Cells of a block's incidence matrix.
+_CELLS = 8 << 20
+
 _U = np.uint64
 
 
@@ -180,6 +188,72 @@ def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, n:
     return sides.select("a", "b", "ta", "tb").mapInArrow(step, f"a {kind}, b {kind}").distinct()
 
 
+def _block_links(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
+    """One link for each query and other component that it has a link with; columns id, label, set (sorted hashes)."""
+    qs, ms = ([np.frombuffer(x, dtype=_U) for x in t["set"].to_pylist()] for t in (queries, members))
+    q_label, m_label = (np.array(t["label"].to_pylist(), dtype=object) for t in (queries, members))
+    m_size = np.array([len(x) for x in ms])
+    a, b = [], []
+    at = 0
+    while at < len(qs):
+        end, total = at, 0
+        while end < len(qs) and (end == at or (end - at + 1) * (total + len(qs[end])) <= _CELLS):
+            total += len(qs[end])
+            end += 1
+        size = np.array([len(x) for x in qs[at:end]])
+        universe, place = np.unique(np.concatenate(qs[at:end]), return_inverse=True)
+        q = np.zeros((end - at, len(universe)), dtype=np.float32)
+        q[np.repeat(np.arange(end - at), size), place] = 1
+        step = max(1, _CELLS // max(1, len(universe)))
+        for k in range(0, len(ms), step):
+            part = m_size[k : k + step]
+            h = np.concatenate(ms[k : k + step])
+            where = np.minimum(np.searchsorted(universe, h), len(universe) - 1)
+            hit = universe[where] == h
+            m = np.zeros((len(part), len(universe)), dtype=np.float32)
+            m[np.repeat(np.arange(len(part)), part)[hit], where[hit]] = 1
+            both = q @ m.T
+            union = size[:, None] + part[None, :] - both
+            linked = (100 * both >= percent * union) & (q_label[at:end, None] != m_label[None, k : k + step])
+            for i in np.flatnonzero(linked.any(axis=1)):
+                _, first = np.unique(m_label[k : k + step][linked[i]].astype(str), return_index=True)
+                a += [at + i] * len(first)
+                b += list(k + np.flatnonzero(linked[i])[first])
+        at = end
+    return pa.table({"a": queries["id"].take(pa.array(a, pa.int64())), "b": members["id"].take(pa.array(b, pa.int64()))})
+
+
+def crowd_links(crowd: DataFrame, labels: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Links between different components within crowds of near copies.
+
+    ``crowd`` has the members of large buckets with one representative each; buckets
+    that share members are one crowd.  All documents outside a crowd's main component
+    are compared with all its members, block by block, on full sets.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    of = components(crowd.select(F.col("id").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("label", "crowd")
+    member = cut(of.join(labels, "id", "left").select("id", "crowd", F.coalesce("label", "id").alias("label")))
+    sizes = member.groupBy("crowd", "label").agg(F.count("*").alias("c")).groupBy("crowd").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("g"), F.max("c").alias("most")).where("most < g")
+    member = cut(member.join(sizes, "crowd"))
+
+    def sets(rows, data, offsets):
+        h, doc = distinct(*shingles(words(data, offsets), n))
+        ends = np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))
+        found = [x.tobytes() for x in np.split(h, ends[:-1])]
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.binary())], names=["id", "set"])
+
+    ids = member.select("id")
+    ids = F.broadcast(ids) if member.count() <= BROADCAST_ROWS else ids
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    full = cut(texts.mapInArrow(per_slice(sets), f"id {kind}, set binary").dropDuplicates(["id"]).join(member, "id"))
+    n_query, n_member = (F.ceil(x / size).cast("int") for x, size in ((F.col("g") - F.col("most"), QUERY_BLOCK), (F.col("g"), MEMBER_BLOCK)))
+    block = F.xxhash64("id")
+    left = full.where("label <> main").withColumn("qb", F.pmod(block, n_query).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), n_member - 1)))
+    right = full.withColumn("mb", F.pmod(block, n_member).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), n_query - 1)))
+    keys, columns = ["crowd", "qb", "mb"], ["crowd", "qb", "mb", "id", "label", "set"]
+    return left.select(columns).groupBy(keys).cogroup(right.select(columns).groupBy(keys)).applyInArrow(lambda q, m: _block_links(q, m, percent), f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept`` of every row."""
     signed = cut(signatures(docs, id_col=id_col, text_col=text_col, n=n))
@@ -188,7 +262,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     reps = cut(classes.select(F.col("rep").alias("id"), "n", "s1", "s2", "regs"))
     member = buckets(reps)
     crowded = member.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("rep")).where("size > 1")
-    shared = cut(member.join(crowded, "key").select("key", "id", "rep"))
+    shared = cut(member.join(crowded, "key").select("key", "id", "rep", "size"))
+    how = {"id_col": id_col, "text_col": text_col, "n": n, "percent": percent}
 
     def pair(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
@@ -196,24 +271,25 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     def confirmed(pairs):
         tried = cut(pairs.distinct())
         near = cut(likely(tried, reps, percent))
-        return tried, cut(verify(near, docs, id_col=id_col, text_col=text_col, n=n, percent=percent))
+        return tried, cut(verify(near, docs, **how))
 
-    tried, links = confirmed(shared.where("id <> rep").select(*pair(F.col("id"), F.col("rep"))))
-    for turn in ("star", "all"):
-        labels = components(links)
-        seen = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    def mixed_buckets(labels):
+        """Rows of buckets that hold several components, with a representative drawn by hash."""
+        seen = shared.join(labels, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label"))
         mixed = seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "label")).alias("rep")).where("lo <> hi")
-        seen = cut(seen.join(mixed.select("key", F.col("rep.id").alias("rep"), F.col("rep.label").alias("rep_label")), "key"))
-        if turn == "star":
-            pairs = seen.where("label <> rep_label").select(*pair(F.col("id"), F.col("rep")))
-        else:
-            main = seen.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-            outside = seen.join(main, "key").where("label <> main").select("key", F.col("id").alias("x"), F.col("label").alias("x_label"))
-            pairs = outside.join(seen.select("key", F.col("id").alias("y"), F.col("label").alias("y_label")), "key").where("x_label <> y_label").select(*pair(F.col("x"), F.col("y")))
-        fresh = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        more_tried, more = confirmed(fresh)
-        tried, links = tried.union(more_tried), links.union(more)
+        return cut(seen.join(mixed.select("key", F.col("rep.id").alias("rep"), F.col("rep.label").alias("rep_label")), "key"))
+
+    tried, links = confirmed(shared.where("id <> rep").select(*pair(F.col("id"), F.col("rep"))))
+    seen = mixed_buckets(components(links))
+    few = seen.where(F.col("size") <= SMALL_BUCKET)
+    pairs = few.select("key", F.col("id").alias("x"), F.col("label").alias("x_label")).join(few.select("key", F.col("id").alias("y"), F.col("label").alias("y_label")), "key").where("x < y AND x_label <> y_label").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    _, more = confirmed(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+    links = links.union(more)
     labels = components(links)
+    crowd = seen.where(F.col("size") > SMALL_BUCKET).select("id", "rep")
+    if not crowd.isEmpty():
+        links = links.union(cut(crowd_links(crowd, labels, docs, **how)))
+        labels = components(links)
     of_class = reps.join(labels, "id", "left").select("n", "s1", "s2", F.coalesce("label", "id").alias("component"))
     out = signed.select("id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
