@@ -36,19 +36,24 @@ MIN_EXACT = 10
 HOT_BUCKET = 32
 
 
-def _clean(line: Column) -> Column:
-    return F.trim(line)
+#: Rows up to which a side that is small as a rule is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 300_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if its count allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, no, line) of every line long enough to be compared."""
+    """(id, no, line, n, h1, h2) of every line long enough to be compared; two hashes and the length stand for the line in joins."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("no", "raw"))
-    return every.select("id", "no", _clean(F.col("raw")).alias("line")).where(F.length("line") >= MIN_EXACT)
+    return hashed(every.select("id", "no", F.trim("raw").alias("line"))).where(F.col("n") >= MIN_EXACT)
 
 
-def _hash(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
+def hashed(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("n", F.length("line")).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
 
 
 def _segments(length: Column, t: int) -> list[tuple[Column, Column]]:
@@ -63,83 +68,91 @@ def _segments(length: Column, t: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _signatures(distinct: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
-    """Index and probe rows: (key, lid, at, size); ``at`` is where the shared segment starts in the line."""
-    line, length = F.col("line"), F.length("line")
-    own = [F.struct(_hash(length, F.lit(i), F.substring(line, start + 1, size)).alias("key"), start.alias("at"), size.alias("size")) for i, (start, size) in enumerate(_segments(length, t))]
-    index = distinct.select("lid", F.explode(F.array(*own)).alias("s")).select("s.key", "lid", "s.at", "s.size")
-    probes = []
+def signatures(lines: DataFrame, t: int) -> DataFrame:
+    """(key, h1, h2, at, size, own): the line's own segments, which are its index entries and probes at once, and its probes of shorter lines' segments.
+
+    ``at`` and ``size`` are where the segment lies in the line.
+    """
+    length, line = F.col("n"), F.col("line")
+    made = []
     for shorter in range(t + 1):
         other = length - shorter
         for i, (start, size) in enumerate(_segments(other, t)):
             low, high = max(-i, shorter - (t - i)), min(i, shorter + (t - i))
             for move in range(low, high + 1):
                 at = start + move
-                ok = (at >= 0) & (at + size <= length) & (other >= MIN_CHARS)
-                probes.append(F.when(ok, F.struct(_hash(other, F.lit(i), F.substring(line, at + 1, size)).alias("key"), at.alias("at"), size.alias("size"))))
-    probe = distinct.select("lid", F.explode(F.array_compact(F.array(*probes))).alias("s")).select("s.key", "lid", "s.at", "s.size")
-    return index, probe
-
-
-def _refined(rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Rows of hot buckets, keyed again by the bucket and the line's rest less any one character (or whole)."""
-    rest = F.concat(F.substring(F.col("line"), F.lit(1), F.col("at")), F.lit("\n"), F.expr("substring(line, at + size + 1)"))
-    wide = rows.join(distinct, "lid").select("key", "lid", rest.alias("rest"))
-    less = F.transform(F.sequence(F.lit(0), F.length("rest")), lambda i: F.when(i == 0, _hash(F.col("rest"))).otherwise(_hash(F.concat(F.substring(F.col("rest"), F.lit(1), i - 1), F.substring(F.col("rest"), i + 1, F.length("rest"))))))
-    return wide.select(F.explode(F.array_distinct(less)).alias("less"), "key", "lid").select(_hash("key", "less").alias("key"), "lid")
-
-
-def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): pairs of ids of different lines within ``threshold`` edits; ``distinct`` has ``lid`` and ``line``."""
-    long = distinct.where(F.length("line") >= MIN_CHARS)
-    index, probe = _signatures(long, threshold)
-    sizes = index.groupBy("key").agg(F.count("*").alias("entries"))
-    asked = probe.groupBy("key").agg(F.count("*").alias("probes"))
-    # a key matters if some line other than its own probes it: every line probes its own segments
-    busy = cut(sizes.join(asked, "key").where((F.col("probes") > 1)).select("key", "probes", "entries"))
-    hot = F.greatest("probes", "entries") > (HOT_BUCKET if threshold == 1 else 1 << 62)
-    both = index.join(busy, "key").withColumn("hot", hot)
-    ask = probe.join(busy, "key").withColumn("hot", hot)
-    both, ask = cut(both), cut(ask)
-    plain = both.where("NOT hot").select("key", F.col("lid").alias("x")).join(ask.where("NOT hot").select("key", F.col("lid").alias("y")), "key").where("x <> y")
-    again = cut(_refined(both.where("hot").unionByName(ask.where("hot")).select("key", "lid", "at", "size").distinct(), long).distinct())
-    members = again.join(again.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    # lines that share the rest less one character at the same place differ in that character alone
-    refined = members.select("key", F.col("lid").alias("x")).join(members.select("key", F.col("lid").alias("y")), "key").where("x <> y")
+                made.append(F.when((at >= 0) & (at + size <= length) & (other >= MIN_CHARS), F.struct(F.xxhash64(other, F.lit(i), F.substring(line, at + 1, size)).alias("key"), at.cast("int").alias("at"), size.cast("int").alias("size"), F.lit(shorter == 0 and move == 0).alias("own"))))
+    rows = lines.where(F.col("n") >= MIN_CHARS).select("h1", "h2", F.explode(F.array_compact(F.array(*made))).alias("s"))
+    return rows.select("s.key", "h1", "h2", "s.at", "s.size", "s.own")
+
+
+def _refined(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of hot buckets, keyed again by the bucket and the line's rest whole or less any one character."""
+    rest = F.expr("concat(substring(line, 1, at), '\\n', substring(line, at + size + 1))")
+    wide = rows.join(texts, "lid").select("key", "lid", rest.alias("rest"))
+    less = F.transform(F.sequence(F.lit(0), F.length("rest")), lambda i: F.when(i == 0, F.xxhash64("rest")).otherwise(F.xxhash64(F.concat(F.substring(F.col("rest"), F.lit(1), i - 1), F.substring(F.col("rest"), i + 1, F.length("rest"))))))
+    return wide.select(F.explode(F.array_distinct(less)).alias("less"), "key", "lid").select(F.xxhash64("key", "less").alias("key"), "lid")
+
+
+def links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """``(texts, links)``: (lid, h1, h2, line) of lines that share a segment with another one, and pairs (a, b) of them within ``threshold`` edits.
+
+    ``lines`` comes from ``hashed``; repeated lines are one.  Texts are only moved for
+    lines whose bucket holds another line.
+    """
+    found = signatures(lines, threshold)
+    per_key = found.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("indexed"))
+    busy = cut(per_key.where("lo <> hi AND indexed").select("key"))
+    shared = cut(found.join(_small(busy), "key").distinct())
+    lids = shared.select("h1", "h2").distinct()
+    near = cut(lids)
+    texts = cut(lines.join(_small(near), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")).withColumn("lid", F.monotonically_increasing_id()))
+    named = texts.select("h1", "h2", "lid")
+    rows = shared.join(_small(named), ["h1", "h2"])
+    crowd = rows.groupBy("key").agg(F.count("*").alias("c"))
+    rows = cut(rows.join(crowd, "key").withColumn("hot", (F.col("c") > HOT_BUCKET) & F.lit(threshold == 1)).select("key", "lid", "at", "size", "own", "hot"))
+    cold = rows.where("NOT hot")
+    plain = cold.where("own").select("key", F.col("lid").alias("x")).join(cold.select("key", F.col("lid").alias("y")), "key").where("x <> y")
+    again = cut(_refined(rows.where("hot"), texts).distinct())
+    members = cut(again.join(again.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").select("key", "lid"))
+    refined = members.select("key", F.col("lid").alias("x")).join(members.select("key", F.col("lid").alias("y")), "key").where("x < y")
     pairs = plain.unionByName(refined).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sides = pairs.join(long.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(long.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
-    return sides.where((F.abs(F.length("la") - F.length("lb")) <= threshold) & (F.levenshtein("la", "lb", threshold) >= 0)).select("a", "b")
+    sides = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
+    return texts, sides.where((F.abs(F.length("la") - F.length("lb")) <= threshold) & (F.levenshtein("la", "lb", threshold) >= 0)).select("a", "b")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row a distinct line that has to be looked at: ``line``, ``copies``, ``n_links``, and the ``first_id`` and ``first_no`` of its class."""
+    """One row for each distinct line that is repeated or linked: its hashes, ``copies``, ``n_links``, and the ``first_id`` and ``first_no`` of its class."""
     seen = lines_of(docs, id_col, text_col)
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("no").alias("no"))
-    lines = cut(seen.groupBy("line").agg(F.count("*").alias("copies"), F.min(place).alias("first")).withColumn("lid", F.monotonically_increasing_id()))
-    found = cut(links(lines.select("lid", "line"), threshold))
-    label = components(found)
-    n_links = found.select(F.col("a").alias("lid")).unionAll(found.select("b")).groupBy("lid").agg(F.count("*").alias("n_links"))
-    of = lines.join(label.select(F.col("id").alias("lid"), "label"), "lid", "left").join(n_links, "lid", "left")
+    lines = cut(seen.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(place).alias("first")))
+    texts, near = links(seen, threshold)
+    near = cut(near)
+    label = components(near)
+    n_links = near.select(F.col("a").alias("lid")).unionAll(near.select("b")).groupBy("lid").agg(F.count("*").alias("n_links"))
+    named = cut(texts.select("lid", "h1", "h2").join(label.select(F.col("id").alias("lid"), "label"), "lid").join(n_links, "lid").select("h1", "h2", "label", "n_links"))
+    of = lines.join(_small(named), ["h1", "h2"], "left")
     linked = of.where(F.col("label").isNotNull())
     first = linked.groupBy("label").agg(F.min("first").alias("class_first"))
-    linked = linked.join(first, "label").select("line", "copies", "n_links", F.col("class_first").alias("first"))
-    alone = of.where(F.col("label").isNull() & (F.col("copies") > 1)).select("line", "copies", F.lit(0).cast("long").alias("n_links"), "first")
+    linked = linked.join(first, "label").select("h1", "h2", "copies", "n_links", F.col("class_first").alias("first"))
+    alone = of.where(F.col("label").isNull() & (F.col("copies") > 1)).select("h1", "h2", "copies", F.lit(0).cast("long").alias("n_links"), "first")
     out = linked.unionByName(alone)
-    return out.select("line", "copies", "n_links", F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no"))
+    return out.select("h1", "h2", "copies", "n_links", F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with ``text_col`` rid of lines that occur earlier, and ``n_lines``, ``n_removed``, ``n_links`` in columns of those names.
 
-    Which lines go is found by a join of lines alone; the line numbers to drop come back
+    Which lines go is found by a join of hashes alone; the line numbers to drop come back
     as one array a document.
     """
     made = cut(classes(docs, id_col=id_col, text_col=text_col, threshold=threshold))
-    seen = lines_of(docs, id_col, text_col).distinct()
-    hit = seen.join(made, "line").withColumn("goes", ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("no") == F.col("first_no"))))
-    per_doc = hit.groupBy("id").agg(F.collect_set(F.when(F.col("goes"), F.col("no"))).alias("_drop"), F.sum("n_links").alias("_links"))
+    seen = lines_of(docs, id_col, text_col).select("id", "no", "h1", "h2")
+    hit = seen.join(_small(made), ["h1", "h2"]).withColumn("goes", ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("no") == F.col("first_no"))))
+    hit = hit.select("id", "no", "goes", "n_links").distinct()
+    per_doc = cut(hit.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.when(F.col("goes"), F.col("no"))).alias("_drop"), F.sum("n_links").alias("_links")))
     out = docs.drop("n_lines", "n_removed", "n_links")
-    out = out.join(per_doc.withColumnRenamed("id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    out = out.join(_small(per_doc), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
     every = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     gone = F.coalesce("_drop", F.array().cast("array<int>"))
     kept = F.array_join(F.filter(every, lambda line, i: ~F.array_contains(gone, i)), "\n")
