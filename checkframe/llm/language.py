@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .arrays import LOWER, SPACE, Words, words
-from .common import per_slice
+from .common import per_slice, small_batches
 
 #: Hash buckets of the trigram table.
 BUCKETS = 1 << 14
@@ -109,7 +109,7 @@ def learn(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -
 
     counts = np.zeros((n, size))
     if n:
-        for r in train.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in train.transform(small_batches).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
             counts[divmod(r["cell"], size)] = r["n"]
     grams = counts[:, :BUCKETS] + 0.5
     letters = counts[:, BUCKETS:]
@@ -212,8 +212,10 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tupl
         return pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), *made], names=[*keep, *found])
 
     schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("n_spans", "long")
-    columns = [F.col(c) for c in keep] + [F.col(text_col).alias("_text"), _has_letter(text_col).alias("_spoken")]
-    return docs.select(*columns).mapInArrow(per_slice(step, "_text"), schema)
+    # a kept text column is read where it is
+    text = [] if text_col in keep else [F.col(text_col).alias("_text")]
+    columns = [*(F.col(c) for c in keep), *text, _has_letter(text_col).alias("_spoken")]
+    return docs.select(*columns).transform(small_batches).mapInArrow(per_slice(step, "_text" if text else text_col), schema)
 
 
 def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
@@ -231,4 +233,4 @@ def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(w.doc[at])), pa.array(at - w.first[w.doc[at]]), pa.array(end - at), pa.array([model.languages[i] for i in label[at]], pa.string()), pa.array(text, pa.string())], names=[id_col, "first_word", "n_words", "lang", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(per_slice(step), f"{id_col} {kind}, first_word long, n_words long, lang string, text string")
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(per_slice(step), f"{id_col} {kind}, first_word long, n_words long, lang string, text string")

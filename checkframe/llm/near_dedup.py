@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import distinct, mix64, shingles, slices, stream64, words
-from .common import BROADCAST_ROWS, per_slice
+from .common import BROADCAST_ROWS, per_slice, small_batches
 from .graph import components
 from .storage import cut
 
@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, n: int) -> DataFr
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([r.tobytes() for r in regs], pa.binary())], names=["id", "n", "s1", "s2", "regs"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(per_slice(step), f"id {kind}, n long, s1 long, s2 long, regs binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(per_slice(step), f"id {kind}, n long, s1 long, s2 long, regs binary")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def buckets(reps: DataFrame) -> DataFrame:
                 key = mix64((mix64(part + _U(1)) * keys).sum(axis=2, dtype=_U) + bands)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], names=["key", "id"])
 
-    return reps.select("id", "regs").mapInArrow(step, f"key long, id {reps.schema['id'].dataType.simpleString()}")
+    return reps.select("id", "regs").transform(small_batches).mapInArrow(step, f"key long, id {reps.schema['id'].dataType.simpleString()}")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +160,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     kind = reps.schema["id"].dataType.simpleString()
     sides = pairs.join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a").join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
-    return sides.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(step, f"a {kind}, b {kind}")
+    return sides.select("a", "b", "na", "nb", "ra", "rb").transform(small_batches).mapInArrow(step, f"a {kind}, b {kind}")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -185,7 +185,7 @@ def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, n:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
     kind = docs.schema[id_col].dataType.simpleString()
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return sides.select("a", "b", "ta", "tb").mapInArrow(step, f"a {kind}, b {kind}").distinct()
+    return sides.select("a", "b", "ta", "tb").transform(small_batches).mapInArrow(step, f"a {kind}, b {kind}").distinct()
 
 
 def _block_links(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
@@ -245,7 +245,7 @@ def crowd_links(crowd: DataFrame, labels: DataFrame, docs: DataFrame, *, id_col:
     ids = member.select("id")
     ids = F.broadcast(ids) if member.count() <= BROADCAST_ROWS else ids
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    full = cut(texts.mapInArrow(per_slice(sets), f"id {kind}, set binary").dropDuplicates(["id"]).join(member, "id"))
+    full = cut(texts.transform(small_batches).mapInArrow(per_slice(sets), f"id {kind}, set binary").dropDuplicates(["id"]).join(member, "id"))
     n_query, n_member = (F.ceil(x / size).cast("int") for x, size in ((F.col("g") - F.col("most"), QUERY_BLOCK), (F.col("g"), MEMBER_BLOCK)))
     block = F.xxhash64("id")
     left = full.where("label <> main").withColumn("qb", F.pmod(block, n_query).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), n_member - 1)))

@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import slices
+from .common import small_batches
 
 #: Items that are packed together.
 RUN_ITEMS = 4000
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 600_000
+#: Words, and pieces of words, whose ids a Python worker remembers.
+CACHE_WORDS, CACHE_PIECES = 250_000, 100_000
 
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -60,13 +61,16 @@ class WordIds(dict):
         self.shown = shown
         self.pieces: dict[str, list[int]] = {}
         self.flat, self.at, self.size = array("I"), array("q"), array("q")
+        #: counts of known words, for callers that look them up with the ids
+        self.known: dict[bytes, int] | None = None
+        self.count, self.word = array("q"), []
 
     def _piece(self, text: str) -> list[int]:
         found = self.pieces.get(text)
         if found is None:
             shown = text if text.isascii() else "".join(self.shown[b] for b in text.encode())
             found = [t.id for t in self.model.tokenize(shown)]
-            if len(text) < 40:
+            if len(text) < 40 and len(self.pieces) < CACHE_PIECES:
                 self.pieces[text] = found
         return found
 
@@ -84,17 +88,35 @@ class WordIds(dict):
         self.at.append(len(self.flat))
         self.size.append(len(ids))
         self.flat.extend(ids)
+        if self.known is not None:
+            self.count.append(self.known.get(word, 0))
+            self.word.append(word)
         self[word] = n = len(self.at) - 1
         return n
 
+    def knowing(self, known: dict[bytes, int]) -> WordIds:
+        """These ids, with each word's count kept beside them."""
+        if self.known is not known:
+            self.known = known
+            self._forget()
+        return self
+
     def trim(self) -> None:
         if len(self) > CACHE_WORDS:
-            self.clear()
-            self.pieces.clear()
-            self.flat, self.at, self.size = array("I"), array("q"), array("q")
+            self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+        self.flat, self.at, self.size = array("I"), array("q"), array("q")
+        self.count, self.word = array("q"), []
 
     def documents(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each document of a slice (with ``end`` after it), and where each document's begin."""
+        return self.with_words(data, offsets, end)[:2]
+
+    def with_words(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``documents``, and each word's place in this cache and where each document's words begin."""
         self.trim()
         raw = data.tobytes()
         look = self.__getitem__
@@ -104,8 +126,6 @@ class WordIds(dict):
             text = raw[a:b]
             if any(s in text for s in special):
                 whole[i] = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-                counts.append(0)
-                continue
             words = text.lower().split()
             counts.append(len(words))
             index.extend(map(look, words))
@@ -118,7 +138,7 @@ class WordIds(dict):
         upto = np.concatenate([[0], np.cumsum(sizes)])
         cuts = upto[first]
         if end is None and not whole:
-            return body, cuts
+            return body, cuts, index, first
         parts, lengths = [], []
         for i in range(len(counts)):
             ids = np.array(whole[i], dtype=np.uint32) if i in whole else body[cuts[i] : cuts[i + 1]]
@@ -126,7 +146,7 @@ class WordIds(dict):
             if end is not None:
                 parts.append(np.array([end], dtype=np.uint32))
             lengths.append(len(ids) + (end is not None))
-        return np.concatenate(parts) if parts else body, np.concatenate([[0], np.cumsum(lengths)])
+        return np.concatenate(parts) if parts else body, np.concatenate([[0], np.cumsum(lengths)]), index, first
 
     def _piece_of_special(self) -> list[bytes]:
         if not hasattr(self, "_special"):
@@ -315,4 +335,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
 
     schema = f"{id_col} {kind}, " + ", ".join(f"{n} long" for n in names[1:]) + (", ids array<int>" if with_ids else "")
     columns = [F.col(id_col), F.col(text_col).alias("text")] + ([F.col(prompt_col).alias("prompt")] if prompt_col is not None else [])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).transform(small_batches).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_below, labelled, per_slice, platt, sample_fraction, sigmoid
+from .common import hashed_below, labelled, per_slice, platt, sample_fraction, sigmoid, small_batches
 from .ngrams import BUCKETS, indicators
 
 #: Expected rows of the sample that the hinge loss is fitted on.
@@ -83,7 +83,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str = "doc_
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, BUCKETS]), pa.array(np.r_[total[0][at], seen[0]]), pa.array(np.r_[total[1][at], seen[1]])], names=["bucket", "n0", "n1"])
 
     counts = np.zeros((2, BUCKETS + 1))
-    summed = known.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    summed = known.transform(small_batches).mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     for part in summed.toPandas().itertuples(index=False):
         counts[:, part.bucket] = part.n0, part.n1
     n = counts[:, BUCKETS]
@@ -100,7 +100,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str = "doc_
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(cells, pa.binary())], names=["y", "cells"])
 
     part = known.where(hashed_below(id_col, sample_fraction(int(n.sum()), fit_rows)))
-    got = part.mapInArrow(per_slice(sparse), "y int, cells binary").toPandas()
+    got = part.transform(small_batches).mapInArrow(per_slice(sparse), "y int, cells binary").toPandas()
     y = np.where(got["y"].to_numpy() > 0, 1.0, -1.0)
     cells = [np.frombuffer(x, dtype=np.int32) for x in got["cells"]]
     rows = [(x, ratio[x] / np.sqrt(max(len(x), 1))) for x in cells]
@@ -122,4 +122,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(sigmoid(model.slope * margin + model.offset))], names=[id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(per_slice(step), f"{id_col} {kind}, score double")
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(per_slice(step), f"{id_col} {kind}, score double")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import label_model
 from .arrays import SPACE, _BYTE_KEY, _pos_key, mix64, shingles, sums, words
-from .common import per_slice
+from .common import per_slice, small_batches
 from .storage import cut
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_as_last", "n_upper", "n_letters", "n_marks")
@@ -140,7 +140,7 @@ def with_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, " + ", ".join(f"{f} long" for f in FEATURES) + ", votes string"
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(per_slice(step), schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(per_slice(step), schema)
 
 
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, prior: float = 0.85) -> DataFrame:

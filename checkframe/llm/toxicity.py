@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import label_model
 from .arrays import distinct, words
-from .common import hashed_below, labelled, per_slice, platt, sample_fraction, sigmoid
+from .common import hashed_below, labelled, per_slice, platt, sample_fraction, sigmoid, small_batches
 from .ngrams import BARE
 
 #: Expected rows of the sample that the linear classifier is fitted on.
@@ -128,7 +128,7 @@ def _mine(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([by_class.get(0, 0), by_class.get(1, 0)], dtype=np.float64)
     if n.min() == 0:
         return np.zeros(0, dtype=np.uint64), n
-    summed = known.mapInArrow(per_slice(count), "word long, n0 long, n1 long, cells long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("cells").alias("cells"))
+    summed = known.transform(small_batches).mapInArrow(per_slice(count), "word long, n0 long, n1 long, cells long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("cells").alias("cells"))
     p1, p0 = (F.col("n1") + 0.5) / (n[1] + 1), (F.col("n0") + 0.5) / (n[0] + 1)
     telling = summed.where((F.bit_count("cells") >= MINED_CELLS) & (p1 / (1 - p1) >= MINED_ODDS * p0 / (1 - p0)))
     found = telling.orderBy(F.desc("n1"), "word").limit(MINED_WORDS).select("word").toPandas()["word"].to_numpy(dtype=np.int64)
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
             pass
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["code", "n"])
 
-    seen = docs.select("text").mapInArrow(patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    seen = docs.select("text").transform(small_batches).mapInArrow(patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     total = sum(r["n"] for r in seen)
     prior = float((n[1] + 1) / (n.sum() + 10))
     if total == 0:
@@ -172,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
     side = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label).cast("int").alias("y"))
     part = docs.where(hashed_below(id_col, sample_fraction(total, fit_rows)))
     part = part.join(side, part[id_col] == side["_label_id"], "left").select("y", "text")
-    got = part.mapInArrow(per_slice(sparse), "y int, p double, words binary").toPandas()
+    got = part.transform(small_batches).mapInArrow(per_slice(sparse), "y int, p double, words binary").toPandas()
     rows = [np.frombuffer(x, dtype=np.uint64) for x in got["words"]]
     vocabulary, count = np.unique(np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint64), return_counts=True)
     vocabulary = vocabulary[count >= 3]
@@ -216,4 +216,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(sigmoid(weights.slope * weights.margins(data, offsets) + weights.offset))], names=[id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(per_slice(step), f"{id_col} {kind}, score double")
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(per_slice(step), f"{id_col} {kind}, score double")
