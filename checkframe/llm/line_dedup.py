@@ -10,15 +10,17 @@ less one character.  Candidates are verified by Spark's ``levenshtein`` with the
 threshold, which computes the band around the diagonal only.
 
 Classes are the connected components of the links.  Of each class the first line, by
-document id and line number, stays; in every document the other lines go.
+document id and line number, stays; in every document the other lines go.  A document
+is an id and a text (by its hash, ``tie``): rows that share an id, or have none, but
+differ in text are documents of their own.
 
 Only DataFrame functions are used.  Lines are split at ``\\n`` and compared without
 blanks at their ends.  Lines of fewer than ``MIN_CHARS`` characters are only compared
 exactly if they have ``MIN_EXACT`` characters, and left alone if they have fewer.
 
-Defined cases: null and empty texts keep what they have; blank lines stay; repeated
-rows count as one document (its lines are first in all of them), rows without an id
-come last; an empty table gives an empty result; extra columns are kept.
+Defined cases: null and empty texts keep what they have; blank lines stay; rows
+equal in id and text count as one document (its lines are first in all of them), rows
+without an id come last, by line number and ``tie``; an empty table gives an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -46,10 +48,15 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, no, line, n, h1, h2) of every line long enough to be compared; two hashes and the length stand for the line in joins."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    every = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("no", "raw"))
-    return hashed(every.select("id", "no", F.trim("raw").alias("line"))).where(F.col("n") >= MIN_EXACT)
+    """(id, tie, no, line, n, h1, h2) of every line long enough to be compared; two hashes and the length stand for the line in joins."""
+    # a projection of its own: beside the generator the text would be hashed once a line
+    keyed = docs.select(F.col(id_col).alias("id"), tie_of(text_col).alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = keyed.select("id", "tie", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    return hashed(every.select("id", "tie", "no", F.trim("raw").alias("line"))).where(F.col("n") >= MIN_EXACT)
+
+
+def tie_of(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def hashed(lines: DataFrame) -> DataFrame:
@@ -122,9 +129,9 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Data
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row for each distinct line that is repeated or linked: its hashes, ``copies``, ``n_links``, and the ``first_id`` and ``first_no`` of its class."""
+    """One row for each distinct line that is repeated or linked: its hashes, ``copies``, ``n_links``, and the ``first_id``, ``first_tie`` and ``first_no`` of its class."""
     seen = lines_of(docs, id_col, text_col)
-    place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("no").alias("no"))
+    place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("no").alias("no"), F.col("tie").alias("tie"))
     lines = cut(seen.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(place).alias("first")))
     texts, near = links(seen, threshold)
     near = cut(near)
@@ -137,7 +144,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     linked = linked.join(first, "label").select("h1", "h2", "copies", "n_links", F.col("class_first").alias("first"))
     alone = of.where(F.col("label").isNull() & (F.col("copies") > 1)).select("h1", "h2", "copies", F.lit(0).cast("long").alias("n_links"), "first")
     out = linked.unionByName(alone)
-    return out.select("h1", "h2", "copies", "n_links", F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no"))
+    return out.select("h1", "h2", "copies", "n_links", F.col("first.id").alias("first_id"), F.col("first.tie").alias("first_tie"), F.col("first.no").alias("first_no"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -147,12 +154,12 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     as one array a document.
     """
     made = cut(classes(docs, id_col=id_col, text_col=text_col, threshold=threshold))
-    seen = lines_of(docs, id_col, text_col).select("id", "no", "h1", "h2")
-    hit = seen.join(_small(made), ["h1", "h2"]).withColumn("goes", ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("no") == F.col("first_no"))))
-    hit = hit.select("id", "no", "goes", "n_links").distinct()
-    per_doc = cut(hit.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.when(F.col("goes"), F.col("no"))).alias("_drop"), F.sum("n_links").alias("_links")))
+    seen = lines_of(docs, id_col, text_col).select("id", "tie", "no", "h1", "h2")
+    hit = seen.join(_small(made), ["h1", "h2"]).withColumn("goes", ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")) & (F.col("no") == F.col("first_no"))))
+    hit = hit.select("id", "tie", "no", "goes", "n_links").distinct()
+    per_doc = cut(hit.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set(F.when(F.col("goes"), F.col("no"))).alias("_drop"), F.sum("n_links").alias("_links")))
     out = docs.drop("n_lines", "n_removed", "n_links")
-    out = out.join(_small(per_doc), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    out = out.join(_small(per_doc), F.col(id_col).eqNullSafe(F.col("_id")) & (tie_of(text_col) == F.col("_tie")), "left").drop("_id", "_tie")
     every = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     gone = F.coalesce("_drop", F.array().cast("array<int>"))
     kept = F.array_join(F.filter(every, lambda line, i: ~F.array_contains(gone, i)), "\n")

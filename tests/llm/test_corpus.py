@@ -297,6 +297,17 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    dup = "this line is in three documents"
+    rows = [(1, dup), (None, f"unique line a\n{dup}"), (None, f"{dup}\nunique line b"), (7, "text one of seven\nend of seven"), (7, f"{dup}\nother of seven")]
+    rows += [(None, "only without ids\nrest c of it"), (None, "only without ids\nrest d of it")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(r.text for r in line_dedup.dedup_lines(frame).collect())
+    kept = [dup, "unique line a", "unique line b", rows[3][1], "other of seven"]
+    either = [sorted([*kept, *pair]) for pair in (("only without ids\nrest c of it", "rest d of it"), ("rest c of it", "only without ids\nrest d of it"))]
+    assert got in either
+
+
 def labelled(spark, docs):
     """Every fifth document is bad: stuttering and full of insults."""
     changed = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 2, F.concat(F.col("text"), F.lit(" you idiot moron. " + "blah " * 30))).otherwise(F.col("text")))
