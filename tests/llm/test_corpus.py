@@ -394,6 +394,17 @@ def test_attention_gradients_and_probabilities():
     assert np.bincount(vocab.cls, np.exp(vocab.log_share), minlength=net.CLASSES)[np.unique(vocab.cls)] == pytest.approx(1, rel=1e-3)
 
 
+def test_windows_overlap_by_eight_ids_at_least():
+    from checkframe.llm import attention as net
+
+    counts = np.ones(5000)
+    vocab = net.vocabulary(counts, np.ones((net.SLOTS, net.SLOTS), dtype=np.float32))
+    w = net.windows(np.arange(200), np.array([0, 120, 200]), vocab)
+    assert w.scored.sum() == 200
+    later = w.scored[np.flatnonzero(w.doc == np.roll(w.doc, 1))]
+    assert len(later) and later.argmax(axis=1).min() >= 8
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
