@@ -368,6 +368,29 @@ def test_lm_scores(spark, docs):
     assert lm_scoring.lm_scores(empty(spark), train, TOKENIZER, 49_408).count() == 0
 
 
+def test_lm_learns_from_all_training_documents(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(docs, tokenizer_path, vocab, end_id):
+        raise Seen(docs.count(), found[0])
+
+    found, pairs_of = [], lm_scoring.slot_pairs
+
+    def pairs(docs, *args):
+        found.append((docs.count(), float((got := pairs_of(docs, *args)).sum()), int((got == 1).sum())))
+        return got
+
+    monkeypatch.setattr(lm_scoring, "slot_pairs", pairs)
+    monkeypatch.setattr(lm_scoring, "train_network", stop)
+    frame = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, "once upon").otherwise("the same").alias("text"))
+    with pytest.raises(Seen) as got:
+        lm_scoring.lm_scores(frame, F.col("doc_id") % 7 != 2, TOKENIZER, 49_408)
+    n, (n_pairs, total, single) = got.value.args
+    assert n == n_pairs == sum(i % 7 != 2 for i in range(3000))
+    assert single >= 1 and total >= 3 * n
+
+
 def test_attention_gradients_and_probabilities():
     from checkframe.llm import attention as net
 
