@@ -55,6 +55,9 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        # words come here in lower case: what then looks like a special token was none in the text
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
         byte = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         shown = {b: chr(b) for b in byte}
         shown |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
@@ -82,9 +85,9 @@ class WordIds(dict):
             if (core.isalpha() or not core) and unicodedata.is_normalized("NFC", text):
                 ids = (self._piece(core) if core else []) + (self._piece(text[len(core) :]) if len(core) < len(text) else [])
             else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = self.plain.encode(text, add_special_tokens=False).ids
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.plain.encode(text, add_special_tokens=False).ids
         self.at.append(len(self.flat))
         self.size.append(len(ids))
         self.flat.extend(ids)

@@ -158,7 +158,7 @@ def test_packing_round_trip(spark, docs):
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
     limits = packing.Limits(tokens=256, segments=6, loss=200)
-    odd = spark.createDataFrame(rows_of(["It's <|endoftext|> here", "ÀÉ İstanbul don't 12a3", "éclair x y  z", "日本 語!! a.b.c"]), SCHEMA).withColumn("doc_id", F.col("doc_id") + 10_000)
+    odd = spark.createDataFrame(rows_of(["It's <|endoftext|> here", "<|ENDOFTEXT|>", "a<|EndOfText|>b <|StartOfText|> <|startoftext|>c", "ÀÉ İstanbul don't 12a3", "éclair x y  z", "日本 語!! a.b.c"]), SCHEMA).withColumn("doc_id", F.col("doc_id") + 10_000)
     both = docs.unionByName(odd)
     pieces = packing.pack_documents(both, TOKENIZER, limits=limits).collect()
     texts = {r.doc_id: r.text or "" for r in both.collect()}
