@@ -1,4 +1,4 @@
-"""The validator."""
+"""The checker: entry points that compile rules into columns."""
 
 from __future__ import annotations
 
@@ -171,23 +171,23 @@ class _Walk:
         return when & (covered if self.selection.mode == "partial" else ~covered)
 
 
-class Validator:
+class Checker:
     """Rules, aliases and entry points; configuration mistakes raise here, before any job."""
 
     def __init__(self, schema=None):
         self.registry = Registry()
         self.schema = schema
 
-    def with_schema(self, schema) -> Validator:
-        """This validator with a dynamic schema (``sources.schema.Schema``)."""
+    def with_schema(self, schema) -> Checker:
+        """This checker with a dynamic schema (``sources.schema.Schema``)."""
         self.schema = schema
         return self
 
-    def rule(self, rule: Rule) -> Validator:
+    def rule(self, rule: Rule) -> Checker:
         self.registry.add_rule(rule)
         return self
 
-    def alias(self, name: str, expression: str) -> Validator:
+    def alias(self, name: str, expression: str) -> Checker:
         self.registry.add_alias(name, expression)
         return self
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rule import Rule
 from ..i18n import Catalog, Locale
-from ..operators import Dive, Field, MapDive, Model, Validator
+from ..operators import Dive, Field, MapDive, Model, Checker
 from ..operators.engine import ERRORS
 from ..sources import Schema
 
@@ -20,15 +20,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def summary_by_rule(spark, sf_dir):
-    return Validator().validate(_read(spark, sf_dir, "customer"), CUSTOMER).summary()
+    return Checker().validate(_read(spark, sf_dir, "customer"), CUSTOMER).summary()
 
 
 def customer_failures(spark, sf_dir):
-    return Validator().validate(_read(spark, sf_dir, "customer"), CUSTOMER).failures("c_custkey").select("c_custkey", "namespace", "field", "kind", "rule", "reason")
+    return Checker().validate(_read(spark, sf_dir, "customer"), CUSTOMER).failures("c_custkey").select("c_custkey", "namespace", "field", "kind", "rule", "reason")
 
 
 def customer_valid(spark, sf_dir):
-    return Validator().validate(_read(spark, sf_dir, "customer"), CUSTOMER).valid.select("c_custkey")
+    return Checker().validate(_read(spark, sf_dir, "customer"), CUSTOMER).valid.select("c_custkey")
 
 
 def _orders(spark, sf_dir) -> DataFrame:
@@ -45,19 +45,19 @@ def _places(found: DataFrame) -> DataFrame:
 
 
 def nested_orders(spark, sf_dir):
-    return _places(Validator().validate(_orders(spark, sf_dir), ORDER).failures("k"))
+    return _places(Checker().validate(_orders(spark, sf_dir), ORDER).failures("k"))
 
 
 def partial_orders(spark, sf_dir):
-    return _places(Validator().partial(_orders(spark, sf_dir), ORDER, ["customer.name", "lines[0].quantity"]).failures("k"))
+    return _places(Checker().partial(_orders(spark, sf_dir), ORDER, ["customer.name", "lines[0].quantity"]).failures("k"))
 
 
 def except_orders(spark, sf_dir):
-    return _places(Validator().excluding(_orders(spark, sf_dir), ORDER, ["lines", 'marks["size"]']).failures("k"))
+    return _places(Checker().excluding(_orders(spark, sf_dir), ORDER, ["lines", 'marks["size"]']).failures("k"))
 
 
 def filter_orders(spark, sf_dir):
-    return _places(Validator().filter(_orders(spark, sf_dir), ORDER, lambda path: not path.startswith("customer") and path != "status").failures("k"))
+    return _places(Checker().filter(_orders(spark, sf_dir), ORDER, lambda path: not path.startswith("customer") and path != "status").failures("k"))
 
 
 _LINES = "SELECT l_orderkey AS k, l_partkey AS part, l_quantity AS quantity, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) - 1 AS i FROM lineitem"
@@ -74,7 +74,7 @@ _SIZE = "SELECT o_orderkey, 'Order.marks[\"size\"]', 'min' FROM orders"
 
 def omitempty_flow(spark, sf_dir):
     rows = _flow_rows(spark, sf_dir)
-    return _places(Validator().alias("opt_short", "omitempty,max=4").validate(rows, Model("T", {"v": "opt_short,min=3,startswith=F|startswith=O"})).failures("k"))
+    return _places(Checker().alias("opt_short", "omitempty,max=4").validate(rows, Model("T", {"v": "opt_short,min=3,startswith=F|startswith=O"})).failures("k"))
 
 
 def _flow_rows(spark, sf_dir) -> DataFrame:
@@ -86,12 +86,12 @@ _FLOW = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_ord
 
 def or_group(spark, sf_dir):
     rows = _read(spark, sf_dir, "customer")
-    found = Validator().validate(rows, Model("Customer", {"c_mktsegment": "eq=BUILDING|startswith=M|endswith=E"}))
+    found = Checker().validate(rows, Model("Customer", {"c_mktsegment": "eq=BUILDING|startswith=M|endswith=E"}))
     return found.failures("c_custkey").select("c_custkey", "rule", "reason", F.size("params").cast("long").alias("n_params"))
 
 
 def dive_embeddings_range(spark, sf_dir):
-    found = Validator().validate(_read(spark, sf_dir, "embeddings"), Model("E", {"embedding": Field(dive=Dive("range(min=-0.3,max=0.3)"))}))
+    found = Checker().validate(_read(spark, sf_dir, "embeddings"), Model("E", {"embedding": Field(dive=Dive("range(min=-0.3,max=0.3)"))}))
     return found.failures("vec_id").select("vec_id", "namespace", "rule")
 
 
@@ -99,7 +99,7 @@ SCHEMA = {"fields": {"k": {"type": "uint", "rules": "range(min=10,max=90)"}, "mi
 
 
 def schema_events_props(spark, sf_dir):
-    found = Validator(Schema(SCHEMA)).validate_json(_read(spark, sf_dir, "events"), "props")
+    found = Checker(Schema(SCHEMA)).validate_json(_read(spark, sf_dir, "events"), "props")
     return found.failures("event_id").select("event_id", "namespace", "kind", "rule")
 
 
@@ -107,14 +107,14 @@ ROWS = {"fields": {"c_acctbal": {"type": "float", "rules": "gte=0"}, "c_custkey"
 
 
 def schema_customer_rows(spark, sf_dir):
-    found = Validator(Schema(ROWS)).validate_rows(_read(spark, sf_dir, "customer"))
+    found = Checker(Schema(ROWS)).validate_rows(_read(spark, sf_dir, "customer"))
     return found.failures("c_custkey").select("c_custkey", "namespace", "kind", "rule")
 
 
 def _messages(name: str):
     def run(spark, sf_dir):
         catalog = Catalog().use_locale(Locale("en", {}, {"c_acctbal": "Balance"}))
-        found = Validator().validate(_read(spark, sf_dir, "customer"), CUSTOMER).failures("c_custkey")
+        found = Checker().validate(_read(spark, sf_dir, "customer"), CUSTOMER).failures("c_custkey")
         return catalog.locale(name).render(found).select("c_custkey", "field", "rule", "text")
 
     return run
@@ -126,23 +126,23 @@ def struct_check(spark, sf_dir):
         return [("l_discount", "pair", wrong, {}), ("l_tax", "pair", wrong, {})]
 
     model = Model("Line", {"l_quantity": "gt=0"}, [check])
-    return Validator().validate(_read(spark, sf_dir, "lineitem"), model).failures("l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "namespace", "rule")
+    return Checker().validate(_read(spark, sf_dir, "lineitem"), model).failures("l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "namespace", "rule")
 
 
 def custom_rule(spark, sf_dir):
     even = Rule("even", lambda v, p: v.column % 2 == 0)
     model = Model("Part", {"p_size": "even,gt=4"})
-    return Validator().rule(even).validate(_read(spark, sf_dir, "part"), model).failures("p_partkey").select("p_partkey", "rule")
+    return Checker().rule(even).validate(_read(spark, sf_dir, "part"), model).failures("p_partkey").select("p_partkey", "rule")
 
 
 def field_ship_after_order(spark, sf_dir):
     rows = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    found = Validator().validate(rows, Model("Line", {"l_shipdate": "gt_field=o_orderdate", "l_discount": "lte_field=l_tax"}))
+    found = Checker().validate(rows, Model("Line", {"l_shipdate": "gt_field=o_orderdate", "l_discount": "lte_field=l_tax"}))
     return found.failures("l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "field", "rule")
 
 
 def errors_per_record(spark, sf_dir):
-    found = Validator().validate(_read(spark, sf_dir, "customer"), CUSTOMER).annotated
+    found = Checker().validate(_read(spark, sf_dir, "customer"), CUSTOMER).annotated
     return found.select("c_custkey", F.size(ERRORS).cast("long").alias("errors"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import Field, Model, Validator
+from ..operators import Field, Model, Checker
 from ..operators.engine import ERRORS
 from .rule_cases import TEXT
 
@@ -18,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _text_query(expression: str, samples: tuple[str, ...]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.element_at(F.array(*map(F.lit, samples)), (F.col("c_custkey") % len(samples) + 1).cast("int")).alias("v"))
-        return rows.select("k", "v", Validator().passes(F.col("v"), expression, T.StringType()).alias("ok"))
+        return rows.select("k", "v", Checker().passes(F.col("v"), expression, T.StringType()).alias("ok"))
 
     return run
 
@@ -63,7 +63,7 @@ CONDITIONAL = {
 def _conditional_query(expression: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.sql(_ORDERS.replace("FROM orders", "FROM {orders}"), orders=_read(spark, sf_dir, "orders"))
-        found = Validator().validate(rows, Model("Order", {"a": expression})).annotated
+        found = Checker().validate(rows, Model("Order", {"a": expression})).annotated
         return found.select("k", "a", "b", "c", (F.size(ERRORS) == 0).alias("ok"))
 
     return run
@@ -103,7 +103,7 @@ TYPED["number_luhn"] = (*TYPED["number_luhn"][:4], "o_orderkey >= 10 AND list_su
 
 def _typed_query(table: str, key: str, column: str, rules: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = Validator().validate(_read(spark, sf_dir, table), Model(table, {column: Field(rules)})).annotated
+        found = Checker().validate(_read(spark, sf_dir, table), Model(table, {column: Field(rules)})).annotated
         return found.select(F.col(key).cast("long").alias("k"), (F.size(ERRORS) == 0).alias("ok"))
 
     return run

@@ -9,20 +9,20 @@ from pyspark.sql import types as T
 from checkframe.errors import ConfigError, InvalidParam, InvalidSchema, MissingFieldContext, UnknownField, ValidationFailed
 from checkframe.functions import builtin
 from checkframe.i18n import Catalog, Locale, messages
-from checkframe.operators import Dive, Field, MapDive, Model, Validator, model_of
+from checkframe.operators import Dive, Field, MapDive, Model, Checker, model_of
 from checkframe.sources import Schema
 from checkframe.streaming import run_to_tables
 
 
-def check(spark, rows, schema, model, how="validate", *args, validator=None):
+def check(spark, rows, schema, model, how="validate", *args, checker=None):
     df = spark.createDataFrame(rows, schema)
-    found = getattr(validator or Validator(), how)(df, model, *args).failures()
+    found = getattr(checker or Checker(), how)(df, model, *args).failures()
     return [(r.namespace, r.rule) for r in found.collect()]
 
 
-def value(spark, x, expression, dtype="string", validator=None, **kw):
+def value(spark, x, expression, dtype="string", checker=None, **kw):
     df = spark.createDataFrame([(x,)], f"v {dtype}")
-    out = df.select((validator or Validator()).value(F.col("v"), expression, df.schema["v"].dataType, **kw).alias("e")).first().e
+    out = df.select((checker or Checker()).value(F.col("v"), expression, df.schema["v"].dataType, **kw).alias("e")).first().e
     return [(r.rule, r.reason) for r in out]
 
 
@@ -37,10 +37,10 @@ def test_absence(spark):
 
 
 def test_flow_of_aliases(spark):
-    v = Validator().alias("optional_email", "omitempty,email").alias("username", "required,length(min=3,max=20)")
-    assert value(spark, "", "optional_email,required", validator=v) == []
-    assert value(spark, "", "email|optional_email,required", validator=v) == []
-    assert value(spark, "al", "username", validator=v) == [("username", "length")]
+    v = Checker().alias("optional_email", "omitempty,email").alias("username", "required,length(min=3,max=20)")
+    assert value(spark, "", "optional_email,required", checker=v) == []
+    assert value(spark, "", "email|optional_email,required", checker=v) == []
+    assert value(spark, "al", "username", checker=v) == [("username", "length")]
     assert value(spark, "x", "omitempty|email") == []
     assert value(spark, "#000-", "iscolor") == [("iscolor", "hexcolor|rgb|rgba|hsl|hsla|cmyk")]
 
@@ -90,7 +90,7 @@ def test_ipv6_against_a_parser(spark):
             return False
 
     df = spark.createDataFrame([(x,) for x in texts], "v string")
-    got = {r.v: r.ok for r in df.select("v", Validator().passes(F.col("v"), "ipv6", T.StringType()).alias("ok")).collect()}
+    got = {r.v: r.ok for r in df.select("v", Checker().passes(F.col("v"), "ipv6", T.StringType()).alias("ok")).collect()}
     assert {x for x in texts if got[x] != parsed(x)} == set()
 
 
@@ -128,13 +128,13 @@ def test_relations_need_one_type(spark):
 def test_metadata_models(spark):
     schema = T.StructType([T.StructField("name", T.StringType(), True, {"rules": "required"}), T.StructField("tags", T.ArrayType(T.StringType()), True, {"dive": "min=2"}), T.StructField("free", T.StringType())])
     df = spark.createDataFrame([("", ["a", "bb"], "")], schema)
-    assert [(r.namespace, r.rule) for r in Validator().validate(df, "User").failures().collect()] == [("User.name", "required"), ("User.tags[0]", "min")]
+    assert [(r.namespace, r.rule) for r in Checker().validate(df, "User").failures().collect()] == [("User.name", "required"), ("User.tags[0]", "min")]
     assert set(model_of(schema, "User").fields) == {"name", "tags"}
 
 
 def test_results(spark):
     df = spark.createDataFrame([(1, "a"), (2, "")], "k int, v string")
-    result = Validator().validate(df, Model("M", {"v": "required"}))
+    result = Checker().validate(df, Model("M", {"v": "required"}))
     assert [r.k for r in result.valid.collect()] == [1] and [r.k for r in result.invalid.collect()] == [2]
     assert result.failures("k").first().k == 2
     with pytest.raises(ValidationFailed):
@@ -145,7 +145,7 @@ def test_schema(spark):
     text = '{"users":[{"age":1,"p":{"e":"a@b.co"}},null,{"age":"x"},{"age":1,"p":{"e":"a@b.co"}}],"n":2.0,"k":null}'
     schema = Schema({"fields": {"users": {"type": "array", "rules": "unique=age p.e", "fields": {"age": {"type": "uint"}, "p": {"fields": {"e": {"type": "string", "rules": "required,email"}}}}}, "n": {"type": "float", "rules": [{"range": {"min": 0, "max": 1}}]}, "k": {"type": "string", "rules": "required"}}})
     df = spark.createDataFrame([(text,), ("[1]",), ('{"n":2,"k":"a"}',)], "j string")
-    got = [[(e.namespace, e.kind, e.rule) for e in r._errors] for r in Validator(schema).validate_json(df, "j").annotated.collect()]
+    got = [[(e.namespace, e.kind, e.rule) for e in r._errors] for r in Checker(schema).validate_json(df, "j").annotated.collect()]
     assert got[0] == [("k", "string", "required"), ("n", "float", "range"), ("users", "vec", "unique"), ("users[1]", "option", "type"), ("users[2].age", "string", "type")]
     assert got[1] == [("$value", "vec", "type")]
     assert got[2] == [("n", "int", "type")]
@@ -162,7 +162,7 @@ def test_every_rule_has_messages():
 
 def test_messages(spark):
     df = spark.createDataFrame([("ab", [1, 2, 3])], "name string, xs array<int>")
-    found = Validator().validate(df, Model("M", {"name": "min=3,regex=^z", "xs": "max=2"})).failures()
+    found = Checker().validate(df, Model("M", {"name": "min=3,regex=^z", "xs": "max=2"})).failures()
     catalog = Catalog().use_locale(Locale("en", {"regex": "{field} {nope} {pattern} {kind}"}, {"name": "Name"}))
     assert [r.text for r in catalog.locale("en").render(found).collect()] == ["Name length must be at least 3", "Name {nope} ^z string", "xs size must be at most 2"]
     assert [r.text for r in catalog.locale("zh-CN").render(found).collect()][2] == "xs数量不能大于2"
@@ -173,14 +173,14 @@ def test_stream_equals_batch(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     model = Model("M", {"v": "required"})
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    query = run_to_tables(Validator().validate(stream, model), str(tmp_path / "valid"), str(tmp_path / "bad"), str(tmp_path / "ckpt"), "id")
+    query = run_to_tables(Checker().validate(stream, model), str(tmp_path / "valid"), str(tmp_path / "bad"), str(tmp_path / "ckpt"), "id")
     query.awaitTermination()
-    batch = {r.id for r in Validator().validate(rows, model).failures("id").collect()}
+    batch = {r.id for r in Checker().validate(rows, model).failures("id").collect()}
     assert {r.id for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == batch
     assert spark.read.parquet(str(tmp_path / "valid")).count() == 66
 
 
 def test_plan_adds_no_shuffle(spark):
     df = spark.range(10).select(F.col("id"), F.col("id").cast("string").alias("v"))
-    plan = Validator().validate(df, Model("M", {"v": "required,length(max=3),number"})).annotated._jdf.queryExecution().executedPlan().toString()
+    plan = Checker().validate(df, Model("M", {"v": "required,length(max=3),number"})).annotated._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
