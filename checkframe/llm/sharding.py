@@ -3,12 +3,14 @@
 Several metadata columns are quantised at their own quantiles, each row gets the
 index of its cell on a Hilbert curve through the grid, and the rows, sorted by curve
 index, are cut into runs.  Neighbouring cells stay together, so a reader that prunes
-files by minimum and maximum can do so on every one of the columns.  Rows of equal
-text have neighbouring places.
+files by minimum and maximum (``ranges``) can do so on every one of the columns.  A
+value that many rows share lies in the middle of the quantiles it fills, so columns of
+few values spread over the whole grid.  Rows of equal text and metadata have
+neighbouring places.
 
 Defined cases: null metadata lies in the lowest cell; null text counts as empty;
 repeated rows and ties are placed one after the other; an empty table gives an empty
-result.  Other columns of the input are not read.
+result.  Other columns of the input are not read, but those in ``keep`` are kept.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import NumericType
 
 from .storage import cut
 
@@ -59,15 +61,47 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _as_number(df: DataFrame, column: str) -> Column:
-    """The column as a double in its own order; of a text the first six bytes count."""
-    if isinstance(df.schema[column].dataType, StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(column).cast("double")
+def _edges(docs: DataFrame, column: str, bits: int) -> list:
+    """The ``2 ** bits - 1`` quantiles of a column, repeated where one value fills several; of numbers approximate ones.
 
+    Of other types each distinct value is counted, the values are range-partitioned, and
+    the running count of rows gives the quantiles; only these reach the driver.
+    """
+    parts = 1 << bits
+    if isinstance(docs.schema[column].dataType, NumericType):
+        return docs.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [k / parts for k in range(1, parts)], 0.005) or []
+    counts = docs.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(counts.repartitionByRange(n, "v").sortWithinPartitions("v").withColumn("at", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("at", 33)))
+    offsets = _before(placed.groupBy("_part").agg(F.sum("c").alias("c")), "c")
+    own = Window.partitionBy("_part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.join(F.broadcast(offsets), "_part").withColumn("upto", F.col("c_before") + F.sum("c").over(own))
+    # the k-th quantile is the first value that brings the running count to k shares
+    met = upto.selectExpr("v", f"((upto - c) * {parts}) div c_all + 1 AS first", f"least((upto * {parts}) div c_all, {parts - 1}) AS last").where("first <= last")
+    return [r["v"] for r in met.select("v", F.explode(F.sequence("first", "last")).alias("k")).orderBy("k").collect()]
+
+
+def _before(per_part: DataFrame, *names: str) -> DataFrame:
+    """``{name}_before`` and ``{name}_all`` of every partition; ``per_part`` has one row a partition."""
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = [x for n in names for x in (F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before"), F.sum(n).over(everything).alias(f"{n}_all"))]
+    return per_part.select("_part", *sums)
+
+
+def _cell(docs: DataFrame, column: str, bits: int) -> Column:
+    """Middle of the quantiles that a value fills, from 0 to ``2 ** bits - 1``."""
+    value = F.col(column).cast("double") if isinstance(docs.schema[column].dataType, NumericType) else F.col(column)
+    edges = _edges(docs, column, bits)
+    if not edges:
+        return F.lit(0)
+    places = F.array(*map(F.lit, edges))
+    below, upto = F.size(F.filter(places, lambda e: e < value)), F.size(F.filter(places, lambda e: e <= value))
+    return F.when(value.isNull(), 0).otherwise(F.shiftright(below + upto, 1))
 
-def shard(docs: DataFrame, *, shards: int = 16, dims: tuple[str, ...] = ("lang", "source", "n_chars"), law: str = "rows", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """``id_col``, ``size``, ``text_crc32``, ``curve``, ``shard`` and ``slot`` of every row.
+
+def shard(docs: DataFrame, *, shards: int = 16, dims: tuple[str, ...] = ("lang", "source", "n_chars"), law: str = "rows", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``keep``, ``size``, ``text_crc32``, ``curve``, ``shard`` and ``slot`` of every row; kept columns of those names give way.
 
     law: ``rows`` cuts runs whose counts differ by one at most; ``bytes`` cuts where
     the running size passes each equal share.  Rows are range-partitioned on (curve
@@ -78,35 +112,49 @@ def shard(docs: DataFrame, *, shards: int = 16, dims: tuple[str, ...] = ("lang",
     if law not in ("rows", "bytes"):
         raise ValueError(f"unknown law: {law}")
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
-    keys = docs.select(F.col(id_col), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), *(_as_number(docs, d).alias(f"dim{i}") for i, d in enumerate(dims)))
-    names = [f"dim{i}" for i in range(len(dims))]
-    steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    edges = [np.unique(np.array(e)) if e else np.zeros(0) for e in docs.select(*(_as_number(docs, d).alias(n) for n, d in zip(names, dims, strict=True))).approxQuantile(names, steps, 0.005)]
+    names = [f"_dim{i}" for i in range(len(dims))]
+    kept = [c for c in dict.fromkeys(keep) if c != id_col]
+    keys = docs.select(F.col(id_col), *kept, (F.octet_length(body) + 1).cast("long").alias("_size"), F.crc32(body).alias("_crc"), *(_cell(docs, d, bits).alias(n) for n, d in zip(names, dims, strict=True)))
 
     @F.pandas_udf("long")
     def curve(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
-            cells = np.stack([np.searchsorted(e, np.nan_to_num(c.to_numpy(dtype=np.float64), nan=-np.inf), side="right") for e, c in zip(edges, columns, strict=True)], axis=1)
-            yield pd.Series(hilbert_index(cells, bits))
+            yield pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1), bits))
 
-    keys = keys.withColumn("curve", curve(*names)).drop(*names)
-    order = ["curve", "text_crc32", id_col]
+    keys = keys.withColumn("_curve", curve(*names)).drop(*names)
+    order = ["_curve", "_crc", id_col]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("part", F.shiftrightunsigned("at", 33)).withColumn("row", F.col("at").bitwiseAND((1 << 33) - 1))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    per_part = placed.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("b"))  # one row a partition
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = per_part.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bytes_before"), F.sum("n").over(everything).alias("all_rows"), F.sum("b").over(everything).alias("all_bytes"))
-    placed = placed.join(F.broadcast(offsets), "part").withColumn("rank", F.col("rows_before") + F.col("row"))
+    placed = cut(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftrightunsigned("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
+    offsets = _before(placed.groupBy("_part").agg(F.count("*").alias("_rows"), F.sum("_size").alias("_bytes")), "_rows", "_bytes")
+    placed = placed.join(F.broadcast(offsets), "_part").withColumn("_rank", F.col("_rows_before") + F.col("_row"))
     if law == "rows":
-        at = F.expr(f"(rank * {shards}) div all_rows")
-        first = F.expr(f"(shard * all_rows + {shards - 1}) div {shards}")
-        placed = placed.withColumn("shard", at.cast("int")).withColumn("slot", F.col("rank") - first)
+        placed = placed.withColumn("_shard", F.expr(f"(_rank * {shards}) div _rows_all").cast("int"))
+        placed = placed.withColumn("_slot", F.col("_rank") - F.expr(f"(_shard * _rows_all + {shards - 1}) div {shards}"))
     else:
-        running = F.sum("size").over(Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
-        middle = 2 * (F.col("bytes_before") + running) - F.col("size")
-        placed = placed.withColumn("middle", middle).withColumn("shard", F.expr(f"least({shards - 1}, (middle * {shards}) div (2 * all_bytes))").cast("int"))
-        starts = placed.groupBy("shard").agg(F.min("rank").alias("first"))
-        placed = placed.join(F.broadcast(starts), "shard").withColumn("slot", F.col("rank") - F.col("first"))
-    return placed.select(id_col, "size", "text_crc32", "curve", F.lit(law).alias("law"), "shard", "slot")
+        running = F.sum("_size").over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+        placed = placed.withColumn("_middle", 2 * (F.col("_bytes_before") + running) - F.col("_size"))
+        placed = placed.withColumn("_shard", F.expr(f"least({shards - 1}, (_middle * {shards}) div (2 * _bytes_all))").cast("int"))
+        starts = placed.groupBy("_shard").agg(F.min("_rank").alias("_first"))
+        placed = placed.join(F.broadcast(starts), "_shard").withColumn("_slot", F.col("_rank") - F.col("_first"))
+    made = {"size": "_size", "text_crc32": "_crc", "curve": "_curve", "shard": "_shard", "slot": "_slot"}
+    return placed.select(id_col, *(c for c in kept if c not in {*made, "law"}), *(F.col(v).alias(k) for k, v in made.items()), F.lit(law).alias("law"))
+
+
+def ranges(placed: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """``shard`` and, for each of ``dims``, ``min_``, ``max_`` and ``null_``: what a reader prunes shards by."""
+    stated = [x for d in dims for x in (F.min(d).alias(f"min_{d}"), F.max(d).alias(f"max_{d}"), F.max(F.col(d).isNull()).alias(f"null_{d}"))]
+    return placed.groupBy("shard").agg(F.count("*").alias("rows"), *stated)
+
+
+def shards_with(stated: DataFrame, column: str, low, high) -> DataFrame:
+    """Shards of ``ranges`` that may hold a value from ``low`` to ``high`` in ``column``."""
+    return stated.where((F.col(f"min_{column}") <= F.lit(high)) & (F.col(f"max_{column}") >= F.lit(low))).select("shard")
+
+
+def write_shards(docs: DataFrame, path: str, *, dims: tuple[str, ...] = ("lang", "source", "n_chars"), **how) -> DataFrame:
+    """Writes ``docs`` as one folder a shard, rows in curve order, and returns the ``ranges`` of what it wrote."""
+    placed = shard(docs, dims=dims, keep=tuple(docs.columns), **how)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return ranges(docs.sparkSession.read.parquet(path), dims)
