@@ -1,14 +1,16 @@
 """Sequence packing: vector bin packing by the dot-product heuristic.
 
 Documents become token ids (plus an end id) and are placed in sequences under three
-simultaneous limits: tokens, segments and loss-bearing tokens.  Whole sequences are
-cut off long documents first; what is left of each document is an item.  An open
-sequence takes the item that fits and whose demand vector has the largest dot
-product with the room that is left; when no item fits, a piece of the largest item
-fills the rest.  Every input partition packs its own documents in runs of bounded
-size and hands the last open sequence on to the next run, so nothing is shuffled
-and no group of rows has to meet in one task.  The rest of a partition is cut at
-powers of two, which need no padding.
+simultaneous limits: tokens, segments and loss-bearing tokens.  The ids of a prompt
+(another column, or the first line of a text of several lines) bear no loss.  Long
+documents are first cut into pieces that alone use up a sequence's tokens or loss;
+what is left of each is an item.  An open sequence takes the item that fits and whose
+demand vector (tokens, loss-bearing tokens, one segment) has the largest dot product
+with the room that is left; when no item fits, the longest head that does fit, which
+is silent ids alone once the loss is used up, fills the rest.  Every input partition
+packs its own documents in runs of bounded size and hands the last open sequence on to
+the next run, so nothing is shuffled and no group of rows has to meet in one task.  The
+rest of a partition is cut at powers of two, which need no padding.
 
 Defined cases: null text counts as empty (the end id alone); repeated rows are
 packed each; very long documents are cut; an empty table gives no sequence.  Other
@@ -151,6 +153,14 @@ class WordIds(dict):
             lengths.append(len(ids) + (end is not None))
         return np.concatenate(parts) if parts else body, np.concatenate([[0], np.cumsum(lengths)]), index, first
 
+    def first_lines(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How many of each document's ids belong to its first line; 0 if nothing but blanks comes after it."""
+        raw, heads = data.tobytes(), []
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            end = raw.find(b"\n", a, b)
+            heads.append(raw[a:end] if end >= 0 and raw[end:b].strip() else b"")
+        return np.diff(self.documents(np.frombuffer(b"".join(heads), dtype=np.uint8), np.cumsum([0, *map(len, heads)]), None)[1])
+
     def _piece_of_special(self) -> list[bytes]:
         if not hasattr(self, "_special"):
             self._special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -170,8 +180,8 @@ def word_ids(path: str) -> WordIds:
 @dataclass
 class Limits:
     tokens: int = 2048
-    segments: int = 256
-    loss: int = 2048
+    segments: int = 16
+    loss: int = 2016
 
 
 @dataclass
@@ -237,13 +247,12 @@ def pack(items: list[Item], limits: Limits) -> list[list[Item]]:
                 dot = tokens * (room / limits.tokens**2) + want * (loss / limits.loss**2) + seats / limits.segments**2
                 item = shelf.take(int(np.where(fits, dot, -1).argmax()))
             else:
-                big = shelf.take(int(np.where(shelf.count[:n] > 0, tokens, -1).argmax()))
-                silent = max(0, big.quiet - big.start)
-                size = min(room, len(big.ids), silent + loss)
-                if size <= 0:
-                    shelf.put(big)
+                # silent ids come first in an item, so its head of (silent + loss left) ids is the longest that fits
+                head = np.minimum(np.minimum(tokens, room), tokens - want + loss) * (shelf.count[:n] > 0)
+                k = int(np.where(head == head.max(), tokens, -1).argmax())
+                if head[k] <= 0:
                     break
-                item, rest = big.head(size)
+                item, rest = shelf.take(k).head(int(head[k]))
                 if rest is not None:
                     shelf.put(rest)
             sequence.append(item)
@@ -273,15 +282,16 @@ def _powers(sequence: list[Item]) -> list[list[Item]]:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, end_id: int = 1, limits: Limits | None = None, with_ids: bool = True) -> DataFrame:
-    """One row a piece: its document, place in the document and place in its sequence.
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, end_id: int = 1, limits: Limits | None = None, first_line_prompt: bool = False, with_ids: bool = True) -> DataFrame:
+    """One row a piece: its document, place in the document, loss-bearing ids and place in its sequence.
 
     ``prompt_col``: text that comes before the document's and whose ids bear no loss.
+    ``first_line_prompt``: the first line of a text of several lines bears no loss.
     ``with_ids``: also return the piece's ``ids``.
     """
     limits = limits or Limits()
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 
     def run(batches):
         ids_of = word_ids(tokenizer_path)
@@ -290,18 +300,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
 
         def rows(sequences):
             nonlocal made
-            cols = [[] for _ in range(8)]
+            cols = [[] for _ in range(9)]
             for sequence in sequences:
                 offset = 0
                 for x in sequence:
                     ids = np.ascontiguousarray(x.ids, dtype="<u4")
-                    for c, v in zip(cols, (x.key, x.start, len(ids), zlib.crc32(ids.tobytes()), x.total, base + made, offset, ids if with_ids else None), strict=True):
+                    for c, v in zip(cols, (x.key, x.start, len(ids), zlib.crc32(ids.tobytes()), x.total, base + made, offset, x.loss(len(ids)), ids if with_ids else None), strict=True):
                         c.append(v)
                     offset += len(ids)
                 made += 1
-            arrays = [pa.array(cols[0], type=key_type), *(pa.array(c, pa.int64()) for c in cols[1:7])]
+            arrays = [pa.array(cols[0], type=key_type), *(pa.array(c, pa.int64()) for c in cols[1:8])]
             if with_ids:
-                arrays.append(pa.array([x.astype(np.int32) for x in cols[7]], pa.list_(pa.int32())))
+                arrays.append(pa.array([x.astype(np.int32) for x in cols[8]], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names=names + ["ids"] * with_ids)
 
         waiting: list[Item] = []
@@ -315,15 +325,20 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
                     before = [(p or "").encode() for p in part.column(2).to_pylist()]
                     p_ids, p_cuts = ids_of.documents(np.frombuffer(b"".join(before), dtype=np.uint8), np.cumsum([0, *map(len, before)]), None)
                     quiet = np.diff(p_cuts)
+                if first_line_prompt:
+                    quiet = quiet + ids_of.first_lines(data, offsets)
                 full = []
                 for i, key in enumerate(part.column(0).to_pylist()):
                     own = ids[cuts[i] : cuts[i + 1]]
-                    if quiet[i]:
+                    if prompt_col is not None:
                         own = np.concatenate([p_ids[p_cuts[i] : p_cuts[i + 1]], own])
                     item = Item(key, own.copy(), 0, int(quiet[i]), len(own))
-                    while item is not None and len(item.ids) >= limits.tokens and item.loss(limits.tokens) <= limits.loss:
-                        head, item = item.head(limits.tokens)
-                        full.append([head])
+                    while item is not None and len(item.ids) > (size := min(limits.tokens, limits.loss + max(0, item.quiet - item.start))):
+                        head, item = item.head(size)
+                        if size == limits.tokens:
+                            full.append([head])
+                        else:
+                            waiting.append(head)
                     if item is not None:
                         waiting.append(item)
                 if full:
