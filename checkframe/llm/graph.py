@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, release
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(id, label)`` of every id in ``links`` (columns ``a``, ``b``): the smallest id that can be reached.
 
     Alternates two contractions until nothing changes: every node hands its larger
-    neighbours, then its smaller ones, to the smallest node it sees.  Each step is
-    grouped minima and equi-joins, whose hot keys Spark aggregates early or splits.
+    neighbours, then its smaller ones, to the smallest node it sees.  The smallest nodes
+    are grouped minima, which Spark combines before it shuffles; they are written before
+    the links are joined with them, so both sides of the join are plain shuffles and Spark
+    splits the links of a hub over several tasks.  Links from or to null are left out; no
+    links give no rows.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        onward = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        release(edges, low)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        onward = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(onward.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        release(large, low)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == state:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .arrays import distinct, mix64, shingles, slices, stream64, words
 from .common import BROADCAST_ROWS, per_slice, small_batches
 from .graph import components
-from .storage import cut
+from .storage import cut, release
 
 REGISTERS = 256
 #: Two sets of similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 51 < 2e-9.
@@ -42,8 +42,9 @@ MARGIN = 0.15
 
 #: Members of a bucket up to which different components are compared by pairs of rows.
 SMALL_BUCKET = 32
-#: Documents of a block on either side of a comparison in larger ones.
+#: Documents of a block on either side of a comparison in larger ones, and shingles of all its sets together, on average.
 QUERY_BLOCK, MEMBER_BLOCK = 512, 2048
+QUERY_SHINGLES, MEMBER_SHINGLES = 1 << 20, 1 << 22
 #: Cells of a block's incidence matrix.
 _CELLS = 8 << 20
 
@@ -223,18 +224,20 @@ def _block_links(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table
     return pa.table({"a": queries["id"].take(pa.array(a, pa.int64())), "b": members["id"].take(pa.array(b, pa.int64()))})
 
 
-def crowd_links(crowd: DataFrame, labels: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+def crowd_links(crowd: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Links between different components within crowds of near copies.
 
     ``crowd`` has the members of large buckets with one representative each; buckets
     that share members are one crowd.  All documents outside a crowd's main component
-    are compared with all its members, block by block, on full sets.
+    are compared with all its members, block by block, on full sets.  Blocks are bounded
+    by documents and by shingles.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     of = components(crowd.select(F.col("id").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("label", "crowd")
-    member = cut(of.join(labels, "id", "left").select("id", "crowd", F.coalesce("label", "id").alias("label")))
-    sizes = member.groupBy("crowd", "label").agg(F.count("*").alias("c")).groupBy("crowd").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("g"), F.max("c").alias("most")).where("most < g")
-    member = cut(member.join(sizes, "crowd"))
+    member = cut(of.join(labels, "id", "left").join(reps.select("id", "n"), "id").select("id", "crowd", "n", F.coalesce("label", "id").alias("label")))
+    parts = member.groupBy("crowd", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sizes = cut(parts.groupBy("crowd").agg(F.max(F.struct("c", "label", "s")).alias("most"), F.sum("c").alias("g"), F.sum("s").alias("s")).where("most.c < g").select("crowd", F.col("most.label").alias("main"), "g", "s", (F.col("g") - F.col("most.c")).alias("out_g"), (F.col("s") - F.col("most.s")).alias("out_s")))
+    member = cut(member.drop("n").join(sizes, "crowd"))
 
     def sets(rows, data, offsets):
         h, doc = distinct(*shingles(words(data, offsets), n))
@@ -246,7 +249,8 @@ def crowd_links(crowd: DataFrame, labels: DataFrame, docs: DataFrame, *, id_col:
     ids = F.broadcast(ids) if member.count() <= BROADCAST_ROWS else ids
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
     full = cut(texts.transform(small_batches).mapInArrow(per_slice(sets), f"id {kind}, set binary").dropDuplicates(["id"]).join(member, "id"))
-    n_query, n_member = (F.ceil(x / size).cast("int") for x, size in ((F.col("g") - F.col("most"), QUERY_BLOCK), (F.col("g"), MEMBER_BLOCK)))
+    n_query = F.ceil(F.greatest(F.col("out_g") / QUERY_BLOCK, F.col("out_s") / QUERY_SHINGLES)).cast("int")
+    n_member = F.ceil(F.greatest(F.col("g") / MEMBER_BLOCK, F.col("s") / MEMBER_SHINGLES)).cast("int")
     block = F.xxhash64("id")
     left = full.where("label <> main").withColumn("qb", F.pmod(block, n_query).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), n_member - 1)))
     right = full.withColumn("mb", F.pmod(block, n_member).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), n_query - 1)))
@@ -255,14 +259,19 @@ def crowd_links(crowd: DataFrame, labels: DataFrame, docs: DataFrame, *, id_col:
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept`` of every row."""
+    """``id_col``, ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept`` of every row.
+
+    What is grouped by a band key, or by an id that a bucket's pairs share, is written
+    before the rows are joined with it, so Spark can split the rows of a hot key.
+    """
     signed = cut(signatures(docs, id_col=id_col, text_col=text_col, n=n))
     known = signed.where("n > 0 AND id IS NOT NULL")
     classes = known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("regs").alias("regs"))
     reps = cut(classes.select(F.col("rep").alias("id"), "n", "s1", "s2", "regs"))
-    member = buckets(reps)
-    crowded = member.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("rep")).where("size > 1")
+    member = cut(buckets(reps))
+    crowded = cut(member.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("rep")).where("size > 1"))
     shared = cut(member.join(crowded, "key").select("key", "id", "rep", "size"))
+    release(member, crowded)
     how = {"id_col": id_col, "text_col": text_col, "n": n, "percent": percent}
 
     def pair(x, y):
@@ -271,24 +280,30 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     def confirmed(pairs):
         tried = cut(pairs.distinct())
         near = cut(likely(tried, reps, percent))
-        return tried, cut(verify(near, docs, **how))
+        found = cut(verify(near, docs, **how))
+        release(near)
+        return tried, found
 
     def mixed_buckets(labels):
         """Rows of buckets that hold several components, with a representative drawn by hash."""
-        seen = shared.join(labels, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label"))
+        seen = cut(shared.join(labels, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label")))
         mixed = seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "label")).alias("rep")).where("lo <> hi")
-        return cut(seen.join(mixed.select("key", F.col("rep.id").alias("rep"), F.col("rep.label").alias("rep_label")), "key"))
+        mixed = cut(mixed.select("key", F.col("rep.id").alias("rep"), F.col("rep.label").alias("rep_label")))
+        found = cut(seen.join(mixed, "key"))
+        release(seen, mixed)
+        return found
 
     tried, links = confirmed(shared.where("id <> rep").select(*pair(F.col("id"), F.col("rep"))))
     seen = mixed_buckets(components(links))
     few = seen.where(F.col("size") <= SMALL_BUCKET)
     pairs = few.select("key", F.col("id").alias("x"), F.col("label").alias("x_label")).join(few.select("key", F.col("id").alias("y"), F.col("label").alias("y_label")), "key").where("x < y AND x_label <> y_label").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    _, more = confirmed(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+    tried_too, more = confirmed(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+    release(shared, tried, tried_too)
     links = links.union(more)
     labels = components(links)
     crowd = seen.where(F.col("size") > SMALL_BUCKET).select("id", "rep")
     if not crowd.isEmpty():
-        links = links.union(cut(crowd_links(crowd, labels, docs, **how)))
+        links = links.union(cut(crowd_links(crowd, labels, reps, docs, **how)))
         labels = components(links)
     of_class = reps.join(labels, "id", "left").select("n", "s1", "s2", F.coalesce("label", "id").alias("component"))
     out = signed.select("id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")

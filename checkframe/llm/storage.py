@@ -1,7 +1,8 @@
 """Intermediate results that survive lost executors.
 
-Everything lands in the folder named by ``spark.checkpoint.dir``; a folder of our
-own is set only where that is unset, as in local tests.
+Everything lands in the folder named by ``spark.checkpoint.dir``.  Where that is unset,
+a local session gets a temporary folder of its own and any other one a folder in the
+warehouse, which its executors share.  An empty result is kept as a table without rows.
 """
 
 from __future__ import annotations
@@ -20,12 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
     if not named:
         set_dir = jsc.getCheckpointDir()
-        named = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="checkframe-")
+        named = set_dir.get() if set_dir.isDefined() else _own_dir(spark)
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def _own_dir(spark: SparkSession) -> str:
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return tempfile.mkdtemp(prefix="checkframe-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkframe-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as Parquet in the shared folder; later reads never recompute it.
 
@@ -34,4 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def release(*kept: DataFrame) -> None:
+    """Removes the files of ``cut`` results that nothing reads any more."""
+    for df in kept:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
