@@ -33,7 +33,9 @@ class Result:
 
     def failures(self, *keys: str) -> DataFrame:
         """One row an error, with the given columns of its record."""
-        return self.annotated.where(F.size(ERRORS) > 0).select(*keys, F.inline(ERRORS))
+        # not ``inline``: Spark would add a filter on the errors' size and build them twice
+        found = self.annotated.select(*keys, F.explode_outer(ERRORS).alias("_error"))
+        return found.where(F.col("_error").isNotNull()).select(*keys, "_error.*")
 
     @property
     def valid(self) -> DataFrame:
@@ -114,35 +116,51 @@ class _Walk:
                 raise ConfigError(f"{static}: nested needs a struct")
             inner = Errors()
             self.model(spec.nested, value.column.getField, value.dtype, path, static, tests, inner)
-            errors.extend(F.when(value.column.isNotNull(), inner.column()))
+            failed = inner.failed()
+            errors.extend(F.when(value.column.isNotNull(), inner.column()), None if failed is None else F.coalesce(value.column.isNotNull() & failed, F.lit(False)))
         if spec.dive is not None:
-            errors.extend(self.dive(value, spec.dive, path, static, tests))
+            errors.extend(*self.dive(value, spec.dive, path, static, tests))
 
-    def dive(self, value: Value, dive: Dive | MapDive, path: Path, static: str, tests: tuple) -> Column:
+    def dive(self, value: Value, dive: Dive | MapDive, path: Path, static: str, tests: tuple) -> tuple[Column, Column | None]:
+        """Errors of the elements, and whether any element fails, which is asked first."""
         if isinstance(dive, MapDive):
             if not isinstance(value.dtype, T.MapType):
                 raise ConfigError(f"{static}: keys and values need a map")
 
-            def entry(e: Column) -> Column:
+            def entry(e: Column) -> Errors:
                 place = F.concat(F.lit("["), F.regexp_replace(F.to_json(F.array(e["key"])), r"^\[|\]$", ""), F.lit("]"))
                 out = Errors()
                 own = (*tests, (len(parts(static)), place))
                 for column, dtype, spec in ((e["key"], value.dtype.keyType, dive.keys), (e["value"], value.dtype.valueType, dive.values)):
                     self.element(column, dtype, spec, path.at(place), static + "[]", F.concat(F.lit(static.rsplit(".", 1)[-1]), place), own, out)
-                return out.column()
+                return out
 
-            return F.flatten(F.transform(F.map_entries(value.column), entry))
+            entries = F.map_entries(value.column)
+            return self._guarded(entries, lambda e: entry(e).column(), entry)
         if not isinstance(value.dtype, T.ArrayType):
             raise ConfigError(f"{static}: dive needs an array or a map")
 
-        def item(x: Column, i: Column) -> Column:
+        def item(x: Column, i: Column) -> Errors:
             place = F.concat(F.lit("["), i.cast("string"), F.lit("]"))
             out = Errors()
             own = (*tests, (len(parts(static)), place))
             self.element(x, value.dtype.elementType, dive, path.at(place), static + "[]", F.concat(F.lit(static.rsplit(".", 1)[-1]), place), own, out)
-            return out.column()
+            return out
 
-        return F.flatten(F.transform(value.column, item))
+        return self._guarded(value.column, lambda x, i: item(x, i).column(), lambda x: item(x, F.lit(0)))
+
+    def _guarded(self, array: Column, errors_of: Callable, item: Callable[[Column], Errors]) -> tuple[Column, Column | None]:
+        every = F.flatten(F.transform(array, errors_of))
+        known = []
+
+        def fails(x: Column) -> Column:
+            known.append(item(x).failed())
+            return F.lit(True) if known[-1] is None else known[-1]
+
+        if self.selection.mode in ("partial", "except"):
+            return every, None  # which elements count depends on their places
+        failed = F.coalesce(F.exists(array, fails), F.lit(False))
+        return (every, None) if known[-1] is None else (F.when(failed, every), failed)
 
     def element(self, column: Column, dtype: T.DataType, spec: Dive, path: Path, static: str, name: Column, tests: tuple, errors: Errors) -> None:
         if not self.selection.enters(static):
@@ -233,12 +251,12 @@ class Checker:
         """The schema over JSON text in a column."""
         if self.schema is None:
             raise ConfigError("no schema")
-        return Result(df.withColumn(ERRORS, self.schema.errors(self.registry, df[column])))
+        return Result(self.schema.annotate(self.registry, df, df[column], ERRORS))
 
     def validate_rows(self, df: DataFrame) -> Result:
         """The schema over typed columns, seen as the JSON object they make."""
         if self.schema is None:
             raise ConfigError("no schema")
-        return Result(df.withColumn(ERRORS, self.schema.errors(self.registry, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))))
+        return Result(self.schema.annotate(self.registry, df, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), ERRORS))
 
 

@@ -136,17 +136,32 @@ class Errors:
 
     def __init__(self):
         self.parts: list[tuple[Column, Column] | Column] = []
+        #: tests of all parts; None once a part came without one
+        self.tests: list[Column] | None = []
 
     def add(self, when: Column, what: Column) -> None:
         self.parts.append((when, what))
+        if self.tests is not None:
+            self.tests.append(when)
 
-    def extend(self, array: Column) -> None:
+    def extend(self, array: Column, failed: Column | None = None) -> None:
+        """An array of errors; ``failed`` tells, more cheaply, whether it holds any."""
         self.parts.append(array)
+        self.tests = None if failed is None or self.tests is None else [*self.tests, failed]
+
+    def failed(self) -> Column | None:
+        """Whether any error holds, if all parts can tell."""
+        if self.tests is None:
+            return None
+        out = F.lit(False)
+        for test in self.tests:
+            out = out | test
+        return out
 
     def column(self) -> Column:
-        """Records that pass everything pay for the tests only."""
+        """Records, and elements, that pass everything pay for the tests only."""
         empty = F.array().cast("array<" + FIELD_ERROR.simpleString() + ">")
-        arrays, singles, any_failed, more = [], [], None, False
+        arrays, singles = [], []
 
         def flush():
             if singles:
@@ -156,13 +171,11 @@ class Errors:
         for part in self.parts:
             if isinstance(part, tuple):
                 singles.append(part)
-                any_failed = part[0] if any_failed is None else any_failed | part[0]
             else:
                 flush()
-                more = True
                 arrays.append(F.coalesce(part, empty))
         flush()
         if not arrays:
             return empty
         out = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-        return out if more else F.when(any_failed, out).otherwise(empty)
+        return out if self.tests is None else F.when(self.failed(), out).otherwise(empty)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,6 +121,18 @@ def _get(v: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, f'$["{quoted}"]', kind)
 
 
+class _Shared:
+    """Columns that are used many times and computed once; each level reads those before it."""
+
+    def __init__(self):
+        self.levels: dict[int, list[tuple[str, Column]]] = {}
+
+    def keep(self, column: Column, level: int) -> Column:
+        own = self.levels.setdefault(level, [])
+        own.append((f"_read_{level}_{len(own)}", column))
+        return F.col(own[-1][0])
+
+
 class Schema:
     """A strict schema: ``fields`` by name, each with ``type``, ``rules`` and ``fields``."""
 
@@ -145,21 +157,30 @@ class Schema:
         except yaml.YAMLError as e:
             raise InvalidSchema(str(e)) from e
 
-    def errors(self, registry: Registry, text: Column) -> Column:
-        """Errors of JSON text; text that is no object gives one ``type`` error at ``$value``."""
-        root = F.try_parse_json(text)
+    def annotate(self, registry: Registry, df: DataFrame, text: Column, name: str) -> DataFrame:
+        """``df`` with the errors of JSON text as ``name``; text that is no object gives one ``type`` error at ``$value``.
+
+        The text is parsed once, and each value is read once, in projections of their own.
+        """
+        shared = _Shared()
+        root = shared.keep(F.try_parse_json(text), 0)
         inner = Errors()
-        self._object(registry, root, self.fields, Path(), inner)
+        self._object(registry, root, self.fields, Path(), inner, shared, 1)
         wrong = Errors()
         wrong.add(F.lit(True), self._type_error(root, Path(("$value",)), "$value", "object"))
         is_object = F.coalesce(_fits(root, "object"), F.lit(False))
-        return F.when(is_object, inner.column()).otherwise(wrong.column())
+        errors = F.when(is_object, inner.column()).otherwise(wrong.column())
+        given = [df[c] for c in df.columns]
+        for level in sorted(shared.levels):
+            df = df.select("*", *(c.alias(k) for k, c in shared.levels[level]))
+        return df.select(*given, errors.alias(name))
 
     def _type_error(self, v: Column, path: Path, name, expected: str) -> Column:
         made = error(Failure(F.lit(True), "type", "type", {"expected": expected}), path, name, "")
         return made.withField("kind", _kind(v))
 
-    def _object(self, registry: Registry, root: Column, fields: dict[str, FieldDef], path: Path, errors: Errors) -> None:
+    def _object(self, registry: Registry, root: Column, fields: dict[str, FieldDef], path: Path, errors: Errors, shared: _Shared | None = None, level: int = 0) -> None:
+        """Errors of an object's fields; ``shared`` keeps what is read of them, but not inside arrays."""
         def sibling(asked: str) -> Value:
             column, defs, found = root, fields, None
             for step in [asked] if asked in fields else asked.split("."):
@@ -170,7 +191,16 @@ class Schema:
             return self._value(parent, step, found.type or "string", found)
 
         for name, spec in fields.items():
-            self._one(registry, _get(root, name), lambda kind, name=name, spec=spec: self._value(root, name, kind, spec, sibling), spec, path.child(name), name, errors)
+            v = _get(root, name)
+            v = v if shared is None else shared.keep(v, level)
+
+            def value(kind: str, name=name, spec=spec) -> Value:
+                found = self._value(root, name, kind, spec, sibling)
+                if shared is not None:
+                    found.column = shared.keep(found.column, level)
+                return found
+
+            self._one(registry, v, value, spec, path.child(name), name, errors, shared, level + 1)
 
     def _value(self, parent: Column, name: str, kind: str, spec: FieldDef, siblings=None) -> Value:
         if kind == "object":
@@ -182,7 +212,7 @@ class Schema:
             return Value(F.transform(items, lambda x: F.when(x.isNotNull() & ~F.is_variant_null(x), F.to_json(x))), T.ArrayType(T.StringType()), siblings=siblings)
         return Value(_get(parent, name, _READ[kind]), _SPARK[kind], _KIND[kind], siblings=siblings)
 
-    def _one(self, registry: Registry, v: Column, value, spec: FieldDef, path: Path, name, errors: Errors) -> None:
+    def _one(self, registry: Registry, v: Column, value, spec: FieldDef, path: Path, name, errors: Errors, shared: _Shared | None, level: int) -> None:
         registry.check_names(spec.steps)
         there = v.isNotNull() & ~F.is_variant_null(v)
         if spec.type is None:
@@ -197,7 +227,7 @@ class Schema:
             errors.add(fits & f.when, error(f, path, name, _KIND[spec.type]))
         if spec.type == "object" and spec.fields:
             inner = Errors()
-            self._object(registry, v, spec.fields, path, inner)
+            self._object(registry, v, spec.fields, path, inner, shared, level)
             errors.extend(F.when(there & fits, inner.column()))
         elif spec.type == "array" and spec.fields:
             items = F.try_variant_get(v, "$", "array<variant>")
