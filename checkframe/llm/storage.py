@@ -33,19 +33,26 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkframe-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` computed once and kept as Parquet in the shared folder; later reads never recompute it.
 
     Parquet takes less room than ``checkpoint()`` and lets later steps read single columns.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
 
 
+def kept_bytes(df: DataFrame) -> int:
+    """Bytes that a ``cut`` result takes on disk."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def release(*kept: DataFrame) -> None:
     """Removes the files of ``cut`` results that nothing reads any more."""
     for df in kept:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from checkframe.llm import arrays, decontamination, graph, language, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
+from checkframe.llm import arrays, decontamination, graph, language, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -257,57 +257,6 @@ def test_hilbert_curve_moves_one_cell_a_step():
         assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = _next(row, i, x, b)
-    return row[-1]
-
-
-def _next(row, i, x, b):
-    out = [i]
-    for j, y in enumerate(b, 1):
-        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
-    return out
-
-
-@pytest.mark.parametrize("hot", [32, 1])
-def test_line_links(spark, monkeypatch, hot):
-    monkeypatch.setattr(line_dedup, "HOT_BUCKET", hot)
-    rng = random.Random(6)
-    lines = {"".join(rng.choice("abcd ") for _ in range(rng.randint(18, 30))).strip() for _ in range(60)}
-    for line in sorted(lines)[:40]:
-        at = rng.randrange(len(line))
-        lines |= {line[:at] + line[at + 1 :], line[:at] + "z" + line[at:], line[:at] + "q" + line[at + 1 :]}
-    lines = sorted(x for x in lines if x == x.strip())
-    frame = spark.createDataFrame(list(enumerate(lines)), "lid bigint, line string")
-    texts, near = line_dedup.links(line_dedup.hashed(frame.select("line")).unionByName(line_dedup.hashed(frame.select("line").limit(5))))
-    place = {r.lid: lines.index(r.line) for r in texts.collect()}
-    got = {tuple(sorted((place[r.a], place[r.b]))) for r in near.collect()}
-    want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if min(len(lines[i]), len(lines[j])) >= 20 and abs(len(lines[i]) - len(lines[j])) <= 1 and distance(lines[i], lines[j]) <= 1}
-    assert got == want
-
-
-def test_line_dedup(spark):
-    long = "this is a line of more than twenty characters"
-    texts = [f"first text here\n{long}\nshort", f"{long}x\nother words here", f"a\n\n{long}\n{long}", None, "", "first text here", "same same"]
-    frame = spark.createDataFrame(rows_of(texts), SCHEMA)
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(frame).collect()}
-    assert got == {0: (texts[0], 0), 1: ("other words here", 1), 2: ("a\n", 2), 3: (None, 0), 4: ("", 0), 5: ("", 1), 6: ("same same", 0)}
-    assert line_dedup.dedup_lines(empty(spark)).count() == 0
-
-
-def test_line_dedup_of_rows_that_share_an_id(spark):
-    dup = "this line is in three documents"
-    rows = [(1, dup), (None, f"unique line a\n{dup}"), (None, f"{dup}\nunique line b"), (7, "text one of seven\nend of seven"), (7, f"{dup}\nother of seven")]
-    rows += [(None, "only without ids\nrest c of it"), (None, "only without ids\nrest d of it")]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    got = sorted(r.text for r in line_dedup.dedup_lines(frame).collect())
-    kept = [dup, "unique line a", "unique line b", rows[3][1], "other of seven"]
-    either = [sorted([*kept, *pair]) for pair in (("only without ids\nrest c of it", "rest d of it"), ("rest c of it", "only without ids\nrest d of it"))]
-    assert got in either
-
-
 def labelled(spark, docs):
     """Every fifth document is bad: stuttering and full of insults."""
     changed = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 2, F.concat(F.col("text"), F.lit(" you idiot moron. " + "blah " * 30))).otherwise(F.col("text")))
