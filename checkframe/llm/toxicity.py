@@ -5,7 +5,8 @@ are mined from the labelled training rows by their class counts.  A generative m
 over the vote patterns of all training rows estimates the voters' accuracies and
 pairs up those whose votes are correlated given the class.  Its posterior labels
 train a linear classifier on bare-word indicators, over a bounded sample of training
-rows (``fit_rows``); the scores are calibrated on the labelled rows among them.
+rows (``fit_rows``); the scores are calibrated on labelled rows of the sample that the
+classifier was not fitted on.
 
 Defined cases: null text counts as empty and scores by the bias alone; null labels are
 not learned from; of several labels for one id the largest counts; with no rows to
@@ -33,8 +34,6 @@ FIT_ROWS = 16000
 #: are dealt into 64 cells by their smallest word hash, which copies and near copies
 #: share; the word is in so many cells at least, so words of a few copied texts don't count.
 MINED_ODDS, MINED_CELLS = 8.0, 12
-#: The lexicon that is mined holds so many words at most, the most frequent ones.
-MINED_WORDS = 5000
 MINED_VOTERS = 3
 
 # Lexicons of general insults by kind, several languages each.
@@ -131,7 +130,7 @@ def _mine(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     summed = known.transform(small_batches).mapInArrow(per_slice(count), "word long, n0 long, n1 long, cells long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("cells").alias("cells"))
     p1, p0 = (F.col("n1") + 0.5) / (n[1] + 1), (F.col("n0") + 0.5) / (n[0] + 1)
     telling = summed.where((F.bit_count("cells") >= MINED_CELLS) & (p1 / (1 - p1) >= MINED_ODDS * p0 / (1 - p0)))
-    found = telling.orderBy(F.desc("n1"), "word").limit(MINED_WORDS).select("word").toPandas()["word"].to_numpy(dtype=np.int64)
+    found = telling.select("word").toPandas()["word"].to_numpy(dtype=np.int64)  # 8 bytes a word
     return np.sort(found.view(np.uint64)), n
 
 
@@ -175,12 +174,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
     got = part.transform(small_batches).mapInArrow(per_slice(sparse), "y int, p double, words binary").toPandas()
     rows = [np.frombuffer(x, dtype=np.uint64) for x in got["words"]]
     vocabulary, count = np.unique(np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint64), return_counts=True)
-    vocabulary = vocabulary[count >= 3]
+    telling = np.union1d(mined, np.concatenate([_hash_of(x) for x in LEXICONS.values()]))
+    vocabulary = vocabulary[(count >= 3) | np.isin(vocabulary, telling)]
     cells = [x[x >= 0] for x in (_lookup(r, vocabulary) for r in rows)]
-    weight, bias = logistic(cells, got["p"].to_numpy(), len(vocabulary))
+    fit = np.arange(len(cells)) % 4 != 3
+    weight, bias = logistic([x for x, f in zip(cells, fit, strict=True) if f], got["p"].to_numpy()[fit], len(vocabulary))
     margin = np.array([weight[x].sum() + bias for x in cells])
-    has = got["y"].notna().to_numpy()
-    slope, offset = platt(margin[has], (got["y"].to_numpy()[has] > 0).astype(float)) if has.sum() >= 20 else (1.0, 0.0)
+    has = got["y"].notna().to_numpy() & ~fit
+    slope, offset = platt(margin[has], (got["y"].to_numpy()[has] > 0).astype(float))
     used = weight != 0
     return Model(vocabulary[used], weight[used], bias, slope, offset, model)
 
