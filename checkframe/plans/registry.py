@@ -28,6 +28,8 @@ class Registry:
 
     def add_rule(self, rule: Rule) -> None:
         self._free(rule.name)
+        if rule.signature.field and not rule.name.endswith("_field"):
+            raise InvalidExpression(f"{rule.name}: the name of a rule that looks at other fields ends in _field")
         self.rules[rule.name] = rule
 
     def add_alias(self, name: str, expression: str) -> None:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rule import Rule
 from ..i18n import Catalog, Locale
-from ..operators import Dive, Field, MapDive, Model, Checker
+from ..operators import Checker, Dive, Field, MapDive, Model
 from ..operators.engine import ERRORS
+from ..plans.signature import Signature
 from ..sources import Schema
 
 CUSTOMER = Model("Customer", {"c_name": "required,startswith=Customer#,length(exact=18)", "c_acctbal": "gte=0", "c_mktsegment": "oneof(BUILDING,MACHINERY)"})
@@ -141,6 +142,39 @@ def field_ship_after_order(spark, sf_dir):
     return found.failures("l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "field", "rule")
 
 
+TALK = """{"fields": {
+  "meta": {"type": "object", "fields": {"turns": {"type": "int", "rules": "lte=4"}, "first": {"rules": [{"oneof": ["user", "assistant"]}]}}},
+  "turns": {"type": "array", "rules": "length(max=6)", "fields": {"role": {"type": "string", "rules": "oneof(user,assistant)"}, "text": {"type": "string", "rules": "max=400"}, "turn": {"type": "uint", "rules": "lt=3"}}}}}"""
+
+
+def schema_conversations(spark, sf_dir):
+    """A schema from text over conversations as JSON: nested objects, arrays, an untyped field."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    talks = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = talks.select("conv_id", F.to_json(F.struct(F.struct(F.size("turns").alias("turns"), F.get("turns", 0)["role"].alias("first")).alias("meta"), "turns")).alias("talk"))
+    return Checker(Schema.from_json(TALK)).validate_json(rows, "talk").failures("conv_id").select("conv_id", "namespace", "kind", "rule")
+
+
+def field_dotted(spark, sf_dir):
+    """A rule that looks at a field of a nested record."""
+    rows = _orders(spark, sf_dir).join(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price")), "k")
+    return _places(Checker().validate(rows, Model("Order", {"price": "gt_field=customer.balance"})).failures("k"))
+
+
+def custom_rule_with_parameter(spark, sf_dir):
+    multiple = Rule("multiple", lambda v, p: v.column % int(p["of"]) == 0, Signature("text", "of"))
+    found = Checker().rule(multiple).validate(_read(spark, sf_dir, "part"), Model("Part", {"p_size": "multiple=3"})).failures("p_partkey")
+    return found.select("p_partkey", "rule", F.get("params", 0)["text"].alias("of"))
+
+
+def i18n_order_and_fallback(spark, sf_dir):
+    """An unknown locale falls back; a template of the rule's name goes before one of its reason, which an alias hands on."""
+    checker = Checker().alias("balance", "gte=0").alias("segment", "oneof(BUILDING,MACHINERY)")
+    catalog = Catalog().use_locale(Locale.from_json("en", '{"rules": {"balance": "{field} is overdrawn"}, "fields": {"c_acctbal": "Account"}}'))
+    found = checker.validate(_read(spark, sf_dir, "customer"), Model("Customer", {"c_acctbal": "balance", "c_mktsegment": "segment"})).failures("c_custkey")
+    return catalog.locale("xx").render(found).select("c_custkey", "rule", "reason", "text")
+
+
 def errors_per_record(spark, sf_dir):
     found = Checker().validate(_read(spark, sf_dir, "customer"), CUSTOMER).annotated
     return found.select("c_custkey", F.size(ERRORS).cast("long").alias("errors"))
@@ -148,7 +182,7 @@ def errors_per_record(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (summary_by_rule, customer_failures, customer_valid, nested_orders, partial_orders, except_orders, filter_orders, omitempty_flow, or_group, dive_embeddings_range, schema_events_props, schema_customer_rows, struct_check, custom_rule, field_ship_after_order, errors_per_record)
+    for f in (summary_by_rule, customer_failures, customer_valid, nested_orders, partial_orders, except_orders, filter_orders, omitempty_flow, or_group, dive_embeddings_range, schema_events_props, schema_customer_rows, struct_check, custom_rule, custom_rule_with_parameter, field_ship_after_order, field_dotted, schema_conversations, i18n_order_and_fallback, errors_per_record)
 } | {"i18n_en_messages": _messages("en"), "i18n_zh_messages": _messages("zh-CN")}
 
 _CUSTOMER = """SELECT c_custkey, 'c_name' AS field, 'required' AS rule FROM customer WHERE c_name = ''
@@ -182,6 +216,17 @@ CASE rule WHEN 'gte' THEN 'c_acctbal必须大于或等于0' WHEN 'oneof' THEN 'c
 UNION ALL SELECT l_orderkey, l_linenumber, 'Line.l_discount', 'pair' FROM lineitem WHERE l_discount > l_tax AND l_quantity > 45
 UNION ALL SELECT l_orderkey, l_linenumber, 'Line.l_tax', 'pair' FROM lineitem WHERE l_discount > l_tax AND l_quantity > 45""",
     "custom_rule": "SELECT p_partkey, 'even' AS rule FROM part WHERE p_size % 2 <> 0 UNION ALL SELECT p_partkey, 'gt' FROM part WHERE p_size <= 4",
+    "custom_rule_with_parameter": "SELECT p_partkey, 'multiple' AS rule, '3' AS of FROM part WHERE p_size % 3 <> 0",
+    "field_dotted": "SELECT o_orderkey AS k, 'Order.price' AS namespace, 'gt_field' AS rule FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT o_totalprice > c_acctbal",
+    "schema_conversations": """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, 'meta.turns' AS namespace, 'int' AS kind, 'lte' AS rule FROM t WHERE i = 0 AND n > 4
+UNION ALL SELECT conv_id, 'meta.first', 'string', 'oneof' FROM t WHERE i = 0 AND role NOT IN ('user', 'assistant')
+UNION ALL SELECT conv_id, 'turns', 'vec', 'length' FROM t WHERE i = 0 AND n > 6
+UNION ALL SELECT conv_id, 'turns[' || i || '].role', 'string', 'oneof' FROM t WHERE role NOT IN ('user', 'assistant')
+UNION ALL SELECT conv_id, 'turns[' || i || '].text', 'string', 'max' FROM t WHERE length(text) > 400
+UNION ALL SELECT conv_id, 'turns[' || i || '].turn', 'uint', 'lt' FROM t WHERE turn >= 3""",
+    "i18n_order_and_fallback": """SELECT c_custkey, 'balance' AS rule, 'gte' AS reason, 'Account is overdrawn' AS text FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT c_custkey, 'segment', 'oneof', 'c_mktsegment must be one of: BUILDING,MACHINERY' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""",
     "field_ship_after_order": """SELECT l_orderkey, l_linenumber, 'l_shipdate' AS field, 'gt_field' AS rule FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT l_shipdate > o_orderdate
 UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', 'lte_field' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT l_discount <= l_tax""",
 }

@@ -94,7 +94,7 @@ TYPED = {
     "documents_ascii": ("documents", "doc_id", "text", "ascii", "strlen(text) = length(text)"),
     "documents_length": ("documents", "doc_id", "text", "length(min=100,max=5000)", "length(text) BETWEEN 100 AND 5000"),
     "pages_html": ("pages", "page_id", "html", "html", "regexp_matches(html, '</?[a-zA-Z]+[^\\n]*>')"),
-    "pages_http": ("pages", "page_id", "url", "http", None),
+    "pages_http": ("pages", "page_id", "url", "http", "regexp_full_match(url, '(?i:https?)://[A-Za-z0-9.-]+(:[0-9]+)?([/?#][^ ]*)?')"),
     "events_json": ("events", "event_id", "props", "json", "json_valid(props)"),
 }
 #: Luhn's sum over the digits of a key, for the key's own query.

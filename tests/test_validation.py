@@ -184,3 +184,26 @@ def test_plan_adds_no_shuffle(spark):
     df = spark.range(10).select(F.col("id"), F.col("id").cast("string").alias("v"))
     plan = Checker().validate(df, Model("M", {"v": "required,length(max=3),number"})).annotated._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_schema_and_locale_texts():
+    import pytest
+
+    from checkframe.errors import InvalidExpression, InvalidLocale, InvalidSchema
+    from checkframe.functions.rule import Rule
+    from checkframe.i18n import Locale
+    from checkframe.plans.signature import target
+    from checkframe.sources import Schema
+
+    pytest.importorskip("yaml")
+    text = "fields:\n  a: {type: string, rules: 'required,max=3'}\n  b:\n    fields:\n      c: {rules: [{oneof: [x, 1]}]}\n"
+    assert Schema.from_yaml(text).fields == Schema.from_json('{"fields": {"a": {"type": "string", "rules": "required,max=3"}, "b": {"fields": {"c": {"rules": [{"oneof": ["x", "1"]}]}}}}}').fields
+    for wrong in ("fields: [a]", "field: {}", "fields: {a: {type: text}}", "fields: {a: {type: string, fields: {}}}", "fields: {a: {rule: x}}", "{"):
+        with pytest.raises(InvalidSchema):
+            Schema.from_yaml(wrong)
+    assert Locale.from_yaml("x", "rules: {eq: same}") == Locale.from_json("x", '{"rules": {"eq": "same"}}')
+    for wrong in ('{"rule": {}}', '{"rules": {"eq": 1}}', "[]", "{"):
+        with pytest.raises(InvalidLocale):
+            Locale.from_json("x", wrong)
+    with pytest.raises(InvalidExpression):
+        Checker().rule(Rule("differs", lambda v, p: v.column, target()))
