@@ -66,9 +66,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5's law promises, as one row."""
+    shards = op5_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"), F.sum("size").alias("bytes"))
+    gapless = (F.col("first") == 0) & (F.col("last") == F.col("n") - 1) & (F.col("slots") == F.col("n"))
+    return shards.agg(F.count("*").alias("shards"), F.sum("n").alias("rows"), F.sum("bytes").alias("total_bytes"), F.max("n").alias("most"), F.min("n").alias("least"), F.bool_and(gapless).alias("gapless"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_lm_scoring, op10_quality_classifier)}
+    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, quality_base_counts, sharding_laws)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": near_dedup.ORACLE, "op4_decontamination": decontamination.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+    return {"op2_near_dedup": near_dedup.ORACLE, "op4_decontamination": decontamination.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "quality_base_counts": quality_rules.BASE_ORACLE, "sharding_laws": sharding.LAWS_ORACLE}

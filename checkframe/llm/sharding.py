@@ -158,3 +158,10 @@ def write_shards(docs: DataFrame, path: str, *, dims: tuple[str, ...] = ("lang",
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return ranges(docs.sparkSession.read.parquet(path), dims)
+
+
+#: What the law ``rows`` promises of 16 shards.
+LAWS_ORACLE = """
+SELECT CAST(least(16, count(*)) AS BIGINT) AS shards, count(*) AS rows, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS total_bytes,
+       CAST((count(*) + 15) // 16 AS BIGINT) AS most, CAST(count(*) // 16 AS BIGINT) AS least, true AS gapless FROM documents
+"""
