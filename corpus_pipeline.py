@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checkframe.llm import decontamination, language, line_dedup, near_dedup, packing
-from checkframe.llm.storage import shared_dir
+from checkframe.llm.storage import cut, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go (null text, or text with no letter); the others get the language found as ``lang``."""
-    found = language.predict(docs, language.learn(docs), keep=tuple(docs.columns)).where("lang_pred <> 'und'")
+    model = language.learn(docs)
+    if not model.languages:  # nothing to tell languages by: what holds a letter stays as it is
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.predict(docs, model, keep=tuple(docs.columns)).where("lang_pred <> 'und'")
     return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
@@ -26,13 +29,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; documents without an id stay."""
-    kept = near_dedup.near_duplicates(docs, n=5, percent=80).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    ids = kept.select(F.col("doc_id").alias("_id"))
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    if kept.where("doc_id IS NOT NULL AND rows > 1").isEmpty():
-        return out
-    return out.where("doc_id IS NULL").unionByName(out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """Of each group of near duplicates the document with the smallest id stays; documents without an id stay.
+
+    Rows that share an id stay together, but of rows equal in id and text one.
+    """
+    kept = cut(near_dedup.near_duplicates(docs, n=5, percent=80).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")))
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("_id"))
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+    return rows_of(kept.where("rows = 1 OR doc_id IS NULL")).unionByName(rows_of(kept.where("rows > 1 AND doc_id IS NOT NULL")).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
