@@ -157,7 +157,7 @@ class _Walk:
             known.append(item(x).failed())
             return F.lit(True) if known[-1] is None else known[-1]
 
-        if self.selection.mode in ("partial", "except"):
+        if self.selection.mode in ("partial", "except") or self.selection.elements is not None:
             return every, None  # which elements count depends on their places
         failed = F.coalesce(F.exists(array, fails), F.lit(False))
         return (every, None) if known[-1] is None else (F.when(failed, every), failed)
@@ -173,7 +173,9 @@ class _Walk:
         self.value(Value(column, dtype), spec, path, static, name, tests, errors)
 
     def _bound(self, static: str, tests: tuple, when: Column) -> Column:
-        """Narrow to the elements that selectors name."""
+        """Narrow to the elements that selectors name, or that the filter of elements keeps."""
+        if self.selection.elements is not None and tests:
+            return when & self.selection.kept_elements(static, dict(tests))
         if self.selection.mode not in ("partial", "except") or not tests:
             return when
         places = dict(tests)
@@ -228,9 +230,12 @@ class Checker:
         """All but the given fields and what is inside them."""
         return self._run(df, model, Selection("except", fields))
 
-    def filter(self, df: DataFrame, model: Model | str, keep: Callable[[str], bool]) -> Result:
-        """Fields whose path, and every path above it, the function keeps; elements are ``[]``."""
-        return self._run(df, model, Selection("filter", keep=keep))
+    def filter(self, df: DataFrame, model: Model | str, keep: Callable[[str], bool], elements: Callable[[Column], Column] | None = None) -> Result:
+        """Fields whose path, and every path above it, the function keeps; elements are ``[]`` to it.
+
+        ``elements`` is asked, as a column, for the places that rows have: ``lines[0]``, ``lines[0].quantity``.
+        """
+        return self._run(df, model, Selection("filter", keep=keep, elements=elements))
 
     def value(self, column: Column, expression: str, dtype: T.DataType, *, optional: bool = False, kind: str = "") -> Column:
         """Errors of one value, at ``$value``."""

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..errors import UnknownField
 
 _PART = re.compile(r'\.?[^.\[\]]+|\[(?:"(?:\\.|[^"\\])*"|[^\]]*)\]')
@@ -31,8 +34,8 @@ def _starts(path: tuple[str, ...], head: tuple[str, ...]) -> bool:
 class Selection:
     """All fields unless narrowed; paths leave out the type's name."""
 
-    def __init__(self, mode: str = "all", paths: Iterable[str] = (), keep: Callable[[str], bool] | None = None):
-        self.mode, self.keep = mode, keep
+    def __init__(self, mode: str = "all", paths: Iterable[str] = (), keep: Callable[[str], bool] | None = None, elements: Callable[[Column], Column] | None = None):
+        self.mode, self.keep, self.elements = mode, keep, elements
         self.paths = [parts(p) for p in paths]
         self.met: set[int] = set()
 
@@ -63,6 +66,15 @@ class Selection:
         p = parts(path)
         return [self.indices(p, s) for s in self.paths if _starts(p, s)]
 
+    def kept_elements(self, path: str, places: dict[int, Column]) -> Column:
+        """Whether ``elements`` keeps the first element on the path and everything from there on."""
+        p, out, at = parts(path), F.lit(True), F.lit("")
+        for i, part in enumerate(p):
+            at = F.concat(at, places.get(i, F.lit("." + part if i else part)))
+            if i >= min(places):
+                out = out & F.coalesce(self.elements(at), F.lit(False))
+        return out
+
     def enters(self, path: str) -> bool:
         """Whether something at or below the path may be reported."""
         p = parts(path)

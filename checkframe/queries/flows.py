@@ -61,6 +61,12 @@ def filter_orders(spark, sf_dir):
     return _places(Checker().filter(_orders(spark, sf_dir), ORDER, lambda path: not path.startswith("customer") and path != "status").failures("k"))
 
 
+def filter_elements(spark, sf_dir):
+    """A filter that looks at single elements of an array."""
+    found = Checker().filter(_orders(spark, sf_dir), ORDER, lambda path: path.startswith("lines"), lambda place: ~place.startswith("lines[0]") & (place != "lines[1].flag"))
+    return _places(found.failures("k"))
+
+
 _LINES = "SELECT l_orderkey AS k, l_partkey AS part, l_quantity AS quantity, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) - 1 AS i FROM lineitem"
 _STATUS = "SELECT o_orderkey AS k, 'Order.status' AS namespace, 'oneof' AS rule FROM orders WHERE o_orderstatus NOT IN ('F', 'O')"
 _NAME = "SELECT o_orderkey AS k, 'Order.customer.name' AS namespace, 'endswith' AS rule FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_name NOT LIKE '%7'"
@@ -182,7 +188,7 @@ def errors_per_record(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (summary_by_rule, customer_failures, customer_valid, nested_orders, partial_orders, except_orders, filter_orders, omitempty_flow, or_group, dive_embeddings_range, schema_events_props, schema_customer_rows, struct_check, custom_rule, custom_rule_with_parameter, field_ship_after_order, field_dotted, schema_conversations, i18n_order_and_fallback, errors_per_record)
+    for f in (summary_by_rule, customer_failures, customer_valid, nested_orders, partial_orders, except_orders, filter_orders, filter_elements, omitempty_flow, or_group, dive_embeddings_range, schema_events_props, schema_customer_rows, struct_check, custom_rule, custom_rule_with_parameter, field_ship_after_order, field_dotted, schema_conversations, i18n_order_and_fallback, errors_per_record)
 } | {"i18n_en_messages": _messages("en"), "i18n_zh_messages": _messages("zh-CN")}
 
 _CUSTOMER = """SELECT c_custkey, 'c_name' AS field, 'required' AS rule FROM customer WHERE c_name = ''
@@ -199,6 +205,7 @@ ORACLES = {
     "partial_orders": f"{_NAME} UNION ALL SELECT * FROM ({_QUANTITY}) WHERE namespace = 'Order.lines[0].quantity'",
     "except_orders": " UNION ALL ".join((_STATUS, _NAME, _BALANCE)),
     "filter_orders": " UNION ALL ".join((_QUANTITY, _UNIQUE, _MANY, _FLAG, _SIZE_KEY, _SIZE)),
+    "filter_elements": " UNION ALL ".join((f"SELECT * FROM ({_QUANTITY}) WHERE namespace NOT LIKE '%[0]%'", _UNIQUE, _MANY, f"SELECT * FROM ({_FLAG}) AS f(k, namespace, rule) WHERE namespace NOT LIKE '%[0]%' AND namespace NOT LIKE '%[1]%'")),
     "omitempty_flow": f"""WITH t AS ({_FLOW}) SELECT k, 'T.v' AS namespace, 'opt_short' AS rule FROM t WHERE length(v) > 4
 UNION ALL SELECT k, 'T.v', 'min' FROM t WHERE v <> '' AND length(v) < 3
 UNION ALL SELECT k, 'T.v', 'startswith|startswith' FROM t WHERE v <> '' AND NOT (v LIKE 'F%' OR v LIKE 'O%')""",
