@@ -19,6 +19,7 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import itertools
 import os
 import unicodedata
 import zlib
@@ -36,12 +37,22 @@ from .common import small_batches
 
 #: Items that are packed together.
 RUN_ITEMS = 4000
-#: Words, and pieces of words, whose ids a Python worker remembers.
-CACHE_WORDS, CACHE_PIECES = 250_000, 100_000
+#: Words, and as many pieces of words, whose ids a Python worker remembers.
+CACHE_WORDS = 400_000
 
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+@dataclass
+class Given:
+    """Words with their counts and ids, which lie in a row."""
+
+    words: list[bytes]
+    counts: np.ndarray
+    ids: np.ndarray
+    sizes: np.ndarray
+
+
 class WordIds(dict):
     """Ids of words, found by the tokenizer once a word and then remembered.
 
@@ -63,51 +74,71 @@ class WordIds(dict):
         byte = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         shown = {b: chr(b) for b in byte}
         shown |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.shown = shown
+        #: how the merge model's vocabulary shows each byte; the newline parts words here
+        self.table = {b: c for b, c in shown.items() if b != 10}
         self.pieces: dict[str, list[int]] = {}
         self.flat, self.at, self.size = array("I"), array("q"), array("q")
-        #: counts of known words, for callers that look them up with the ids
-        self.known: dict[bytes, int] | None = None
+        #: words whose ids and counts are given from outside, for callers that look counts up with the ids
+        self.given: Given | None = None
         self.count, self.word = array("q"), []
 
-    def _piece(self, text: str) -> list[int]:
-        found = self.pieces.get(text)
-        if found is None:
-            shown = text if text.isascii() else "".join(self.shown[b] for b in text.encode())
-            found = [t.id for t in self.model.tokenize(shown)]
-            if len(text) < 40 and len(self.pieces) < CACHE_PIECES:
-                self.pieces[text] = found
-        return found
-
-    def __missing__(self, word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
-        if max(text) < "İ" and len(text) < 200:
-            text = text.lower()
+    def learn(self, words: list[bytes]) -> None:
+        """Finds the ids of new words; those of plain letters and marks are checked and spelled together."""
+        joined = b"\n".join(words).decode("utf-8", "replace")
+        if max(joined, default="") >= "İ" or not unicodedata.is_normalized("NFC", joined):
+            plain = [w for w in words if w.isascii()]
+            if len(plain) < len(words):
+                others = [w for w in words if not w.isascii()]
+                if len(others) > 1:  # one word that isn't plain must not make the others slow
+                    half = len(others) // 2
+                    self.learn(others[:half])
+                    self.learn(others[half:])
+                else:
+                    self._add(others, [self.plain.encode(joined if len(words) == 1 else others[0].decode("utf-8", "replace"), add_special_tokens=False).ids])
+                if plain:
+                    self.learn(plain)
+                return
+        low = joined.lower()
+        shown = low.encode().decode("latin-1").translate(self.table)
+        pieces, tokenize, found = self.pieces, self.model.tokenize, []
+        for text, as_shown in zip(low.split("\n"), shown.split("\n"), strict=True):
             core = text.rstrip(_MARKS)
-            if (core.isalpha() or not core) and unicodedata.is_normalized("NFC", text):
-                ids = (self._piece(core) if core else []) + (self._piece(text[len(core) :]) if len(core) < len(text) else [])
-            else:
-                ids = self.plain.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.plain.encode(text, add_special_tokens=False).ids
-        self.at.append(len(self.flat))
-        self.size.append(len(ids))
-        self.flat.extend(ids)
-        if self.known is not None:
-            self.count.append(self.known.get(word, 0))
-            self.word.append(word)
-        self[word] = n = len(self.at) - 1
-        return n
-
-    def knowing(self, known: dict[bytes, int]) -> WordIds:
-        """These ids, with each word's count kept beside them."""
-        if self.known is not known:
-            self.known = known
+            if len(text) >= 200 or core and not core.isalpha():
+                found.append(self.plain.encode(text, add_special_tokens=False).ids)
+                continue
+            marks = text[len(core) :]
+            ids = []
+            for piece, spelled in ((core, as_shown[: len(as_shown) - len(marks)]), (marks, marks)):
+                if piece:
+                    got = pieces.get(piece)
+                    if got is None:
+                        got = pieces[piece] = [t.id for t in tokenize(spelled)]
+                    ids = ids + got if ids else got
+            found.append(ids)
+        self._add(words, found)
+
+    def _add(self, words: list[bytes], found: list[list[int]]) -> None:
+        """Keeps the ids of each word under the word's place."""
+        self.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        sizes = array("q", map(len, found))
+        self.at.extend(itertools.accumulate(sizes[:-1], initial=len(self.flat)))
+        self.size.extend(sizes)
+        self.flat.extend(itertools.chain.from_iterable(found))
+        if self.given is not None:
+            self.count.extend(itertools.repeat(0, len(words)))
+            self.word.extend(words)
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+
+    def knowing(self, given: Given) -> WordIds:
+        """These ids, with those of the given words known from the start and each word's count kept beside them."""
+        if self.given is not given:
+            self.given = given
             self._forget()
         return self
 
     def trim(self) -> None:
-        if len(self) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS + (0 if self.given is None else len(self.given.words)):
             self._forget()
 
     def _forget(self) -> None:
@@ -115,6 +146,14 @@ class WordIds(dict):
         self.pieces.clear()
         self.flat, self.at, self.size = array("I"), array("q"), array("q")
         self.count, self.word = array("q"), []
+        if self.given is not None:
+            g = self.given
+            self.update(zip(g.words, range(len(g.words))))
+            self.flat.frombytes(g.ids.astype(np.uint32).tobytes())
+            self.size.frombytes(g.sizes.astype(np.int64).tobytes())
+            self.at.frombytes((np.cumsum(g.sizes, dtype=np.int64) - g.sizes).tobytes())
+            self.count.frombytes(g.counts.astype(np.int64).tobytes())
+            self.word.extend(g.words)
 
     def documents(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each document of a slice (with ``end`` after it), and where each document's begin."""
@@ -124,16 +163,19 @@ class WordIds(dict):
         """``documents``, and each word's place in this cache and where each document's words begin."""
         self.trim()
         raw = data.tobytes()
-        look = self.__getitem__
         special = self._piece_of_special()
-        index, counts, whole = [], [], {}
+        texts, counts, whole = [], [], {}
         for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
             text = raw[a:b]
             if any(s in text for s in special):
                 whole[i] = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
             words = text.lower().split()
             counts.append(len(words))
-            index.extend(map(look, words))
+            texts.extend(words)
+        new = set(texts).difference(self)
+        if new:
+            self.learn(list(new))
+        index = list(map(self.__getitem__, texts))
         at, size, flat = (np.frombuffer(x, dtype=t) if len(x) else np.zeros(0, dtype=t) for x, t in ((self.at, np.int64), (self.size, np.int64), (self.flat, np.uint32)))
         index = np.array(index, dtype=np.int64)
         sizes = size[index]

@@ -314,42 +314,45 @@ def test_lm_scores(spark, docs):
         base = sum(math.log10((counts[x] + 1) / (total + size + 1)) for x in w) + math.log10((n_docs + 1) / (total + size + 1))
         assert (g.n_tokens, g.n_known, g.train_tokens) == (len(w) + 1, sum(counts[x] > 0 for x in w) + 1, total)
         assert g.base_score == pytest.approx(base) and g.score < 0
+    held = [got[r.doc_id] for r in rows if r.doc_id % 5 == 0 and r.doc_id < 160]
+    assert sum(g.score for g in held) > sum(g.base_score for g in held)
     assert lm_scoring.lm_scores(empty(spark), train, TOKENIZER, 49_408).count() == 0
 
 
 def test_lm_learns_from_all_training_documents(spark, monkeypatch):
-    class Seen(Exception):
-        pass
+    """Counts of ids and of pairs, pairs seen once included, cover each training document."""
+    found, of = {}, lm_scoring.corpus_counts
 
-    def stop(docs, tokenizer_path, vocab, end_id):
-        raise Seen(docs.count(), found[0])
+    def counted(read, slot):
+        by_id, pairs = of(read, slot)
+        found.update(docs=read.count(), ids=by_id.sum(), pairs=pairs.sum(), once=(pairs == 1).sum(), ends=by_id[-1])
+        return by_id, pairs
 
-    found, pairs_of = [], lm_scoring.slot_pairs
+    monkeypatch.setattr(lm_scoring, "corpus_counts", counted)
+    frame = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, "once upon").otherwise(F.concat(F.lit("the same "), F.col("id"))).alias("text"))
+    lm_scoring.lm_scores(frame, F.col("doc_id") % 7 != 2, TOKENIZER, 49_408)
+    assert found["docs"] == found["ends"] == sum(i % 7 != 2 for i in range(3000))
+    assert found["ids"] == found["pairs"] >= 4 * found["docs"] and found["once"] >= 1
 
-    def pairs(docs, *args):
-        found.append((docs.count(), float((got := pairs_of(docs, *args)).sum()), int((got == 1).sum())))
-        return got
 
-    monkeypatch.setattr(lm_scoring, "slot_pairs", pairs)
-    monkeypatch.setattr(lm_scoring, "train_network", stop)
-    frame = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, "once upon").otherwise("the same").alias("text"))
-    with pytest.raises(Seen) as got:
-        lm_scoring.lm_scores(frame, F.col("doc_id") % 7 != 2, TOKENIZER, 49_408)
-    n, (n_pairs, total, single) = got.value.args
-    assert n == n_pairs == sum(i % 7 != 2 for i in range(3000))
-    assert single >= 1 and total >= 3 * n
+def small_vocabulary(rng, n_ids=5000):
+    from checkframe.llm import attention as net
+
+    counts = rng.integers(0, 50, size=n_ids).astype(float)
+    return net.vocabulary(net.slots_of(counts), counts, rng.integers(0, 5, size=(net.SLOTS, net.SLOTS)).astype(np.float32))
 
 
 def test_attention_gradients_and_probabilities():
     from checkframe.llm import attention as net
 
     rng = np.random.default_rng(2)
-    counts = rng.integers(0, 50, size=5000).astype(float)
-    vocab = net.vocabulary(counts, rng.integers(0, 5, size=(net.SLOTS, net.SLOTS)).astype(np.float32))
-    p = net.initial(vocab)
+    vocab = small_vocabulary(rng)
+    p = net.initial()
+    p["cls"][:] = rng.normal(size=p["cls"].shape) / 4
     w = net.windows(rng.integers(0, 5000, size=90), np.array([0, 50, 50, 90]), vocab)
     assert int(w.scored.sum()) == 90
-    target, loss = vocab.cls[w.target], net.gradients(p, w.slots, vocab.cls[w.target], w.valid)
+    target = vocab.cls[vocab.slot[w.target]]
+    loss = net.gradients(p, vocab, w.slots, target, w.valid)
     for name in net.SHAPES:
         flat = loss[1][name].ravel()
         i = int(np.abs(flat).argmax())
@@ -358,19 +361,49 @@ def test_attention_gradients_and_probabilities():
         up, down = ({**q, name: q[name].copy()} for _ in range(2))
         up[name].ravel()[i] += eps
         down[name].ravel()[i] -= eps
-        slope = (net.gradients(up, w.slots, target, w.valid)[0] - net.gradients(down, w.slots, target, w.valid)[0]) / (2 * eps)
+        slope = (net.gradients(up, vocab, w.slots, target, w.valid)[0] - net.gradients(down, vocab, w.slots, target, w.valid)[0]) / (2 * eps)
         assert slope == pytest.approx(flat[i], rel=0.05, abs=1e-4)
-    rows, cols = np.array([0, 0]), np.array([3, 9])
-    each = np.stack([net.log_class(p, w.slots, rows, cols, np.full(2, c)) for c in range(net.CLASSES)])
+    at = np.array([3, 9])
+    each = np.stack([net.log_class(p, vocab, w.slots, at, np.full(2, c)) for c in range(net.CLASSES)])
     assert np.exp(each).sum(axis=0) == pytest.approx([1, 1], rel=1e-3)
-    assert np.bincount(vocab.cls, np.exp(vocab.log_share), minlength=net.CLASSES)[np.unique(vocab.cls)] == pytest.approx(1, rel=1e-3)
+    before = w.slots.ravel()[at]
+    for one in before:
+        in_class = np.bincount(vocab.cls, np.exp(vocab.log_slot[one].astype(float)), minlength=net.CLASSES)
+        assert in_class[np.unique(vocab.cls)] == pytest.approx(1, rel=1e-3)
+    in_slot = np.bincount(vocab.slot, np.exp(vocab.log_share), minlength=net.SLOTS)
+    assert in_slot[np.unique(vocab.slot)] == pytest.approx(1, rel=1e-3)
+
+
+def test_attention_scores_against_brute_force():
+    """Each id alone: its window by the rule of overlaps, attention over what stands before it, in plain loops."""
+    from checkframe.llm import attention as net
+
+    rng = np.random.default_rng(5)
+    vocab = small_vocabulary(rng)
+    p = net.initial()
+    p["cls"][:] = rng.normal(size=p["cls"].shape) / 4
+    ids, cuts = rng.integers(0, 5000, size=130), np.array([0, 70, 70, 71, 130])
+    width = net.WIDTH
+    want = np.zeros(4)
+    for doc, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        own = ids[a:b]
+        for i in range(len(own)):
+            begin = 0 if i < net.WINDOW else (i - net.WINDOW) // net.STRIDE * net.STRIDE + net.STRIDE
+            before = [net.START if j == 0 else int(vocab.slot[own[j - 1]]) for j in range(begin, i + 1)]
+            x = [p["emb"][s].astype(float) + p["pos"][k] for k, s in enumerate(before)]
+            y = [v @ p["qkv"].astype(float) for v in x]
+            weight = [math.exp(y[-1][:width] @ v[width : 2 * width]) for v in y]
+            mixed = sum(e * v[2 * width : 3 * width] for e, v in zip(weight, y, strict=True)) / sum(weight)
+            z = (x[-1][:width] + mixed @ p["out"]) @ p["cls"] + vocab.log_class[before[-1]]
+            slot = int(vocab.slot[own[i]])
+            want[doc] += z[vocab.cls[slot]] - math.log(np.exp(z).sum()) + vocab.log_slot[before[-1], slot] + vocab.log_share[own[i]]
+    assert lm_scoring.log_probability(ids, cuts, p, vocab) == pytest.approx(want, rel=1e-4)
 
 
 def test_windows_overlap_by_eight_ids_at_least():
     from checkframe.llm import attention as net
 
-    counts = np.ones(5000)
-    vocab = net.vocabulary(counts, np.ones((net.SLOTS, net.SLOTS), dtype=np.float32))
+    vocab = small_vocabulary(np.random.default_rng(1))
     w = net.windows(np.arange(200), np.array([0, 120, 200]), vocab)
     assert w.scored.sum() == 200
     later = w.scored[np.flatnonzero(w.doc == np.roll(w.doc, 1))]
