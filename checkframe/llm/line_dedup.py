@@ -212,14 +212,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     made = cut(classes(docs, id_col=id_col, text_col=text_col, threshold=threshold, min_chars=min_chars, min_exact=min_exact))
     seen = lines_of(docs, id_col, text_col, min_exact).select("id", "tie", "no", "h1", "h2")
-    hit = seen.join(_small(made), ["h1", "h2"]).withColumn("goes", ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")) & (F.col("no") == F.col("first_no"))))
+    # these two sides grow with the input, so they are shuffled at every size
+    hit = seen.join(made, ["h1", "h2"]).withColumn("goes", ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")) & (F.col("no") == F.col("first_no"))))
     hit = hit.select("id", "tie", "no", "goes", "n_links").distinct()
     per_doc = cut(hit.groupBy("id", "tie").agg(F.collect_set(F.when(F.col("goes"), F.col("no"))).alias("gone"), F.sum("n_links").alias("links")))
     # the caller's columns under names that can't clash; its text travels as lines, which give it back
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_links")]
     mine = {c: f"given_{k}" for k, c in enumerate(names)}
     left = docs.select(*(F.split(F.col(c), "\n").alias("lines") if c == text_col else F.col(c).alias(mine[c]) for c in names), tie_of(text_col).alias("own_tie"))
-    out = left.join(_small(per_doc), F.col(mine[id_col]).eqNullSafe(F.col("id")) & (F.col("own_tie") == F.col("tie")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    out = left.join(per_doc, F.col(mine[id_col]).eqNullSafe(F.col("id")) & (F.col("own_tie") == F.col("tie")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.array_join(F.when(F.size("gone") > 0, F.transform(stay, lambda i: F.get(F.col("lines"), i))).otherwise(F.col("lines")), "\n")
     return out.select(
