@@ -45,9 +45,9 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 @dataclass
 class Given:
-    """Words with their counts and ids, which lie in a row."""
+    """Words (one text, parted by newlines, which no word holds) with their counts and ids, which lie in a row."""
 
-    words: list[bytes]
+    text: bytes
     counts: np.ndarray
     ids: np.ndarray
     sizes: np.ndarray
@@ -138,7 +138,7 @@ class WordIds(dict):
         return self
 
     def trim(self) -> None:
-        if len(self) > CACHE_WORDS + (0 if self.given is None else len(self.given.words)):
+        if len(self) > CACHE_WORDS + (0 if self.given is None else len(self.given.counts)):
             self._forget()
 
     def _forget(self) -> None:
@@ -148,12 +148,13 @@ class WordIds(dict):
         self.count, self.word = array("q"), []
         if self.given is not None:
             g = self.given
-            self.update(zip(g.words, range(len(g.words))))
+            words = g.text.split(b"\n") if len(g.counts) else []
+            self.update(zip(words, range(len(words))))
             self.flat.frombytes(g.ids.astype(np.uint32).tobytes())
             self.size.frombytes(g.sizes.astype(np.int64).tobytes())
             self.at.frombytes((np.cumsum(g.sizes, dtype=np.int64) - g.sizes).tobytes())
             self.count.frombytes(g.counts.astype(np.int64).tobytes())
-            self.word.extend(g.words)
+            self.word.extend(words)
 
     def documents(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each document of a slice (with ``end`` after it), and where each document's begin."""
