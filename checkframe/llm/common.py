@@ -34,6 +34,11 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of ASCII ``text``, bit by bit from its polynomial."""
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), lambda crc, b: list_reduce(range(8), lambda v, i: xor(v >> 1, (v & 1) * 3988292384), xor(crc, b)), 4294967295::BIGINT), 4294967295)"
+
+
 def per_slice(step: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch | pa.Table | None], column: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function that applies ``step(rows, bytes, offsets)`` to bounded runs of rows."""
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
+from . import decontamination, language, line_dedup, lm_scoring, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, sharding, toxicity, vector_codes
 from .common import fold, table
 
 
@@ -66,6 +66,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumn("_best", best)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
+        F.expr("1000 * _best.length div -_best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8 that SQL can express."""
     return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -79,8 +95,8 @@ def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, quality_base_counts, sharding_laws)}
+    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, op11_periodic_runs, op13_vector_codes, quality_base_counts, sharding_laws)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": near_dedup.ORACLE, "op4_decontamination": decontamination.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "quality_base_counts": quality_rules.BASE_ORACLE, "sharding_laws": sharding.LAWS_ORACLE}
+    return {"op2_near_dedup": near_dedup.ORACLE, "op4_decontamination": decontamination.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op11_periodic_runs": periodic_runs.ORACLE, "op13_vector_codes": vector_codes.ORACLE, "quality_base_counts": quality_rules.BASE_ORACLE, "sharding_laws": sharding.LAWS_ORACLE}
