@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, line_dedup, lm_scoring, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, sharding, toxicity, vector_codes
+from . import decontamination, language, line_dedup, lm_scoring, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, sharding, toxicity, vector_codes
 from .common import fold, table
 
 
@@ -77,6 +77,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(of(*secret_scan.KINDS)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op12 that SQL can express."""
+    return op12_secret_scan(spark, sf_dir).drop("spans")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
     return coded.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
@@ -95,8 +108,8 @@ def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, op11_periodic_runs, op13_vector_codes, quality_base_counts, sharding_laws)}
+    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, op11_periodic_runs, op12_secret_scan, op13_vector_codes, quality_base_counts, secret_base_spans, sharding_laws)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": near_dedup.ORACLE, "op4_decontamination": decontamination.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op11_periodic_runs": periodic_runs.ORACLE, "op13_vector_codes": vector_codes.ORACLE, "quality_base_counts": quality_rules.BASE_ORACLE, "sharding_laws": sharding.LAWS_ORACLE}
+    return {"op2_near_dedup": near_dedup.ORACLE, "op4_decontamination": decontamination.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op11_periodic_runs": periodic_runs.ORACLE, "op13_vector_codes": vector_codes.ORACLE, "quality_base_counts": quality_rules.BASE_ORACLE, "secret_base_spans": secret_scan.BASE_ORACLE, "sharding_laws": sharding.LAWS_ORACLE}
