@@ -5,7 +5,8 @@ keys, and hexadecimal keys.  From a sample of the distinct labelled values of ea
 and one of the other candidates, probabilistic automata are inferred (``automata``).  A
 candidate is any longest run of credential characters.  Each one outside the labelled
 spans is scored by all automata: it is added as a span where a format is at least
-``min_odds`` times as likely to have written it as what other candidates are written by.
+``min_odds`` times as likely to have written it as what other candidates are written by
+(a format that is common among the unlabelled candidates thus counts as ordinary).
 
 A text is searched once.  What is found is written (spans and values, no texts), and
 learning and scoring read that.  The only thing gathered on the driver is the sample:
