@@ -47,9 +47,22 @@ def _at(dtype: T.DataType, item: Column, path: str) -> tuple[Column, T.DataType]
 
 
 def _distinct(items: Column) -> Column:
+    """No plain value twice: Spark counts these in a hash set."""
     return F.size(F.array_distinct(items)) == F.size(items)
 
 
+def _distinct_keys(keys: Column) -> Column:
+    """No struct twice: equal ones are neighbours once they are sorted, whatever hashes would collide."""
+
+    def neighbours(ordered: Column) -> Column:
+        rest = F.greatest(F.size(ordered) - 1, F.lit(0))
+        same = F.zip_with(F.slice(ordered, F.lit(1), rest), F.slice(ordered, F.lit(2), rest), lambda a, b: a.eqNullSafe(b))
+        return ~F.exists(same, lambda x: x)
+
+    # an array of one is walked, so that what is sorted has a name and is sorted once
+    return F.element_at(F.transform(F.array(F.sort_array(keys)), neighbours), 1)
+
+
 def _has_nan(x: Column, dtype: T.DataType) -> Column:
     return F.coalesce(F.isnan(x), F.lit(False)) if isinstance(dtype, T.FloatType | T.DoubleType) else F.lit(False)
 
@@ -76,9 +89,14 @@ def _unique(v: Value, p: dict) -> Column:
     def nan(x: Column) -> Column:
         return reduce(lambda a, b: a | b, [_has_nan(_at(of, x, path)[0], t) for path, t in zip(paths, parts, strict=True)])
 
+    def key(x: Column) -> list[Column]:
+        return [_zero(*_at(of, x, path)).alias(f"k{i}") for i, path in enumerate(paths)]
+
     # an element that is not there has no key
     kept = F.filter(items, lambda x: x.isNotNull() & ~nan(x))
-    return _distinct(F.transform(kept, lambda x: F.struct(*[_zero(*_at(of, x, path)).alias(f"k{i}") for i, path in enumerate(paths)])))
+    if len(paths) == 1:
+        return _distinct(F.transform(kept, lambda x: key(x)[0]))
+    return _distinct_keys(F.transform(kept, lambda x: F.struct(*key(x))))
 
 
 RULES = (

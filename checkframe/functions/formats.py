@@ -88,9 +88,16 @@ def _datetime(c: Column, p: dict) -> Column:
     return c.rlike(rf"^(?:{DATETIME})\z") & day.isNotNull() & (F.substring(c, 1, 4) != "0000")
 
 
+#: How JSON text is read: nothing beyond the standard, and what does not parse is told apart.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_bad"}
+
+
 def _json(c: Column, p: dict) -> Column:
-    # a bare parse ignores what follows a value, so the text has to fit inside two others
-    return F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"k":'), c, F.lit("}"))).isNotNull() & ~c.rlike(r"^\s*\z")
+    # a reader stops after a value and ignores what follows, so the text has to fit inside two others;
+    # the value is copied as text, so keys may repeat
+    item = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>", {k: v for k, v in _STRICT.items() if k != "columnNameOfCorruptRecord"})
+    member = F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string, _bad string", _STRICT)
+    return (F.size(item) == 1) & member.isNotNull() & member["_bad"].isNull()
 
 
 def _degrees(name: str, pattern: str, most: int) -> Rule:

@@ -258,10 +258,13 @@ class Checker:
             raise ConfigError("no schema")
         return Result(self.schema.annotate(self.registry, df, df[column], ERRORS))
 
-    def validate_rows(self, df: DataFrame) -> Result:
-        """The schema over typed columns, seen as the JSON object they make."""
+    def validate_rows(self, df: DataFrame, *, rename: dict[str, str] | None = None, flatten: Iterable[str] = ()) -> Result:
+        """The schema over typed columns, seen as the object they make.
+
+        ``rename`` gives fields, by path, another name in that object; the fields of a struct in
+        ``flatten`` join those of its parent.  NaN and the infinities count as null, dates and times
+        as texts, binary values as arrays of numbers.
+        """
         if self.schema is None:
             raise ConfigError("no schema")
-        return Result(self.schema.annotate(self.registry, df, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), ERRORS))
-
-
+        return Result(self.schema.annotate_rows(self.registry, df, ERRORS, rename or {}, flatten))

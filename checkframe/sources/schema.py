@@ -1,26 +1,25 @@
-"""Dynamic schemas (YAML or JSON text) over JSON objects, held as VARIANT."""
+"""Dynamic schemas (YAML or JSON text) over JSON objects, held as VARIANT, and over typed rows."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import FIELD_ERROR, ConfigError, InvalidSchema, UnknownField
 from ..plans.compiler import Errors, Failure, Group, Path, error
 from ..plans.expressions import Call, Step, parse
 from ..plans.kinds import Value
 from ..plans.registry import Registry
+from .nodes import KIND, JsonNode, Naming, RowNode
 
-TYPES = ("string", "boolean", "int", "uint", "float", "array", "object")
-_READ = {"string": "string", "boolean": "boolean", "int": "bigint", "uint": "decimal(20,0)", "float": "double"}
-_SPARK = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.LongType(), "uint": T.DecimalType(20, 0), "float": T.DoubleType()}
-_KIND = {"string": "string", "boolean": "bool", "int": "int", "uint": "uint", "float": "float", "array": "vec", "object": "map"}
-_U64 = 2**64 - 1
-
+TYPES = tuple(KIND)
+#: Of keys that stand twice in an object the last counts; read where text is parsed.
+_REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 @dataclass
 class FieldDef:
@@ -81,44 +80,15 @@ def _field(name: str, spec) -> FieldDef:
     return FieldDef(kind, _steps(spec["rules"]) if "rules" in spec else (), {k: _field(f"{name}.{k}", v) for k, v in sorted(spec.get("fields", {}).items())})
 
 
-def _token(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
-def _kind(v: Column) -> Column:
-    """Kind of a JSON token."""
-    t = _token(v)
-    number = F.try_variant_get(v, "$", "decimal(38,0)")
-    big = t.rlike(r"^DECIMAL\((19|20),0\)") & (number <= F.lit(str(_U64)).cast("decimal(38,0)")) & (number >= 0)
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), "option")
-        .when(t == "STRING", "string")
-        .when(t == "BOOLEAN", "bool")
-        .when(t == "BIGINT", "int")
-        .when(big, "uint")
-        .when(t.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float")
-        .when(t.startswith("ARRAY"), "vec")
-        .otherwise("map")
-    )
-
-
-def _fits(v: Column, kind: str) -> Column:
-    """Whether a JSON value has a schema type; numbers go by their token."""
-    t = _token(v)
-    if kind in ("string", "boolean"):
-        return t == kind.upper()
-    if kind == "int":
-        return t == "BIGINT"
-    if kind == "uint":
-        return ((t == "BIGINT") & (F.try_variant_get(v, "$", "bigint") >= 0)) | (_kind(v) == "uint")
-    if kind == "float":
-        return _kind(v) == "float"
-    return t.startswith("ARRAY" if kind == "array" else "OBJECT")
-
-
-def _get(v: Column, name: str, kind: str = "variant") -> Column:
-    quoted = name.replace("\\", "\\\\").replace('"', '\\"')
-    return F.try_variant_get(v, f'$["{quoted}"]', kind)
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for as long as a plan is built; the user's own comes back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 class _Shared:
@@ -163,89 +133,92 @@ class Schema:
         The text is parsed once, and each value is read once, in projections of their own.
         """
         shared = _Shared()
-        root = shared.keep(F.try_parse_json(text), 0)
+        root = JsonNode(shared.keep(F.try_parse_json(text), 0))
         inner = Errors()
         self._object(registry, root, self.fields, Path(), inner, shared, 1)
         wrong = Errors()
         wrong.add(F.lit(True), self._type_error(root, Path(("$value",)), "$value", "object"))
-        is_object = F.coalesce(_fits(root, "object"), F.lit(False))
+        is_object = F.coalesce(root.fits("object"), F.lit(False))
         errors = F.when(is_object, inner.column()).otherwise(wrong.column())
         given = [df[c] for c in df.columns]
-        for level in sorted(shared.levels):
-            df = df.select("*", *(c.alias(k) for k, c in shared.levels[level]))
+        with _setting(df.sparkSession, _REPEATED_KEYS, "true"):
+            for level in sorted(shared.levels):
+                df = df.select("*", *(c.alias(k) for k, c in shared.levels[level]))
         return df.select(*given, errors.alias(name))
 
-    def _type_error(self, v: Column, path: Path, name, expected: str) -> Column:
+    def annotate_rows(self, registry: Registry, df: DataFrame, name: str, rename: dict[str, str], flatten: Iterable[str]) -> DataFrame:
+        """``df`` with the errors of its typed rows as ``name``; columns are checked as they are, without JSON text."""
+        root = RowNode(F.lit(True), df.schema, Naming.of(df.schema, rename, flatten), given={c: df[c] for c in df.columns})
+        errors = Errors()
+        self._object(registry, root, self.fields, Path(), errors)
+        return df.withColumn(name, errors.column())
+
+    def _type_error(self, node: JsonNode | RowNode, path: Path, name, expected: str) -> Column:
         made = error(Failure(F.lit(True), "type", "type", {"expected": expected}), path, name, "")
-        return made.withField("kind", _kind(v))
+        return made.withField("kind", node.kind())
 
-    def _object(self, registry: Registry, root: Column, fields: dict[str, FieldDef], path: Path, errors: Errors, shared: _Shared | None = None, level: int = 0) -> None:
+    def _object(self, registry: Registry, root: JsonNode | RowNode, fields: dict[str, FieldDef], path: Path, errors: Errors, shared: _Shared | None = None, level: int = 0) -> None:
         """Errors of an object's fields; ``shared`` keeps what is read of them, but not inside arrays."""
+
         def sibling(asked: str) -> Value:
-            column, defs, found = root, fields, None
+            node, defs, found = root, fields, None
             for step in [asked] if asked in fields else asked.split("."):
                 if step not in defs:
                     raise UnknownField(asked)
                 found = defs[step]
-                parent, column, defs = column, _get(column, step), found.fields if found.type == "object" else {}
-            return self._value(parent, step, found.type or "string", found)
+                parent, node, defs = node, node.child(step), found.fields if found.type == "object" else {}
+            return parent.value(step, found.type or "string", found.fields)
 
         for name, spec in fields.items():
-            v = _get(root, name)
-            v = v if shared is None else shared.keep(v, level)
+            node = root.child(name)
+            if shared is not None:
+                node = JsonNode(shared.keep(node.v, level))
 
             def value(kind: str, name=name, spec=spec) -> Value:
-                found = self._value(root, name, kind, spec, sibling)
+                found = root.value(name, kind, spec.fields, siblings=sibling)
                 if shared is not None:
                     found.column = shared.keep(found.column, level)
                 return found
 
-            self._one(registry, v, value, spec, path.child(name), name, errors, shared, level + 1)
+            self._one(registry, node, value, spec, path.child(name), name, errors, shared, level + 1)
 
-    def _value(self, parent: Column, name: str, kind: str, spec: FieldDef, siblings=None) -> Value:
-        if kind == "object":
-            return Value(_get(parent, name, "map<string,variant>"), T.MapType(T.StringType(), T.VariantType()), siblings=siblings)
-        if kind == "array":
-            items = _get(parent, name, "array<variant>")
-            if spec.fields:
-                return Value(F.transform(items, lambda x: _texts(x, spec.fields)[0]), T.ArrayType(_texts(F.col("_"), spec.fields)[1]), siblings=siblings)
-            return Value(F.transform(items, lambda x: F.when(x.isNotNull() & ~F.is_variant_null(x), F.to_json(x))), T.ArrayType(T.StringType()), siblings=siblings)
-        return Value(_get(parent, name, _READ[kind]), _SPARK[kind], _KIND[kind], siblings=siblings)
-
-    def _one(self, registry: Registry, v: Column, value, spec: FieldDef, path: Path, name, errors: Errors, shared: _Shared | None, level: int) -> None:
+    def _one(self, registry: Registry, node: JsonNode | RowNode, value, spec: FieldDef, path: Path, name, errors: Errors, shared: _Shared | None, level: int) -> None:
         registry.check_names(spec.steps)
-        there = v.isNotNull() & ~F.is_variant_null(v)
+        there = node.there()
         if spec.type is None:
             if spec.steps:
-                errors.extend(self._untyped(registry, v, there, value, spec, path, name))
+                errors.extend(self._untyped(registry, node, value, spec, path, name))
             return
-        fits = ~there | F.coalesce(_fits(v, spec.type), F.lit(False))
-        errors.add(~fits, self._type_error(v, path, name, spec.type))
+        fits = ~there | F.coalesce(node.fits(spec.type), F.lit(False))
+        errors.add(~fits, self._type_error(node, path, name, spec.type))
         typed = value(spec.type)
         failures, _ = Group(registry, typed).run(spec.steps)
         for f in failures:
-            errors.add(fits & f.when, error(f, path, name, _KIND[spec.type]))
+            errors.add(fits & f.when, error(f, path, name, KIND[spec.type]))
         if spec.type == "object" and spec.fields:
             inner = Errors()
-            self._object(registry, v, spec.fields, path, inner, shared, level)
+            self._object(registry, node, spec.fields, path, inner, shared, level)
             errors.extend(F.when(there & fits, inner.column()))
         elif spec.type == "array" and spec.fields:
-            items = F.try_variant_get(v, "$", "array<variant>")
 
-            def item(x: Column, i: Column) -> Column:
+            def item(x: JsonNode | RowNode, i: Column) -> Column:
                 place = F.concat(F.lit("["), i.cast("string"), F.lit("]"))
                 inner = Errors()
                 self._object(registry, x, spec.fields, path.at(place), inner)
                 wrong = Errors()
                 wrong.add(F.lit(True), self._type_error(x, path.at(place), F.concat(F.lit(name), place), "object"))
-                return F.when(F.coalesce(_fits(x, "object"), F.lit(False)), inner.column()).otherwise(wrong.column())
+                return F.when(F.coalesce(x.there() & x.fits("object"), F.lit(False)), inner.column()).otherwise(wrong.column())
 
-            errors.extend(F.when(there & fits, F.flatten(F.transform(items, item))))
+            found = node.each(item)
+            if found is not None:
+                errors.extend(F.when(there & fits, F.flatten(found)))
 
-    def _untyped(self, registry: Registry, v: Column, there: Column, value, spec: FieldDef, path: Path, name) -> Column:
+    def _untyped(self, registry: Registry, node: JsonNode | RowNode, value, spec: FieldDef, path: Path, name) -> Column:
         """Rules by the token that a row holds; parameters that do not fit it fail the query there, as configuration errors."""
-        kind, out = _kind(v), None
-        for schema_type, token in _KIND.items():
+        kind, out = node.kind(), None
+        for schema_type, token in KIND.items():
+            if token not in node.tokens():
+                continue
             try:
                 failures, _ = Group(registry, value(schema_type)).run(spec.steps)
                 errors = Errors()
@@ -256,23 +229,9 @@ class Schema:
                 raise
             except ConfigError as e:
                 branch = F.raise_error(F.lit(f"{name}: {e}")).cast(f"array<{FIELD_ERROR.simpleString()}>")
-            test = there & (kind == token)
+            test = kind == token
             out = F.when(test, branch) if out is None else out.when(test, branch)
         absent = Errors()
         for f in Group(registry, value("string")).run(spec.steps)[0]:
             absent.add(f.when, error(f, path, name, "option"))
-        return out.otherwise(absent.column())
-
-
-def _texts(item: Column, fields: dict[str, FieldDef]) -> tuple[Column, T.StructType]:
-    """Declared fields of an array's object as JSON text, for compound keys; an item of another type has none."""
-    columns, dtype = [], T.StructType()
-    for name, spec in fields.items():
-        v = _get(item, name)
-        if spec.type == "object" and spec.fields:
-            column, kind = _texts(v, spec.fields)
-        else:
-            column, kind = F.when(v.isNotNull() & ~F.is_variant_null(v), F.to_json(v)), T.StringType()
-        columns.append(column.alias(name))
-        dtype = dtype.add(name, kind)
-    return F.when(F.coalesce(_fits(item, "object"), F.lit(False)), F.struct(*columns)), dtype
+        return absent.column() if out is None else out.otherwise(absent.column())
