@@ -1,12 +1,15 @@
 """Toxicity by weak supervision.
 
 Lexicon and pattern voters look at each document; some lexicons are fixed lists, some
-are mined from the labelled training rows by their class counts.  A generative model
-over the vote patterns of all training rows estimates the voters' accuracies and
-pairs up those whose votes are correlated given the class.  Its posterior labels
-train a linear classifier on bare-word indicators, over a bounded sample of training
-rows (``fit_rows``); the scores are calibrated on labelled rows of the sample that the
-classifier was not fitted on.
+are mined from the labelled training rows by their class counts.  Mined are words, and
+stems: the first bytes of words, where a text holds many words that start with them.  An
+insult that takes ever new endings is found that way in any language, without knowing
+which one a text is in.  A generative model over the vote patterns of all training rows
+estimates the voters' accuracies and pairs up those whose votes are correlated given the
+class.  Its posterior labels train a linear classifier on indicators of bare words and
+dense stems, over a bounded sample of training rows (``fit_rows``); the scores are
+calibrated on labelled rows of the sample that the classifier was not fitted on, a
+quarter of them by the hash of their text.
 
 Defined cases: null text counts as empty and scores by the bias alone; null labels are
 not learned from; of several labels for one id the largest counts; with no rows to
@@ -16,6 +19,7 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,16 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import label_model
-from .arrays import distinct, words
+from .arrays import LOWER, Words, distinct, mix64, stream64, words
 from .common import hashed_below, labelled, per_slice, platt, sample_fraction, sigmoid, small_batches
 from .ngrams import BARE
 
 #: Expected rows of the sample that the linear classifier is fitted on.
 FIT_ROWS = 16000
-#: The odds of a mined word are at least so many times the other class's.  Toxic rows
+#: Lengths of stems in bytes.  A text holds a stem densely if so many of its words, and so
+#: large a share of them, start with it.
+STEM_BYTES = range(4, 9)
+STEM_COUNT, STEM_SHARE = 2, 0.01
+#: The odds of a mined word or stem are at least so many times the other class's.  Toxic rows
 #: are dealt into 64 cells by their smallest word hash, which copies and near copies
-#: share; the word is in so many cells at least, so words of a few copied texts don't count.
-MINED_ODDS, MINED_CELLS = 8.0, 12
+#: share; the word or stem is in so many cells at least, so those of a few copied texts don't count.
+MINED_ODDS, MINED_CELLS = 8.0, 6
 MINED_VOTERS = 3
 
 # Lexicons of general insults by kind, several languages each.
@@ -58,8 +66,52 @@ def _lookup(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == hashes, at, -1)
 
 
+def _stems(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the words that have it at least, and the hashes of their stems."""
+    total = np.zeros(len(w.hashes), dtype=np.uint64)
+    key = stream64(53, 256) | np.uint64(1)
+    place = stream64(59, STEM_BYTES.stop) | np.uint64(1)
+    rows = np.arange(len(w.hashes))
+    with np.errstate(over="ignore"):
+        for i in range(STEM_BYTES.stop - 1):
+            rows = rows[w.length[rows] > i]
+            total[rows] += key[LOWER[w.data[w.start[rows] + i]]] * place[i]
+            if i + 1 in STEM_BYTES:
+                yield rows, mix64(total[rows] + np.uint64(i + 1))
+
+
+def dense_stems(w: Words, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``(hash, document row)`` of the stems that texts hold densely; only those among the sorted ``keys``, if given."""
+    need = np.maximum(STEM_COUNT, np.ceil(STEM_SHARE * np.diff(w.first))).astype(np.int64)
+    hashes, docs = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for rows, h in _stems(w):
+        doc = w.doc[rows]
+        if keys is not None:
+            known = _lookup(h, keys) >= 0
+            h, doc = h[known], doc[known]
+        if len(h) == 0:
+            continue
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
+        dense = np.diff(np.append(first, len(h))) >= need[doc[first]]
+        hashes.append(h[first][dense])
+        docs.append(doc[first][dense])
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
+def _features(w: Words, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``(hash, document row)`` of words and dense stems, by document."""
+    stems, stem_doc = dense_stems(w, keys)
+    hashes, doc = w.hashes, w.doc
+    if keys is not None:
+        known = _lookup(hashes, keys) >= 0
+        hashes, doc = hashes[known], doc[known]
+    return distinct(np.concatenate([hashes, stems]), np.concatenate([doc, stem_doc]))
+
+
 def voters(mined: np.ndarray):
-    """A function from a slice to (documents, voters) of -1, 0, 1; ``mined`` has sorted word hashes, dealt to the mined voters in turn."""
+    """A function from a slice to (documents, voters) of -1, 0, 1; ``mined`` has sorted hashes of words and stems, dealt to the mined voters in turn."""
     lexicons = [_hash_of(x) for x in LEXICONS.values()]
     every = np.unique(np.concatenate(lexicons))
 
@@ -70,7 +122,9 @@ def voters(mined: np.ndarray):
         out = [np.where(h > 0, 1, -1) for h in hits]
         clean = sum(hits) == 0
         group = _lookup(w.hashes, mined)
-        by_group = np.stack([np.bincount(w.doc[(group >= 0) & (group % MINED_VOTERS == k)], minlength=w.docs) for k in range(MINED_VOTERS)], axis=1)
+        stems, stem_doc = dense_stems(w, mined)
+        place, at = np.concatenate([group, _lookup(stems, mined)]), np.concatenate([w.doc, stem_doc])
+        by_group = np.stack([np.bincount(at[(place >= 0) & (place % MINED_VOTERS == k)], minlength=w.docs) for k in range(MINED_VOTERS)], axis=1)
         out += [np.where(by_group[:, k] > 0, 1, np.where(n > 0, 0, -1)) for k in range(MINED_VOTERS)]
         # pattern: an insult within a few words of another one, against none at all
         flag = (_lookup(w.hashes, every) >= 0) | (group >= 0)
@@ -88,7 +142,7 @@ def voters(mined: np.ndarray):
 
 @dataclass
 class Model:
-    #: sorted hashes of the words that have a weight
+    #: sorted hashes of the words and stems that have a weight
     keys: np.ndarray
     weight: np.ndarray
     bias: float
@@ -98,15 +152,12 @@ class Model:
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         w = words(BARE[data], offsets)
-        at = _lookup(w.hashes, self.keys)
-        seen = at >= 0
-        key = np.unique(w.doc[seen] * max(1, len(self.keys)) + at[seen])
-        doc, word = np.divmod(key, max(1, len(self.keys)))
-        return np.bincount(doc, self.weight[word], minlength=w.docs) + self.bias
+        hashes, doc = _features(w, self.keys)
+        return np.bincount(doc, self.weight[_lookup(hashes, self.keys)], minlength=w.docs) + self.bias
 
 
 def _mine(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of mined words and labelled rows by class; counts cover every labelled row."""
+    """Sorted hashes of mined words and stems, and labelled rows by class; counts cover every labelled row."""
 
     def count(rows, data, offsets):
         y = (rows.column(0).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
@@ -115,7 +166,7 @@ def _mine(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         spoken = np.flatnonzero(np.diff(w.first) > 0)
         if len(spoken):
             cell[spoken] = np.uint64(1) << (np.minimum.reduceat(w.hashes, w.first[spoken]) & np.uint64(63))
-        hashes, doc = distinct(w.hashes, w.doc)
+        hashes, doc = _features(w)
         keys, place = np.unique(hashes, return_inverse=True)
         n = np.bincount(place * 2 + y[doc], minlength=2 * len(keys)).reshape(len(keys), 2)
         cells = np.zeros(len(keys), dtype=np.uint64)
@@ -164,20 +215,22 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
 
     def sparse(rows, data, offsets):
         w = words(BARE[data], offsets)
-        hashes, doc = distinct(w.hashes, w.doc)
+        hashes, doc = _features(w)
         ends = np.cumsum(np.bincount(doc, minlength=w.docs))
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.posterior(vote(data, offsets))), pa.array([x.tobytes() for x in np.split(hashes, ends[:-1])], pa.binary())], names=["y", "p", "words"])
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(model.posterior(vote(data, offsets))), pa.array([x.tobytes() for x in np.split(hashes, ends[:-1])], pa.binary())], names=["y", "part", "p", "words"])
 
     side = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label).cast("int").alias("y"))
     part = docs.where(hashed_below(id_col, sample_fraction(total, fit_rows)))
-    part = part.join(side, part[id_col] == side["_label_id"], "left").select("y", "text")
-    got = part.transform(small_batches).mapInArrow(per_slice(sparse), "y int, p double, words binary").toPandas()
+    # equal texts fall on one side, whatever the order of rows
+    part = part.join(side, part[id_col] == side["_label_id"], "left").select("y", F.pmod(F.xxhash64("text"), F.lit(4)).alias("part"), "text")
+    got = part.transform(small_batches).mapInArrow(per_slice(sparse), "y int, part long, p double, words binary").toPandas()
+    got = got.sort_values(["words", "y"]).reset_index(drop=True)
     rows = [np.frombuffer(x, dtype=np.uint64) for x in got["words"]]
     vocabulary, count = np.unique(np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint64), return_counts=True)
     telling = np.union1d(mined, np.concatenate([_hash_of(x) for x in LEXICONS.values()]))
     vocabulary = vocabulary[(count >= 3) | np.isin(vocabulary, telling)]
     cells = [x[x >= 0] for x in (_lookup(r, vocabulary) for r in rows)]
-    fit = np.arange(len(cells)) % 4 != 3
+    fit = got["part"].to_numpy() != 3
     weight, bias = logistic([x for x, f in zip(cells, fit, strict=True) if f], got["p"].to_numpy()[fit], len(vocabulary))
     margin = np.array([weight[x].sum() + bias for x in cells])
     has = got["y"].notna().to_numpy() & ~fit
