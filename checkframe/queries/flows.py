@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rule import Rule
 from ..i18n import Catalog, Locale
@@ -161,6 +162,49 @@ def schema_conversations(spark, sf_dir):
     return Checker(Schema.from_json(TALK)).validate_json(rows, "talk").failures("conv_id").select("conv_id", "namespace", "kind", "rule")
 
 
+def unique_compound_keys(spark, sf_dir):
+    """Long arrays, each supplier's lines, with keys of one field and of several."""
+    line = F.struct(F.col("l_orderkey").alias("order"), F.col("l_quantity").alias("quantity"), F.struct(F.col("l_partkey").alias("key")).alias("part"))
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_list(line).alias("lines"))
+    model = Model("Supplier", {"lines": "unique=order|max=1,unique(order,quantity)|max=1,unique(part.key,order,quantity)"})
+    return Checker().validate(rows, model).failures("l_suppkey").select("l_suppkey", "namespace", "rule", "reason")
+
+
+def _repeated_keys(spark, sf_dir) -> DataFrame:
+    """Orders as JSON in which ``a`` stands twice, at the top and inside ``o``; every fifth text is cut short."""
+    text = F.concat(F.lit('{"a":"x","o":{"n":1.5,"n":'), F.col("o_custkey"), F.lit('},"a":'), F.col("o_orderkey"), F.lit("}"))
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    return rows.withColumn("t", F.expr("CASE WHEN o_orderkey % 5 = 0 THEN substr(t, 1, length(t) - 1) ELSE t END"))
+
+
+def json_repeated_keys(spark, sf_dir):
+    """Text with repeated keys is JSON, and of these the last counts."""
+    rows = _repeated_keys(spark, sf_dir).withColumn("ok", Checker().passes(F.col("t"), "json", T.StringType()))
+    schema = Schema({"fields": {"a": {"type": "uint", "rules": "lte=3000"}, "o": {"type": "object", "fields": {"n": {"type": "int", "rules": "gt=50"}}}}})
+    found = Checker(schema).validate_json(rows, "t").failures("o_orderkey", "ok")
+    return found.select("o_orderkey", "ok", "namespace", "kind", "rule")
+
+
+NESTED_ROWS = {
+    "fields": {
+        "key": {"type": "int", "rules": "lt=5000"},
+        "balance": {"type": "float", "rules": "gte=0"},
+        "name": {"type": "string", "rules": "endswith=7"},
+        "day": {"type": "string", "rules": "startswith=199"},
+        "lines": {"type": "array", "rules": "unique(part,quantity),max=5", "fields": {"quantity": {"type": "float", "rules": "lte=40"}, "flag": {"type": "string", "rules": "oneof(N,A)"}, "part": {"type": "uint"}}},
+        "marks": {"type": "object", "fields": {"size": {"type": "string", "rules": "ne=1"}}},
+        "clerk": {"rules": "required"},
+    }
+}
+
+
+def schema_nested_rows(spark, sf_dir):
+    """A schema over typed rows: a renamed column, a flattened struct, dates, arrays of structs, a map."""
+    rows = _orders(spark, sf_dir).join(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("day")), "k")
+    found = Checker(Schema(NESTED_ROWS)).validate_rows(rows, rename={"k": "key"}, flatten=["customer"])
+    return found.failures("k").select("k", "namespace", "kind", "rule")
+
+
 def field_dotted(spark, sf_dir):
     """A rule that looks at a field of a nested record."""
     rows = _orders(spark, sf_dir).join(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price")), "k")
@@ -188,7 +232,7 @@ def errors_per_record(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (summary_by_rule, customer_failures, customer_valid, nested_orders, partial_orders, except_orders, filter_orders, filter_elements, omitempty_flow, or_group, dive_embeddings_range, schema_events_props, schema_customer_rows, struct_check, custom_rule, custom_rule_with_parameter, field_ship_after_order, field_dotted, schema_conversations, i18n_order_and_fallback, errors_per_record)
+    for f in (summary_by_rule, customer_failures, customer_valid, nested_orders, partial_orders, except_orders, filter_orders, filter_elements, omitempty_flow, or_group, dive_embeddings_range, schema_events_props, schema_customer_rows, struct_check, custom_rule, custom_rule_with_parameter, field_ship_after_order, field_dotted, schema_conversations, i18n_order_and_fallback, errors_per_record, unique_compound_keys, json_repeated_keys, schema_nested_rows)
 } | {"i18n_en_messages": _messages("en"), "i18n_zh_messages": _messages("zh-CN")}
 
 _CUSTOMER = """SELECT c_custkey, 'c_name' AS field, 'required' AS rule FROM customer WHERE c_name = ''
@@ -222,6 +266,23 @@ CASE rule WHEN 'gte' THEN 'c_acctbal必须大于或等于0' WHEN 'oneof' THEN 'c
     "struct_check": """SELECT l_orderkey, l_linenumber, 'Line.l_quantity' AS namespace, 'gt' AS rule FROM lineitem WHERE NOT l_quantity > 0
 UNION ALL SELECT l_orderkey, l_linenumber, 'Line.l_discount', 'pair' FROM lineitem WHERE l_discount > l_tax AND l_quantity > 45
 UNION ALL SELECT l_orderkey, l_linenumber, 'Line.l_tax', 'pair' FROM lineitem WHERE l_discount > l_tax AND l_quantity > 45""",
+    "unique_compound_keys": """WITH n AS (SELECT l_suppkey, count(*) AS n, count(DISTINCT l_orderkey) AS a, count(DISTINCT (l_orderkey, l_quantity)) AS b, count(DISTINCT (l_partkey, l_orderkey, l_quantity)) AS c FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, 'Supplier.lines' AS namespace, 'unique|max' AS rule, 'unique|max' AS reason FROM n WHERE a < n AND n > 1
+UNION ALL SELECT l_suppkey, 'Supplier.lines', 'unique|max', 'unique|max' FROM n WHERE b < n AND n > 1
+UNION ALL SELECT l_suppkey, 'Supplier.lines', 'unique', 'unique' FROM n WHERE c < n""",
+    "json_repeated_keys": """SELECT o_orderkey, false AS ok, '$value' AS namespace, 'option' AS kind, 'type' AS rule FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, true, 'a', 'uint', 'lte' FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey > 3000
+UNION ALL SELECT o_orderkey, true, 'o.n', 'int', 'gt' FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey <= 50""",
+    "schema_nested_rows": f"""SELECT o_orderkey AS k, 'key' AS namespace, 'int' AS kind, 'lt' AS rule FROM orders WHERE o_orderkey >= 5000
+UNION ALL SELECT o_orderkey, 'balance', 'float', 'gte' FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0
+UNION ALL SELECT o_orderkey, 'name', 'string', 'endswith' FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_name NOT LIKE '%7'
+UNION ALL SELECT o_orderkey, 'day', 'string', 'startswith' FROM orders WHERE strftime(o_orderdate, '%Y') NOT LIKE '199%'
+UNION ALL SELECT l_orderkey, 'lines', 'vec', 'unique' FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey HAVING count(*) <> count(DISTINCT (l_partkey, l_quantity))
+UNION ALL SELECT l_orderkey, 'lines', 'vec', 'max' FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey HAVING count(*) > 5
+UNION ALL SELECT k, 'lines[' || i || '].quantity', 'float', 'lte' FROM ({_LINES}) JOIN orders ON k = o_orderkey WHERE quantity > 40
+UNION ALL SELECT k, 'lines[' || i || '].flag', 'string', 'oneof' FROM ({_LINES}) JOIN orders ON k = o_orderkey WHERE flag NOT IN ('N', 'A')
+UNION ALL SELECT o_orderkey, 'marks.size', 'string', 'ne' FROM orders WHERE substr(o_orderpriority, 1, 1) = '1'
+UNION ALL SELECT o_orderkey, 'clerk', 'option', 'required' FROM orders""",
     "custom_rule": "SELECT p_partkey, 'even' AS rule FROM part WHERE p_size % 2 <> 0 UNION ALL SELECT p_partkey, 'gt' FROM part WHERE p_size <= 4",
     "custom_rule_with_parameter": "SELECT p_partkey, 'multiple' AS rule, '3' AS of FROM part WHERE p_size % 3 <> 0",
     "field_dotted": "SELECT o_orderkey AS k, 'Order.price' AS namespace, 'gt_field' AS rule FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT o_totalprice > c_acctbal",

@@ -277,15 +277,15 @@ class RowNode:
             return Value(F.transform(items, lambda x: RowNode.make(x, of, self.naming, self.path).key()), T.ArrayType(RowNode.make(F.col("_"), of, self.naming, self.path).key_type()), siblings=siblings)
         if not _plain(self.dtype):
             return Value(F.lit(None).cast(READ[kind]), SPARK[kind], KIND[kind], siblings=siblings)
-        column = self.text() if kind == "string" else F.when(self.there(), self.column.try_cast(READ[kind]))
+        column = F.when(self.there(), self.text() if kind == "string" else self.column.try_cast(READ[kind]))
         return Value(column, SPARK[kind], KIND[kind], siblings=siblings)
 
     def key_type(self) -> T.DataType:
-        return self.dtype if _plain(self.dtype) else T.StringType()
+        return T.StringType() if isinstance(self.dtype, T.NullType) else self.dtype
 
     def key(self) -> Column:
-        """What equal values share: a plain value itself, else its JSON text; null where nothing is there."""
-        return F.when(self.there(), self.column) if _plain(self.dtype) else F.when(self.there(), F.to_json(F.struct(self.column)))
+        """What equal values share: the value itself; null where nothing is there."""
+        return F.when(self.there(), self.column)
 
     def keys(self, fields: dict) -> tuple[Column, T.StructType]:
         columns, dtype = [], T.StructType()
