@@ -1,151 +1,150 @@
-"""URL rules: the one family that needs a parser, applied to Arrow batches.
+"""URL rules: a text is taken apart in stages, each a struct of columns that the next one reads.
 
-Cheap column tests come first; only text that passes them reaches Python.
+Ordinary URLs are told by one pattern first.
 """
 
 from __future__ import annotations
 
-import ipaddress
-import re
-from urllib.parse import unquote_to_bytes
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .addresses import ipv6
+from .domains import international, let, mapped
 from .rule import Rule, text_only
 
 # Schemes whose URLs have an authority, of the WHATWG URL standard.
 SPECIAL = ("http", "https", "ws", "wss", "ftp", "file")
-_SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(.*)\Z", re.S)
-_FORBIDDEN = re.compile(r"[\x00-\x20#/:<>?@\[\\\]^|]")
-_FORBIDDEN_DOMAIN = re.compile(r"[\x00-\x20\"#%/:<>?@\[\\\]^`{|}\x7f]")
-
-
-def _ipv4_number(part: str) -> int | None:
-    try:
-        if part[:2].lower() == "0x":
-            return int(part[2:] or "0", 16)
-        return int(part, 8) if len(part) > 1 and part[0] == "0" else int(part)
-    except ValueError:
-        return None
-
-
-def _host(text: str, special: bool) -> bool:
-    """Whether the text is a host of a URL."""
-    if text.startswith("["):
-        try:
-            return text.endswith("]") and "%" not in text and bool(ipaddress.IPv6Address(text[1:-1]))
-        except ValueError:
-            return False
-    if not special:
-        return not _FORBIDDEN.search(text)
-    try:
-        domain = unquote_to_bytes(text).decode()
-    except UnicodeDecodeError:
-        return False
-    if not domain or _FORBIDDEN_DOMAIN.search(domain):
-        return False
-    parts = domain.removesuffix(".").split(".")
-    if re.fullmatch(r"[0-9]+|0[xX][0-9a-fA-F]*", parts[-1]):
-        numbers = [_ipv4_number(x) if x.isascii() else None for x in parts]
-        return len(parts) <= 4 and None not in numbers and all(n < 256 for n in numbers[:-1]) and numbers[-1] < 256 ** (5 - len(parts))
-    return True
-
-
-def parse(text: str) -> dict | None:
-    """scheme, host (None: none), path, fragment and opacity of an absolute URL, or None."""
-    text = re.sub(r"[\t\n\r]", "", text.strip("".join(map(chr, range(33)))))
-    m = _SCHEME.match(text)
-    if not m:
-        return None
-    scheme, rest = m[1].lower(), m[2]
-    rest, _, fragment = rest.partition("#")
-    special = scheme in SPECIAL
-    if special:
-        rest = rest.replace("\\", "/") if "?" not in rest else rest.split("?", 1)[0].replace("\\", "/") + "?" + rest.split("?", 1)[1]
-    path_part = rest.partition("?")[0]
-    out = {"scheme": scheme, "host": None, "path": path_part, "fragment": fragment, "opaque": False}
-    if special and scheme != "file":
-        after = rest.lstrip("/")
-    elif rest.startswith("//"):
-        after = rest[2:]
-    else:
-        if scheme == "file":
-            out["path"] = "/" + path_part.lstrip("/")
-        out["opaque"] = not special and not rest.startswith("/")
-        return out
-    cut = re.search(r"[/?]", after)
-    authority, path = (after[: cut.start()], after[cut.start() :]) if cut else (after, "")
-    out["path"] = path.partition("?")[0] or ("/" if special else "")
-    if scheme == "file":
-        if re.fullmatch(r"[A-Za-z][:|]", authority):
-            out["path"] = f"/{authority}{out['path']}"
-            return out
-        if authority and not _host(authority, True):
-            return None
-        out["host"] = authority if authority not in ("", "localhost") else None
-        return out
-    credentials, at, place = authority.rpartition("@")
-    port = re.search(r":([^:\]]*)\Z", place)
-    host = place[: port.start()] if port else place
-    if port and port[1] and not (port[1].isascii() and port[1].isdigit() and int(port[1]) <= 65535):
-        return None
-    if not host and (special or at or port):
-        return None
-    if host and not _host(host, special):
-        return None
-    out["host"] = host or None
-    return out
-
-
-def is_url(text: str) -> bool:
-    if re.search(r"\s", text):
-        return False
-    u = parse(text)
-    if u is None:
-        return False
-    if u["scheme"] == "file":
-        return u["path"] != "/"
-    return u["host"] is not None or u["fragment"] != "" or (u["opaque"] and u["path"] != "")
-
-
-def is_uri(text: str) -> bool:
-    text = text.partition("#")[0]
-    if not text or re.search(r"\s", text):
-        return False
-    if text.startswith("/"):
-        return all(33 <= ord(c) <= 126 or ord(c) > 127 for c in text)
-    return parse(text) is not None
-
-
-def is_http(text: str, schemes: tuple[str, ...] = ("http", "https")) -> bool:
-    if not is_url(text):
-        return False
-    u = parse(text)
-    return u["host"] is not None and u["scheme"] in schemes
-
-
-def _batched(test):
-    @F.pandas_udf("boolean")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: x is not None and test(x)).astype(bool)
-
-    return run
-
-
-def _rule(name: str, test, likely: str) -> Rule:
-    def check(c: Column, p: dict) -> Column:
-        hint = c.rlike(likely)
-        # rows that cannot pass go to Python as null
-        return hint & _batched(test)(F.when(hint, c))
-
-    return Rule(name, text_only(check))
+_FORBIDDEN = r"[\x00-\x20#/:<>?@\[\\\]^|]"
+_FORBIDDEN_DOMAIN = r"[\x00-\x20\"#%/:<>?@\[\\\]^`{|}\x7f]"
+_SPACE = r"(?U)\s"
+
+
+def _after(text: Column, n: Column) -> Column:
+    """``text`` without its first ``n`` characters."""
+    return text.substr(n + 1, F.length(text))
+
+
+def _number(part: Column) -> Column:
+    """Number of an IPv4 part: decimal, octal after ``0``, hexadecimal after ``0x``; null where it is none or beyond 32 bits."""
+    hexa = F.regexp_replace(F.regexp_extract(part, r"^0x([0-9a-f]*)\z", 1), "^0+", "")
+    octal = F.regexp_replace(part, "^0+", "")
+    return (
+        F.when(part.rlike(r"^0x[0-9a-f]*\z"), F.when(F.length(hexa) <= 8, F.conv(F.concat(F.lit("0"), hexa), 16, 10).cast("long")))
+        .when(part.rlike(r"^0[0-7]+\z"), F.when(F.length(octal) <= 11, F.conv(F.concat(F.lit("0"), octal), 8, 10).cast("long")))
+        .when(part.rlike(r"^(?:0|[1-9][0-9]*)\z"), F.when(F.length(part) <= 10, part.try_cast("long")))
+    )
+
+
+def _ipv4(parts: Column) -> Column:
+    """Whether labels, the last of which is a number, are an IPv4 address."""
+
+    def fits(numbers: Column) -> Column:
+        n = F.size(numbers)
+        most = F.element_at(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), F.least(n, F.lit(4)))
+        return (n <= 4) & ~F.exists(numbers, lambda x: x.isNull()) & ~F.exists(F.slice(numbers, F.lit(1), n - 1), lambda x: x > 255) & (F.element_at(numbers, -1) < most)
+
+    return let(F.transform(parts, _number), fits)
+
+
+def _domain(host: Column) -> Column:
+    """Whether the host of a URL with authority is a domain name or an IPv4 address."""
+
+    def checked(name: Column) -> Column:
+        parts = F.split(F.regexp_replace(name, r"\.\z", ""), r"\.", -1)
+        numeric = F.element_at(parts, -1).rlike(r"^(?:[0-9]+|0x[0-9a-f]*)\z")
+        plain = ~name.rlike(r"[^\x00-\x7F]|(?:^|\.)xn--")
+        return (name != "") & ~name.rlike(_FORBIDDEN_DOMAIN) & (plain | international(name)) & (~numeric | _ipv4(parts))
+
+    # a plus sign stands for itself in a host; bytes that are no text show as U+FFFD
+    decoded = F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B")))
+    return let(F.when(decoded.isNotNull() & ~decoded.contains("\ufffd"), mapped(decoded)), lambda name: F.coalesce(checked(name), F.lit(False)))
+
+
+def _host(host: Column, special: Column) -> Column:
+    literal = host.endswith("]") & ~host.contains("%") & ipv6(host.substr(F.lit(2), F.length(host) - 2))
+    return F.when(host.startswith("["), literal).when(~special, ~host.rlike(_FORBIDDEN)).otherwise(_domain(host))
+
+
+def parts(text: Column) -> Column:
+    """A struct: ``valid``, ``scheme``, ``host`` (whether there is one), ``path``, ``fragment`` (whether it holds anything), ``opaque``."""
+
+    def scheme(t: Column) -> Column:
+        name = F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+        return F.struct(F.lower(name).alias("scheme"), F.when(name != "", _after(t, F.length(name) + 1)).alias("rest"))
+
+    def body(s: Column) -> Column:
+        special = s["scheme"].isin(*SPECIAL)
+        before = F.substring_index(s["rest"], "#", 1)
+        path = F.substring_index(before, "?", 1)
+        return F.struct(s["scheme"].alias("scheme"), special.alias("special"), (F.length(s["rest"]) > F.length(before) + 1).alias("fragment"), F.when(special, F.translate(path, "\\", "/")).otherwise(path).alias("path"))
+
+    def authority(s: Column) -> Column:
+        net = F.when(s["special"] & (s["scheme"] != "file"), F.regexp_replace(s["path"], "^/+", "")).when(s["path"].startswith("//"), _after(s["path"], F.lit(2)))
+        named = F.regexp_extract(net, "^[^/]*", 0)
+        return F.struct(*[s[k].alias(k) for k in ("scheme", "special", "fragment", "path")], named.alias("authority"), _after(net, F.length(named)).alias("below"))
+
+    def place(s: Column) -> Column:
+        at = F.substring_index(s["authority"], "@", -1)
+        port = F.regexp_extract(at, r":[^:\]]*\z", 0)
+        return F.struct(s.alias("s"), s["authority"].contains("@").alias("user"), port.alias("port"), at.substr(F.lit(1), F.length(at) - F.length(port)).alias("host"))
+
+    def verdict(p: Column) -> Column:
+        s, host = p["s"], p["host"]
+        file = s["scheme"] == "file"
+        given = s["authority"].isNotNull()
+        drive = file & s["authority"].rlike(r"^[A-Za-z][:|]\z")
+        digits = F.regexp_replace(_after(p["port"], F.lit(1)), "^0+", "")
+        port_ok = p["port"].rlike(r"^(?::[0-9]*)?\z") & (F.length(digits) <= 5) & (F.coalesce(digits.try_cast("int"), F.lit(0)) <= 65535)
+        bare = ~(s["special"] | p["user"] | (p["port"] != ""))
+        name = F.when(file, s["authority"]).otherwise(host)
+        needed = F.when(file, ~drive & (name != "")).otherwise(name != "")
+        named_ok = ~needed | _host(name, s["special"])
+        valid = ~given | ((file | (port_ok & ((host != "") | bare))) & named_ok)
+        below = F.when((s["below"] == "") & s["special"], "/").otherwise(s["below"])
+        path = F.when(given, F.when(drive, F.concat(F.lit("/"), s["authority"], s["below"])).otherwise(below)).when(file, F.concat(F.lit("/"), F.regexp_replace(s["path"], "^/+", ""))).otherwise(s["path"])
+        return F.struct(
+            F.coalesce((s["scheme"] != "") & valid, F.lit(False)).alias("valid"),
+            s["scheme"].alias("scheme"),
+            F.coalesce(given & needed & ~(file & (name == "localhost")), F.lit(False)).alias("host"),
+            path.alias("path"),
+            s["fragment"].alias("fragment"),
+            (~given & ~s["special"] & ~s["path"].startswith("/")).alias("opaque"),
+        )
+
+    trimmed = F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+    return reduce(let, (scheme, body, authority, place, verdict), trimmed)
+
+
+def _url(u: Column) -> Column:
+    return u["valid"] & F.when(u["scheme"] == "file", u["path"] != "/").otherwise(u["host"] | u["fragment"] | (u["opaque"] & (u["path"] != "")))
+
+
+def _uri(c: Column) -> Column:
+    def one(t: Column) -> Column:
+        return (t != "") & ~t.rlike(_SPACE) & F.when(t.startswith("/"), ~t.rlike(r"[\x00-\x20\x7F\x{80}]")).otherwise(let(parts(t), lambda u: u["valid"]))
+
+    return let(F.substring_index(c, "#", 1), one)
+
+
+def _http(c: Column, *schemes: str) -> Column:
+    return ~c.rlike(_SPACE) & let(parts(c), lambda u: _url(u) & u["host"] & u["scheme"].isin(*schemes))
+
+
+def _plain(schemes: str) -> str:
+    """URLs that need no taking apart: a host of plain labels, the last of which begins with a letter."""
+    return rf"(?U)^(?i:{schemes})://(?!\S*(?i:xn--))(?:[A-Za-z0-9_-]+\.)*[A-Za-z][A-Za-z0-9_-]*(?::[0-9]{{1,4}})?(?:[/?#]\S*)?\z"
+
+
+def _rule(name: str, plain: str, check: Callable[[Column], Column]) -> Rule:
+    return Rule(name, text_only(lambda c, p: F.when(c.rlike(plain), True).otherwise(check(c))))
 
 
 URL_RULES = (
-    _rule("url", is_url, r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.-]*:"),
-    _rule("uri", is_uri, r"^(?:/|[\x00-\x20]*[A-Za-z][A-Za-z0-9+.-]*:)"),
-    _rule("http", is_http, r"(?i)^https?:"),
-    _rule("https", lambda x: is_http(x, ("https",)), r"(?i)^https:"),
+    _rule("url", _plain("https?|wss?|ftp"), lambda c: ~c.rlike(_SPACE) & let(parts(c), _url)),
+    _rule("uri", _plain("https?|wss?|ftp"), _uri),
+    _rule("http", _plain("https?"), lambda c: _http(c, "http", "https")),
+    _rule("https", _plain("https"), lambda c: _http(c, "https")),
 )
