@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from ..plans.compiler import Errors, Failure, Group, Path, error
 from ..plans.expressions import AnyOf, parse
 from ..plans.kinds import Value, kind_of
 from ..plans.registry import Registry
-from ..plans.selection import Selection, parts
+from ..plans.selection import Selection, element_of, meets, parts
 from .model import Dive, MapDive, Model, model_of
 
 ERRORS = "_errors"
@@ -26,6 +26,9 @@ class Result:
     """A validated DataFrame: the input's columns and ``_errors``.  Works the same on streams."""
 
     annotated: DataFrame
+    #: rows in which each selector of single elements met one, counted as the data pass by
+    observation: Observation | None = None
+    selectors: tuple[str, ...] = ()
 
     @property
     def columns(self) -> list[str]:
@@ -55,6 +58,23 @@ class Result:
         found = self.failures().limit(limit).collect()
         if found:
             raise ValidationFailed(found)
+        self.raise_if_unmatched()
+
+    def unmatched(self) -> list[str]:
+        """Selectors that named elements no row had.
+
+        Ask after an action on ``annotated``, or what is made of it, that saw all rows; it runs no
+        job.  Streams are not counted.
+        """
+        if self.observation is None:
+            return []
+        seen = self.observation.get
+        return [s for i, s in enumerate(self.selectors) if not seen[f"met_{i}"]]
+
+    def raise_if_unmatched(self) -> None:
+        missed = self.unmatched()
+        if missed:
+            raise UnknownField(", ".join(missed))
 
 
 class _Walk:
@@ -136,7 +156,7 @@ class _Walk:
                 return out
 
             entries = F.map_entries(value.column)
-            return self._guarded(entries, lambda e: entry(e).column(), entry)
+            return self._named(value, static, lambda k, v, place: entry(F.struct(k.alias("key"), v.alias("value")))) or self._guarded(static, entries, lambda e: entry(e).column(), entry)
         if not isinstance(value.dtype, T.ArrayType):
             raise ConfigError(f"{static}: dive needs an array or a map")
 
@@ -147,9 +167,24 @@ class _Walk:
             self.element(x, value.dtype.elementType, dive, path.at(place), static + "[]", F.concat(F.lit(static.rsplit(".", 1)[-1]), place), own, out)
             return out
 
-        return self._guarded(value.column, lambda x, i: item(x, i).column(), lambda x: item(x, F.lit(0)))
-
-    def _guarded(self, array: Column, errors_of: Callable, item: Callable[[Column], Errors]) -> tuple[Column, Column | None]:
+        return self._named(value, static, lambda i, x, place: item(x, i)) or self._guarded(static, value.column, lambda x, i: item(x, i).column(), lambda x: item(x, F.lit(0)))
+
+    def _named(self, value: Value, static: str, errors_of: Callable[[Column, Column, str], Errors]) -> tuple[Column, Column | None] | None:
+        """Errors of the elements that selectors name, each taken from its place; None if all are to be walked."""
+        asked = self.selection.asked(static) if self.selection.mode == "partial" else None
+        if asked is None:
+            return None
+        out = Errors()
+        for place in asked:
+            found = element_of(value.column, value.dtype, place)
+            if found is not None:
+                there, key, element = found
+                own = errors_of(key, element, place)
+                failed = own.failed()
+                out.extend(F.when(there, own.column()), None if failed is None else there & failed)
+        return out.column(), out.failed()
+
+    def _guarded(self, static: str, array: Column, errors_of: Callable, item: Callable[[Column], Errors]) -> tuple[Column, Column | None]:
         every = F.flatten(F.transform(array, errors_of))
         known = []
 
@@ -157,8 +192,8 @@ class _Walk:
             known.append(item(x).failed())
             return F.lit(True) if known[-1] is None else known[-1]
 
-        if self.selection.mode in ("partial", "except") or self.selection.elements is not None:
-            return every, None  # which elements count depends on their places
+        if self.selection.places_matter(static):
+            return every, None
         failed = F.coalesce(F.exists(array, fails), F.lit(False))
         return (every, None) if known[-1] is None else (F.when(failed, every), failed)
 
@@ -216,7 +251,13 @@ class Checker:
         errors = Errors()
         _Walk(self.registry, selection).model(model, lambda n: df[n], df.schema, Path((model.name,)), "", (), errors)
         selection.finish()
-        return Result(df.withColumn(ERRORS, errors.column()))
+        checked = df.withColumn(ERRORS, errors.column())
+        paths = () if df.isStreaming else selection.element_paths()
+        if not paths:
+            return Result(checked)
+        seen = Observation()
+        met = [F.count_if(meets(df[p[0]], df.schema[p[0]].dataType, p[1:])).alias(f"met_{i}") for i, p in enumerate(paths)]
+        return Result(checked.observe(seen, *met), seen, tuple("".join(x if x.startswith("[") or not i else f".{x}" for i, x in enumerate(p)) for p in paths))
 
     def validate(self, df: DataFrame, model: Model | str) -> Result:
         """Every rule of the model; a text is the type name of a model in the columns' metadata."""

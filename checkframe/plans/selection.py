@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import UnknownField
 
@@ -31,6 +33,40 @@ def _starts(path: tuple[str, ...], head: tuple[str, ...]) -> bool:
     return len(head) <= len(path) and all(_same(a, b) or _same(b, a) for a, b in zip(path, head, strict=False))
 
 
+def element_of(column: Column, dtype: T.DataType, place: str) -> tuple[Column, Column, Column] | None:
+    """Whether a collection has the element at ``[0]`` or ``["key"]``, its key or index, and the element; None if it cannot have it."""
+    try:
+        (key,) = json.loads(place)
+    except ValueError:
+        return None
+    if isinstance(dtype, T.ArrayType):
+        if not isinstance(key, int) or isinstance(key, bool) or key < 0:
+            return None
+        return F.coalesce(F.size(column) > key, F.lit(False)), F.lit(key), F.get(column, F.lit(key))
+    if isinstance(dtype, T.MapType) and not isinstance(key, list | dict):
+        wanted = F.lit(key).try_cast(dtype.keyType)
+        return F.coalesce(F.map_contains_key(column, wanted), F.lit(False)), wanted, F.try_element_at(column, wanted)
+    return None
+
+
+def meets(column: Column, dtype: T.DataType, rest: tuple[str, ...]) -> Column:
+    """Whether the rest of a selector leads to something in a value."""
+    if not rest:
+        return F.lit(True)
+    here, rest = rest[0], rest[1:]
+    if not _element(here):
+        if isinstance(dtype, T.StructType) and here in dtype.fieldNames():
+            return column.isNotNull() & meets(column.getField(here), dtype[here].dataType, rest)
+        return F.lit(False)
+    if here in ("[]", "[*]"):
+        items, of = (F.map_values(column), dtype.valueType) if isinstance(dtype, T.MapType) else (column, dtype.elementType)
+        return F.coalesce(F.exists(items, lambda x: meets(x, of, rest)), F.lit(False))
+    found = element_of(column, dtype, here)
+    if found is None:
+        return F.lit(False)
+    return found[0] & meets(found[2], dtype.valueType if isinstance(dtype, T.MapType) else dtype.elementType, rest)
+
+
 class Selection:
     """All fields unless narrowed; paths leave out the type's name."""
 
@@ -66,6 +102,29 @@ class Selection:
         p = parts(path)
         return [self.indices(p, s) for s in self.paths if _starts(p, s)]
 
+    def asked(self, path: str) -> list[str] | None:
+        """The elements of a collection that the selectors name; None if some selector takes them all."""
+        p, out = parts(path), []
+        for s in self.paths:
+            if len(s) <= len(p):
+                if _starts(p, s):
+                    return None
+            elif _starts(s, p):
+                if not _element(s[len(p)]) or s[len(p)] in ("[]", "[*]"):
+                    return None
+                out.append(s[len(p)])
+        return list(dict.fromkeys(out))
+
+    def places_matter(self, path: str) -> bool:
+        """Whether what is reported inside a collection depends on where in it an element stands."""
+        p = parts(path)
+        named = any(len(s) > len(p) and _starts(s, p) and _element(s[len(p)]) and s[len(p)] not in ("[]", "[*]") for s in self.paths)
+        return self.elements is not None or self.mode in ("partial", "except") and named
+
+    def element_paths(self) -> list[tuple[str, ...]]:
+        """Selectors that name single elements, which only the data can tell to be there."""
+        return [s for s in self.paths if any(_element(x) and x not in ("[]", "[*]") for x in s)]
+
     def kept_elements(self, path: str, places: dict[int, Column]) -> Column:
         """Whether ``elements`` keeps the first element on the path and everything from there on."""
         p, out, at = parts(path), F.lit(True), F.lit("")
