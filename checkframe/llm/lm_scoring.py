@@ -8,7 +8,7 @@ self-attention model (``attention``) starts from.  The network learns from every
 training document once: each of ``ROUNDS`` rounds takes the documents whose hash falls to
 it, every partition trains a copy on its own, and the copies, averaged by the windows
 they saw, are where the next round starts.  All documents are scored by overlapping
-windows, each id once.
+windows, each id once; ``score`` is an even mixture of that (``model_score``) with the base.
 
 The counts and ids of the most frequent words, at most ``COMMON_WORDS``, travel to the
 tasks; only rarer words are tokenized there, and joined by a shuffle for their counts, so
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import attention as net
 from .arrays import slices, sums
-from .common import per_slice, small_batches
+from .common import crc32_sql, per_slice, small_batches
 from .packing import Given, word_ids
 from .storage import cut
 
@@ -150,6 +150,21 @@ def _summed(read: DataFrame, step, size: int) -> np.ndarray:
     return out
 
 
+def id_counts(read: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs; the most frequent ones get slots of their own."""
+
+    def step(total, ids, cuts):
+        total += np.bincount(ids, minlength=size)
+
+    return _summed(read, step, size)
+
+
+def mixed(model: Column, base: Column) -> Column:
+    """Log10 probability of a text under an even mixture of the model and the base: never much below the better of the two."""
+    high, low = F.greatest(model, base), F.least(model, base)
+    return high + F.log10((1 + F.pow(F.lit(10.0), low - high)) / 2)
+
+
 def corpus_counts(read: DataFrame, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How often each id occurs, and how often each slot follows each other one; at most one sum an id and ``SLOTS ** 2`` reach the driver."""
     size, pairs = len(slot), net.SLOTS**2
@@ -229,10 +244,7 @@ def lm_scores(docs: DataFrame, train: Column, tokenizer_path: str, vocabulary_si
     read = read_texts(docs, common, tokenizer_path, vocabulary_size, float(floor), id_col=id_col, text_col=text_col, train=train)
     read = cut(read.withColumn("row", F.monotonically_increasing_id()), compression="zstd")
     learned = read.where("train")
-    # which ids have slots of their own follows from the frequent words and the ends
-    frequent = np.bincount(given.ids.astype(np.int64), np.repeat(given.counts, given.sizes), minlength=vocabulary_size + 1)
-    frequent[vocabulary_size] = n_docs
-    slot = net.slots_of(frequent)
+    slot = net.slots_of(id_counts(learned, vocabulary_size + 1))
     vocab = net.vocabulary(slot, *corpus_counts(learned, slot))
     shared = context.broadcast((train_network(learned, vocab), vocab))
 
@@ -246,11 +258,30 @@ def lm_scores(docs: DataFrame, train: Column, tokenizer_path: str, vocabulary_si
     c = F.coalesce("c", F.lit(0))
     rare = tokens.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10((c + 1) / F.lit(float(floor)))).alias("rare_base"), F.sum((c > 0).cast("int")).alias("rare_known"))
     end_score = float(np.log10((n_docs + 1) / floor))
+    base_score = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + F.lit(end_score)
     return scored.join(rare, "row", "left").select(
         F.col("id").alias(id_col),
         (F.col("n_words") + 1).alias("n_tokens"),
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(n_docs > 0))).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + F.lit(end_score)).alias("base_score"),
-        "score",
+        base_score.alias("base_score"),
+        mixed(F.col("score"), base_score).alias("score"),
+        F.col("score").alias("model_score"),
     )
+
+
+#: DuckDB SQL of the columns that are counts of words, and of the base score to three digits.
+BASE_ORACLE = f"""WITH texts AS (
+  SELECT doc_id, {crc32_sql("doc_id::VARCHAR")} % 7 = 2 AS held_out,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), word AS (SELECT doc_id, held_out, unnest(w) AS word FROM texts
+), counted AS (SELECT word, count(*) AS c FROM word WHERE NOT held_out GROUP BY word
+), total AS (
+  SELECT (SELECT count(*) FROM texts WHERE NOT held_out) AS ends, (SELECT coalesce(sum(c), 0)::BIGINT FROM counted) AS n, (SELECT count(*) FROM counted) AS v
+), size AS (SELECT ends, n + ends AS n, n + ends + v + (ends > 0)::INT + 1 AS floor FROM total
+), per_doc AS (
+  SELECT doc_id, count(*) AS words, count(c) AS known, sum(log10((coalesce(c, 0) + 1) / floor::DOUBLE)) AS score FROM word LEFT JOIN counted USING (word), size GROUP BY doc_id
+)
+SELECT t.doc_id, t.held_out, coalesce(p.words, 0) + 1 AS n_tokens, coalesce(p.known, 0) + (s.ends > 0)::INT AS n_known, s.n::BIGINT AS train_tokens,
+  round(coalesce(p.score, 0) + log10((s.ends + 1) / s.floor::DOUBLE), 3) AS base_score
+FROM texts t LEFT JOIN per_doc p ON p.doc_id = t.doc_id, size s"""

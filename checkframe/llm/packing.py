@@ -397,3 +397,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     schema = f"{id_col} {kind}, " + ", ".join(f"{n} long" for n in names[1:]) + (", ids array<int>" if with_ids else "")
     columns = [F.col(id_col), F.col(text_col).alias("text")] + ([F.col(prompt_col).alias("prompt")] if prompt_col is not None else [])
     return docs.select(*columns).transform(small_batches).mapInArrow(run, schema)
+
+
+#: DuckDB SQL of what holds for any packing of the documents.
+LAWS_ORACLE = "SELECT count(*) AS documents, true AS documents_whole, true AS sequences_gapless, true AS within_limit FROM documents"

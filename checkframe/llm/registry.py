@@ -95,6 +95,21 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
 
 
+def lm_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    return op9_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def packing_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 promises of any packing, as one row: each document whole, each sequence gapless and within its limit."""
+    pieces = op3_packing(spark, sf_dir)
+    whole = pieces.groupBy("doc_id").agg(F.sum("length").alias("ids"), F.max("doc_tokens").alias("tokens"), F.min("start").alias("first"), F.max(F.col("start") + F.col("length")).alias("end"), F.count_distinct("start").alias("starts"), F.count("*").alias("n"))
+    full = pieces.groupBy("sequence_id").agg(F.sum("length").alias("ids"), F.min("offset").alias("first"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("offsets"), F.count("*").alias("n"))
+    docs = whole.agg(F.count("*").alias("documents"), F.bool_and((F.col("ids") == F.col("tokens")) & (F.col("first") == 0) & (F.col("end") == F.col("tokens")) & (F.col("starts") == F.col("n"))).alias("documents_whole"))
+    rows = full.agg(F.bool_and((F.col("first") == 0) & (F.col("end") == F.col("ids")) & (F.col("offsets") == F.col("n"))).alias("sequences_gapless"), F.bool_and(F.col("ids") <= 2048).alias("within_limit"))
+    return docs.unionByName(rows, allowMissingColumns=True).agg(F.max("documents").alias("documents"), *[F.bool_and(c).alias(c) for c in ("documents_whole", "sequences_gapless", "within_limit")])
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8 that SQL can express."""
     return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -108,8 +123,8 @@ def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, op11_periodic_runs, op12_secret_scan, op13_vector_codes, quality_base_counts, secret_base_spans, sharding_laws)}
+    return {q.__name__: q for q in (op1_language_id, op2_near_dedup, op3_packing, op4_decontamination, op5_sharding, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_lm_scoring, op10_quality_classifier, op11_periodic_runs, op12_secret_scan, op13_vector_codes, lm_base_counts, packing_laws, quality_base_counts, secret_base_spans, sharding_laws)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": near_dedup.ORACLE, "op4_decontamination": decontamination.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op11_periodic_runs": periodic_runs.ORACLE, "op13_vector_codes": vector_codes.ORACLE, "quality_base_counts": quality_rules.BASE_ORACLE, "secret_base_spans": secret_scan.BASE_ORACLE, "sharding_laws": sharding.LAWS_ORACLE}
+    return {"op2_near_dedup": near_dedup.ORACLE, "op4_decontamination": decontamination.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op11_periodic_runs": periodic_runs.ORACLE, "op13_vector_codes": vector_codes.ORACLE, "lm_base_counts": lm_scoring.BASE_ORACLE, "packing_laws": packing.LAWS_ORACLE, "quality_base_counts": quality_rules.BASE_ORACLE, "secret_base_spans": secret_scan.BASE_ORACLE, "sharding_laws": sharding.LAWS_ORACLE}
