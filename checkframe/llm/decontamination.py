@@ -21,13 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import broadcast_if_small, cut
 
 WINDOW = 13
 #: Rarest terms of each window whose postings are stored.
 RAREST = 2
-#: Distinct terms (or term places) up to which the benchmark side is broadcast; beyond it the joins shuffle.
-BROADCAST_ROWS = 500_000
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -41,10 +39,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), _SEPARATORS), "")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Distinct word sequences of the benchmark with the ids that share each."""
     return (
@@ -61,21 +55,28 @@ def rare_places(items: DataFrame, counts: DataFrame, window: int, rarest: int) -
 
     ``need`` is how many of its places a match must show at least.
     """
-    size = F.size("item_words")
-    span = F.least(size, F.lit(window))
-    starts = F.explode(F.sequence(F.lit(0), size - span))
-    places = items.select("item", F.posexplode("item_words").alias("place", "term")).join(counts, "term", "left")
-    per_item = places.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("terms"))
-    ranked = items.select("item", span.alias("span"), starts.alias("start")).join(per_item, "item")
-    by_rarity = F.sort_array(F.transform(F.slice("terms", F.col("start") + 1, F.col("span")), lambda t: F.struct(t["n"].alias("n"), t["place"].alias("place"), t["term"].alias("term"))))
-    chosen = ranked.select("item", F.least("span", F.lit(rarest)).alias("need"), F.explode(F.slice(by_rarity, 1, rarest)).alias("t"))
+    span = F.least(F.size("item_words"), F.lit(window))
+    places = items.select("item", F.posexplode("item_words").alias("place", "term")).join(counts, "term", "left").select("item", "place", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    # every window holds its own places only, so a long item grows by the window's size and no more
+    windows = items.select("item", span.alias("span"), F.explode(F.sequence(F.lit(0), F.size("item_words") - span)).alias("start"))
+    held = windows.select("item", "span", "start", F.explode(F.sequence("start", F.col("start") + F.col("span") - 1)).alias("place")).join(places, ["item", "place"])
+    ranked = held.groupBy("item", "start", "span").agg(F.sort_array(F.collect_list(F.struct("n", "place", "term"))).alias("by_rarity"))
+    chosen = ranked.select("item", F.least("span", F.lit(rarest)).alias("need"), F.explode(F.slice("by_rarity", 1, rarest)).alias("t"))
     return chosen.select(F.col("t.term").alias("term"), "item", F.col("t.place").alias("place"), "need").distinct()
 
 
-def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The index: (term, document key, position) for the given terms."""
     tokens = docs.select("id", "tie", F.posexplode(words_of(F.col("text"))).alias("at", "term"))
-    return tokens.join(_small(terms, n_terms), "term", "left_semi").select("term", "id", "tie", "at")
+    return tokens.join(terms, "term", "left_semi").select("term", "id", "tie", "at")
+
+
+def _places(docs: DataFrame, items: DataFrame, window: int, rarest: int) -> DataFrame:
+    """``rare_places`` of the items by the words' counts in the documents, kept."""
+    vocabulary = cut(items.select(F.explode("item_words").alias("term")).distinct())
+    tokens = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
+    counts = tokens.join(broadcast_if_small(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    return cut(rare_places(items, counts, window, rarest))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,15 +85,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def alignments(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """(id, tie, item, shift): where enough of an item's rarest terms stand at their places; every phrase match is among them."""
-    vocabulary = items.select(F.explode("item_words").alias("term")).distinct()
-    n_terms = vocabulary.count()
-    tokens = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
-    counts = tokens.join(_small(vocabulary, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    places = cut(rare_places(items, counts, window, rarest))
-    terms = places.select("term").distinct()
-    n_places = places.count()
-    index = cut(postings(docs, terms, n_places))
-    met = index.join(_small(places, n_places), "term").select("id", "tie", "item", (F.col("at") - F.col("place")).alias("shift"), "place", "need")
+    places = _places(docs, items, window, rarest)
+    index = cut(postings(docs, broadcast_if_small(places, places.select("term").distinct())))
+    met = index.join(broadcast_if_small(places), "term").select("id", "tie", "item", (F.col("at") - F.col("place")).alias("shift"), "place", "need")
     return met.groupBy("id", "tie", "item", "shift").agg(F.count_distinct("place").alias("n"), F.max("need").alias("need")).where("n >= need").select("id", "tie", "item", "shift")
 
 
@@ -103,9 +98,12 @@ def phrases(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
 
 def _phrases(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     items = cut(items)
-    found = alignments(docs, items, window=window)
-    found = found.join(_small(items, items.count()), "item")
-    per_doc = found.join(docs, found["id"].eqNullSafe(docs["id"]) & (found["tie"] == docs["tie"])).select(found["id"], found["tie"], "item", "item_ids", "item_words", "shift", words_of(F.col("text")).alias("words"))
+    met = cut(alignments(docs, items, window=window))
+    # of the texts only those of documents with an alignment move
+    rows = broadcast_if_small(met, met.select(F.col("id").alias("_id"), F.col("tie").alias("_tie")).distinct())
+    texts = docs.join(rows, docs["id"].eqNullSafe(rows["_id"]) & (docs["tie"] == rows["_tie"]), "left_semi").select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "text")
+    found = met.join(broadcast_if_small(items), "item")
+    per_doc = found.join(texts, found["id"].eqNullSafe(texts["_id"]) & (found["tie"] == texts["_tie"])).select("id", "tie", "item", "item_ids", "item_words", "shift", words_of(F.col("text")).alias("words"))
     span = F.least(F.size("item_words"), F.lit(window))
     starts = F.sequence(F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("item_words") - span, F.size("words") - span - F.col("shift")))
     fits = F.least(F.size("item_words") - span, F.size("words") - span - F.col("shift")) >= F.greatest(F.lit(0), -F.col("shift"))
@@ -122,16 +120,13 @@ def proximity(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """
     docs = _keyed(docs, id_col, text_col)
     items = cut(items_of(benchmark, item_col, item_text_col))
-    vocabulary = items.select(F.explode("item_words").alias("term")).distinct()
-    counts = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(_small(vocabulary, vocabulary.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    places = cut(rare_places(items, counts, window, RAREST))
-    n_places = places.count()
+    places = _places(docs, items, window, RAREST)
     of = places.groupBy("item").agg(F.count_distinct("place").alias("of"))
-    met = postings(docs, places.select("term").distinct(), n_places).join(_small(places, n_places), "term")
+    met = postings(docs, broadcast_if_small(places, places.select("term").distinct())).join(broadcast_if_small(places), "term")
     band = F.floor((F.col("at") - F.col("place")) / F.lit(slack))
     met = met.withColumn("band", F.explode(F.array(band, band - 1)))
     grouped = met.groupBy("id", "tie", "item", "band").agg(F.count_distinct("place").alias("places"))
-    return grouped.join(_small(of, items.count()), "item").where(F.col("places") >= F.lit(share) * F.col("of"))
+    return grouped.join(broadcast_if_small(items, of), "item").where(F.col("places") >= F.lit(share) * F.col("of"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:

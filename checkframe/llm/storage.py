@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 
@@ -53,6 +54,16 @@ def kept_bytes(df: DataFrame) -> int:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
+#: Bytes on disk up to which a ``cut`` result is broadcast; beyond it joins shuffle.
+BROADCAST_BYTES = 8 << 20
+
+
+def broadcast_if_small(kept: DataFrame, view: DataFrame | None = None) -> DataFrame:
+    """``view`` (or ``kept``) marked for broadcast if the ``cut`` result it reads is small."""
+    view = kept if view is None else view
+    return F.broadcast(view) if kept_bytes(kept) <= BROADCAST_BYTES else view
+
+
 def release(*kept: DataFrame) -> None:
     """Removes the files of ``cut`` results that nothing reads any more."""
     for df in kept:
