@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from ..errors import ConfigError, UnknownField, ValidationFailed
 from ..functions.rule import Rule
+from ..plans.adapters import Adapter, Adapters
+from ..plans.cache import PlanCache
 from ..plans.compiler import Errors, Failure, Group, Path, error
 from ..plans.expressions import AnyOf, parse
 from ..plans.kinds import Value, kind_of
@@ -80,8 +82,12 @@ class Result:
 class _Walk:
     """Builds the errors of a model, with its selection."""
 
-    def __init__(self, registry: Registry, selection: Selection):
-        self.registry, self.selection = registry, selection
+    def __init__(self, registry: Registry, selection: Selection, adapters: Adapters):
+        self.registry, self.selection, self.adapters = registry, selection, adapters
+
+    def _value(self, column: Column, dtype: T.DataType, kind: str = "", optional: bool = False, sibling: Callable | None = None) -> Value:
+        column, dtype, seen = self.adapters.see(column, dtype)
+        return Value(column, dtype, kind or seen, optional, sibling)
 
     def model(self, model: Model, get: Callable[[str], Column], schema: T.StructType, path: Path, static: str, tests: tuple, errors: Errors) -> None:
         for name in model.fields:
@@ -100,14 +106,14 @@ class _Walk:
                 dtype = dtype[step].dataType
                 found = spec.fields.get(step) if spec is not None else None
                 spec = found.nested if found is not None else None
-            return Value(column, dtype, found.kind if found else "", found.optional if found else False)
+            return self._value(column, dtype, found.kind if found else "", found.optional if found else False)
 
         for name, spec in model.fields.items():
             here = f"{static}.{name}" if static else name
             if not self.selection.enters(here):
                 continue
             dtype = schema[name].dataType
-            value = Value(get(name), dtype, spec.kind, spec.optional, sibling)
+            value = self._value(get(name), dtype, spec.kind, spec.optional, sibling)
             self.value(value, spec, path.child(name), here, name, tests, errors)
         for check in model.checks:
             for name, rule, fails, params in check(lambda n: sibling(n).column):
@@ -205,7 +211,7 @@ class _Walk:
                 rule = self.registry.rules.get(call.name)
                 if rule is not None and (rule.signature.field or rule.name == "unique" and (call.positional or call.named)):
                     raise ConfigError(f"{static}: {call.name} has no fields inside a dive")
-        self.value(Value(column, dtype), spec, path, static, name, tests, errors)
+        self.value(self._value(column, dtype), spec, path, static, name, tests, errors)
 
     def _bound(self, static: str, tests: tuple, when: Column) -> Column:
         """Narrow to the elements that selectors name, or that the filter of elements keeps."""
@@ -232,6 +238,10 @@ class Checker:
     def __init__(self, schema=None):
         self.registry = Registry()
         self.schema = schema
+        self.adapters = Adapters()
+        self.plans = PlanCache()
+        #: grows with every rule, alias and adapter, so that older plans are not used again
+        self.version = 0
 
     def with_schema(self, schema) -> Checker:
         """This checker with a dynamic schema (``sources.schema.Schema``)."""
@@ -240,18 +250,35 @@ class Checker:
 
     def rule(self, rule: Rule) -> Checker:
         self.registry.add_rule(rule)
+        self.version += 1
         return self
 
     def alias(self, name: str, expression: str) -> Checker:
         self.registry.add_alias(name, expression)
+        self.version += 1
+        return self
+
+    def adapter(self, matches: T.DataType | Callable[[T.DataType], bool], convert: Callable[[Column], Column], dtype: T.DataType, kind: str = "") -> Checker:
+        """Let rules see values of a type of the user's own as what ``convert`` makes of them."""
+        self.adapters.add(Adapter(matches, convert, dtype, kind))
+        self.version += 1
         return self
 
     def _run(self, df: DataFrame, model: Model | str, selection: Selection) -> Result:
         model = model_of(df.schema, model) if isinstance(model, str) else model
-        errors = Errors()
-        _Walk(self.registry, selection).model(model, lambda n: df[n], df.schema, Path((model.name,)), "", (), errors)
-        selection.finish()
-        checked = df.withColumn(ERRORS, errors.column())
+        for name in model.fields:  # a name that stands for several columns cannot be checked
+            if df.columns.count(name) > 1:
+                raise ConfigError(f"{name}: {df.columns.count(name)} columns have this name")
+
+        def compiled() -> tuple[Column, Model, Selection]:
+            errors = Errors()
+            _Walk(self.registry, selection, self.adapters).model(model, lambda n: F.col("`" + n.replace("`", "``") + "`"), df.schema, Path((model.name,)), "", (), errors)
+            selection.finish()
+            # what the key names by identity has to stay alive with it
+            return errors.column(), model, selection
+
+        key = (id(df.sparkSession._jvm), self.version, df.schema.json(), repr(model), selection.key())
+        checked = df.withColumn(ERRORS, self.plans.get(key, compiled)[0])
         paths = () if df.isStreaming else selection.element_paths()
         if not paths:
             return Result(checked)

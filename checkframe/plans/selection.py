@@ -75,6 +75,10 @@ class Selection:
         self.paths = [parts(p) for p in paths]
         self.met: set[int] = set()
 
+    def key(self) -> tuple:
+        """What selections that cover the same have in common; functions count by identity."""
+        return (self.mode, tuple(self.paths), id(self.keep), id(self.elements))
+
     def _visit(self, path: tuple[str, ...]) -> None:
         for i, p in enumerate(self.paths):
             if _starts(path, p):
