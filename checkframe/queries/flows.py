@@ -10,7 +10,7 @@ from ..functions.rule import Rule
 from ..i18n import Catalog, Locale
 from ..operators import Checker, Dive, Field, MapDive, Model
 from ..operators.engine import ERRORS
-from ..plans.signature import Signature
+from ..plans.signature import Signature, target
 from ..sources import Schema
 
 CUSTOMER = Model("Customer", {"c_name": "required,startswith=Customer#,length(exact=18)", "c_acctbal": "gte=0", "c_mktsegment": "oneof(BUILDING,MACHINERY)"})
@@ -225,6 +225,29 @@ def i18n_order_and_fallback(spark, sf_dir):
     return catalog.locale("xx").render(found).select("c_custkey", "rule", "reason", "text")
 
 
+def adapted_money(spark, sf_dir):
+    """A struct of the user's own, seen as the number it holds, also inside an array."""
+    money = lambda c: F.struct(F.col(c).alias("amount"), F.lit("EUR").alias("currency"))
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", money("l_extendedprice").alias("price"), F.array(money("l_discount"), money("l_tax")).alias("rates"))
+    checker = Checker().adapter(lambda t: isinstance(t, T.StructType) and t.fieldNames() == ["amount", "currency"], lambda c: c["amount"].cast("double"), T.DoubleType())
+    model = Model("Line", {"price": "range(min=1000,max=50000)", "rates": Field(dive=Dive("lt=0.08"))})
+    return checker.validate(rows, model).failures("l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "namespace", "kind", "rule")
+
+
+def custom_field_rule(spark, sf_dir):
+    """A rule of the user's own that looks at another field."""
+    twice = Rule("twice_field", lambda v, p: v.column >= 2 * v.siblings(p["compare"]).column, target())
+    model = Model("Line", {"l_discount": "twice_field=l_tax"})
+    return Checker().rule(twice).validate(_read(spark, sf_dir, "lineitem"), model).failures("l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "namespace", "rule", F.get("params", 0)["text"].alias("compare"))
+
+
+def message_function(spark, sf_dir):
+    """A message that a function writes from the failure's columns."""
+    locale = Locale("en").rule("gte", lambda c: F.concat(F.upper(c["field"]), F.lit(" fails "), c["rule"])).label("c_acctbal", "Balance")
+    found = Checker().validate(_read(spark, sf_dir, "customer"), Model("Customer", {"c_acctbal": "gte=0", "c_mktsegment": "oneof(BUILDING)"})).failures("c_custkey")
+    return Catalog().use_locale(locale).locale("en").render(found).select("c_custkey", "rule", "text")
+
+
 def errors_per_record(spark, sf_dir):
     found = Checker().validate(_read(spark, sf_dir, "customer"), CUSTOMER).annotated
     return found.select("c_custkey", F.size(ERRORS).cast("long").alias("errors"))
@@ -232,7 +255,7 @@ def errors_per_record(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (summary_by_rule, customer_failures, customer_valid, nested_orders, partial_orders, except_orders, filter_orders, filter_elements, omitempty_flow, or_group, dive_embeddings_range, schema_events_props, schema_customer_rows, struct_check, custom_rule, custom_rule_with_parameter, field_ship_after_order, field_dotted, schema_conversations, i18n_order_and_fallback, errors_per_record, unique_compound_keys, json_repeated_keys, schema_nested_rows)
+    for f in (summary_by_rule, customer_failures, customer_valid, nested_orders, partial_orders, except_orders, filter_orders, filter_elements, omitempty_flow, or_group, dive_embeddings_range, schema_events_props, schema_customer_rows, struct_check, custom_rule, custom_rule_with_parameter, field_ship_after_order, field_dotted, schema_conversations, i18n_order_and_fallback, errors_per_record, unique_compound_keys, json_repeated_keys, schema_nested_rows, adapted_money, custom_field_rule, message_function)
 } | {"i18n_en_messages": _messages("en"), "i18n_zh_messages": _messages("zh-CN")}
 
 _CUSTOMER = """SELECT c_custkey, 'c_name' AS field, 'required' AS rule FROM customer WHERE c_name = ''
@@ -283,6 +306,12 @@ UNION ALL SELECT k, 'lines[' || i || '].quantity', 'float', 'lte' FROM ({_LINES}
 UNION ALL SELECT k, 'lines[' || i || '].flag', 'string', 'oneof' FROM ({_LINES}) JOIN orders ON k = o_orderkey WHERE flag NOT IN ('N', 'A')
 UNION ALL SELECT o_orderkey, 'marks.size', 'string', 'ne' FROM orders WHERE substr(o_orderpriority, 1, 1) = '1'
 UNION ALL SELECT o_orderkey, 'clerk', 'option', 'required' FROM orders""",
+    "adapted_money": """SELECT l_orderkey, l_linenumber, 'Line.price' AS namespace, 'float' AS kind, 'range' AS rule FROM lineitem WHERE l_extendedprice NOT BETWEEN 1000 AND 50000
+UNION ALL SELECT l_orderkey, l_linenumber, 'Line.rates[0]', 'float', 'lt' FROM lineitem WHERE NOT l_discount < 0.08::DOUBLE
+UNION ALL SELECT l_orderkey, l_linenumber, 'Line.rates[1]', 'float', 'lt' FROM lineitem WHERE NOT l_tax < 0.08::DOUBLE""",
+    "custom_field_rule": "SELECT l_orderkey, l_linenumber, 'Line.l_discount' AS namespace, 'twice_field' AS rule, 'l_tax' AS compare FROM lineitem WHERE NOT l_discount >= 2 * l_tax",
+    "message_function": """SELECT c_custkey, 'gte' AS rule, 'BALANCE fails gte' AS text FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT c_custkey, 'oneof', 'c_mktsegment must be one of: BUILDING' FROM customer WHERE c_mktsegment <> 'BUILDING'""",
     "custom_rule": "SELECT p_partkey, 'even' AS rule FROM part WHERE p_size % 2 <> 0 UNION ALL SELECT p_partkey, 'gt' FROM part WHERE p_size <= 4",
     "custom_rule_with_parameter": "SELECT p_partkey, 'multiple' AS rule, '3' AS of FROM part WHERE p_size % 3 <> 0",
     "field_dotted": "SELECT o_orderkey AS k, 'Order.price' AS namespace, 'gt_field' AS rule FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT o_totalprice > c_acctbal",
