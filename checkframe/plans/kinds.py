@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -82,6 +83,9 @@ class Value:
         return ~F.isnan(self.column) if isinstance(self.dtype, T.FloatType | T.DoubleType) else F.lit(True)
 
 
+#: Whole numbers that a rule may name: those of 128 bits.
+BOUNDS = {"int": (-(2**127), 2**127 - 1), "uint": (0, 2**128 - 1)}
+
 _INT = re.compile(r"[+-]?[0-9]+\Z")
 _UINT = re.compile(r"\+?[0-9]+\Z")
 _FLOAT = re.compile(r"[+-]?(?:inf|infinity|nan|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\Z", re.I)
@@ -92,9 +96,9 @@ def number(text: str, kind: str, rule: str) -> Decimal | float:
     if kind == "float" and _FLOAT.match(text):
         return float(text)
     if kind == "int" and _INT.match(text) or kind == "uint" and _UINT.match(text):
-        out = Decimal(text)
-        if abs(out) < Decimal(10) ** 38:
-            return out
+        out = int(text)
+        if BOUNDS[kind][0] <= out <= BOUNDS[kind][1]:
+            return Decimal(text)
     raise InvalidParam(f"{rule}: {text!r} is not {'a float' if kind == 'float' else 'an ' + kind}")
 
 
@@ -103,7 +107,7 @@ def limit(value: Value, text: str, rule: str) -> Column:
     if value.kind in NUMBERS:
         return literal(number(text, value.kind, rule), value)
     if value.kind == "string" or value.kind in COLLECTIONS:
-        return F.lit(int(number(text, "uint", rule)))
+        return _whole(number(text, "uint", rule))
     raise InvalidParam(f"{rule}: a {value.kind} has no size")
 
 
@@ -111,4 +115,12 @@ def literal(x: Decimal | float, value: Value) -> Column:
     if isinstance(x, float):
         # a bound for a 32-bit float is rounded to one first
         return F.lit(x).cast("float").cast("double") if isinstance(value.dtype, T.FloatType) else F.lit(x)
-    return F.lit(int(x)) if abs(x) < 2**63 else F.lit(x)
+    return _whole(x)
+
+
+def _whole(x: Decimal) -> Column:
+    """A whole number; no column holds one of more than 38 digits, so any of these compares like an infinity."""
+    n = int(x)  # exact, where sums and signs of Decimals are rounded to their context
+    if abs(n) < 2**63:
+        return F.lit(n)
+    return F.lit(x) if abs(n) < 10**38 else F.lit(math.copysign(math.inf, n))

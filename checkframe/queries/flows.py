@@ -211,6 +211,14 @@ def field_dotted(spark, sf_dir):
     return _places(Checker().validate(rows, Model("Order", {"price": "gt_field=customer.balance"})).failures("k"))
 
 
+def wide_integers(spark, sf_dir):
+    """Values of 38 digits, and bounds of more, up to those of 128 bits."""
+    digits = F.lpad(F.col("o_orderkey").cast("string"), 38, "9")
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), digits.cast("decimal(38,0)").alias("high"), F.concat(F.lit("-"), digits).cast("decimal(38,0)").alias("low"), (F.col("o_orderkey") % 7).alias("narrow"))
+    model = Model("Wide", {"high": f"lt={10**38},max={10**38 - 10**4}", "low": f"gt={-(2**127)},min={10**4 - 10**38}", "narrow": f"omitempty,gte={10**38}"})
+    return _places(Checker().validate(rows, model).failures("k"))
+
+
 def custom_rule_with_parameter(spark, sf_dir):
     multiple = Rule("multiple", lambda v, p: v.column % int(p["of"]) == 0, Signature("text", "of"))
     found = Checker().rule(multiple).validate(_read(spark, sf_dir, "part"), Model("Part", {"p_size": "multiple=3"})).failures("p_partkey")
@@ -255,7 +263,7 @@ def errors_per_record(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (summary_by_rule, customer_failures, customer_valid, nested_orders, partial_orders, except_orders, filter_orders, filter_elements, omitempty_flow, or_group, dive_embeddings_range, schema_events_props, schema_customer_rows, struct_check, custom_rule, custom_rule_with_parameter, field_ship_after_order, field_dotted, schema_conversations, i18n_order_and_fallback, errors_per_record, unique_compound_keys, json_repeated_keys, schema_nested_rows, adapted_money, custom_field_rule, message_function)
+    for f in (summary_by_rule, customer_failures, customer_valid, nested_orders, partial_orders, except_orders, filter_orders, filter_elements, omitempty_flow, or_group, dive_embeddings_range, schema_events_props, schema_customer_rows, struct_check, custom_rule, wide_integers, custom_rule_with_parameter, field_ship_after_order, field_dotted, schema_conversations, i18n_order_and_fallback, errors_per_record, unique_compound_keys, json_repeated_keys, schema_nested_rows, adapted_money, custom_field_rule, message_function)
 } | {"i18n_en_messages": _messages("en"), "i18n_zh_messages": _messages("zh-CN")}
 
 _CUSTOMER = """SELECT c_custkey, 'c_name' AS field, 'required' AS rule FROM customer WHERE c_name = ''
@@ -313,6 +321,9 @@ UNION ALL SELECT l_orderkey, l_linenumber, 'Line.rates[1]', 'float', 'lt' FROM l
     "message_function": """SELECT c_custkey, 'gte' AS rule, 'BALANCE fails gte' AS text FROM customer WHERE c_acctbal < 0
 UNION ALL SELECT c_custkey, 'oneof', 'c_mktsegment must be one of: BUILDING' FROM customer WHERE c_mktsegment <> 'BUILDING'""",
     "custom_rule": "SELECT p_partkey, 'even' AS rule FROM part WHERE p_size % 2 <> 0 UNION ALL SELECT p_partkey, 'gt' FROM part WHERE p_size <= 4",
+    "wide_integers": f"""WITH t AS (SELECT o_orderkey AS k, CAST(lpad(CAST(o_orderkey AS VARCHAR), 38, '9') AS HUGEINT) AS high FROM orders), m AS (SELECT k, high, -high AS low, k % 7 AS narrow FROM t)
+        SELECT k, 'Wide.high' AS namespace, 'max' AS rule FROM m WHERE high > {10**38 - 10**4} UNION ALL SELECT k, 'Wide.low', 'min' FROM m WHERE low < {10**4 - 10**38}
+        UNION ALL SELECT k, 'Wide.narrow', 'gte' FROM m WHERE narrow <> 0 AND narrow < {10**38}""",
     "custom_rule_with_parameter": "SELECT p_partkey, 'multiple' AS rule, '3' AS of FROM part WHERE p_size % 3 <> 0",
     "field_dotted": "SELECT o_orderkey AS k, 'Order.price' AS namespace, 'gt_field' AS rule FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT o_totalprice > c_acctbal",
     "schema_conversations": """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)

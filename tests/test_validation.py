@@ -65,6 +65,25 @@ def test_nan_and_zero(spark):
     assert value(spark, [None, None], "unique", "array<int>") == [("unique", "unique")]
 
 
+def test_whole_numbers_of_128_bits(spark):
+    most = 10**38 - 1
+    frame = spark.createDataFrame([("a", str(most)), ("b", str(-most)), ("c", "0")], "k string, x string").select("k", F.col("x").cast("decimal(38,0)").alias("x"))
+
+    def failing(rule):
+        return {r.k for r in Checker().validate(frame, Model("M", {"x": rule})).failures("k").collect()}
+
+    assert failing(f"lt={10**38}") == failing(f"gt={-(10**38)}") == failing(f"range(min={-(2**127)},max={2**127 - 1})") == failing(f"ne={10**38}") == set()
+    assert failing(f"eq={10**38}") == failing(f"gte={10**38}") == failing(f"noneof({most},{-most},0)") == {"a", "b", "c"}
+    assert failing(f"oneof({10**38},{most})") == {"b", "c"}
+    text = spark.createDataFrame([("a", "abc")], "k string, x string")
+    assert Checker().validate(text, Model("M", {"x": f"length(max={2**128 - 1})"})).failures("k").count() == 0
+    for rule in (f"lt={2**127}", f"gt={-(2**127) - 1}"):
+        with pytest.raises(InvalidParam):
+            failing(rule)
+    with pytest.raises(InvalidParam):
+        Checker().validate(text, Model("M", {"x": f"length(max={2**128})"}))
+
+
 def test_newline_at_the_end_fails(spark):
     for rule in ("alpha", "number", "uuid", "md5", "ipv4", "jwt"):
         sample = {"alpha": "a", "number": "1", "uuid": "550e8400-e29b-41d4-a716-446655440000", "md5": "d" * 32, "ipv4": "1.2.3.4", "jwt": "a.b."}[rule]
