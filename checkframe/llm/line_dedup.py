@@ -16,8 +16,8 @@ is an id and a text (by its hash, ``tie``): rows that share an id, or have none,
 differ in text are documents of their own.
 
 Only DataFrame functions are used.  Lines are split at ``\\n`` and compared without
-blanks at their ends.  Lines of fewer than ``min_chars`` characters are only compared
-exactly if they have ``min_exact`` characters, and left alone if they have fewer.
+blanks at their ends.  Lines of fewer than ``min_chars`` characters are compared exactly
+only, and lines of fewer than ``min_exact`` or without a word are left alone.
 
 Defined cases: null and empty texts keep what they have; blank lines stay; rows
 equal in id and text count as one document (its lines are first in all of them), rows
@@ -35,7 +35,9 @@ from .storage import cut, kept_bytes, release
 
 THRESHOLD = 1
 MIN_CHARS = 20
-MIN_EXACT = 10
+MIN_EXACT = 1
+#: Lines of blanks and control characters for lines alone stay.
+A_WORD = r"[^\x20\x09-\x0D]"
 #: Distinct lines in one bucket beyond which it is refined.
 HOT_BUCKET = 32
 #: Bytes on disk up to which a written side is broadcast; beyond it the join shuffles.
@@ -48,11 +50,11 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_exact: int = MIN_EXACT) -> DataFrame:
-    """(id, tie, no, line, n, h1, h2) of every line long enough to be compared; two hashes and the length stand for the line in joins."""
+    """(id, tie, no, line, n, h1, h2) of every line that has a word and is long enough to be compared; two hashes and the length stand for the line in joins."""
     # a projection of its own: beside the generator the text would be hashed once a line
     keyed = docs.select(F.col(id_col).alias("id"), tie_of(text_col).alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     every = keyed.select("id", "tie", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    return hashed(every.select("id", "tie", "no", F.trim("raw").alias("line"))).where(F.col("n") >= min_exact)
+    return hashed(every.select("id", "tie", "no", F.trim("raw").alias("line")).where(F.col("line").rlike(A_WORD))).where(F.col("n") >= min_exact)
 
 
 def tie_of(text_col: str) -> Column:
@@ -237,7 +239,7 @@ WITH raw AS (
 ), every AS (
   SELECT doc_id, i AS no, trim(l[i], ' ') AS line, l[i] AS kept FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM raw)
 ), lines AS (
-  SELECT line, length(line) AS n, count(*) AS copies, min({'id': doc_id, 'no': no}) AS first FROM every WHERE length(line) >= 10 GROUP BY line
+  SELECT line, length(line) AS n, count(*) AS copies, min({'id': doc_id, 'no': no}) AS first FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
 ), near AS (
   SELECT a.line AS a, b.line AS b FROM lines a JOIN lines b ON a.n BETWEEN b.n - 1 AND b.n + 1 AND a.line <> b.line
   WHERE a.n >= 20 AND b.n >= 20 AND (left(a.line, 8) = left(b.line, 8) OR right(a.line, 8) = right(b.line, 8)) AND levenshtein(a.line, b.line) <= 1

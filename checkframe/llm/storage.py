@@ -67,6 +67,10 @@ def broadcast_if_small(kept: DataFrame, view: DataFrame | None = None) -> DataFr
 def release(*kept: DataFrame) -> None:
     """Removes the files of ``cut`` results that nothing reads any more."""
     for df in kept:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._kept_at)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

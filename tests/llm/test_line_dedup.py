@@ -82,6 +82,13 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_short_lines_are_compared_and_blank_ones_stay(spark):
+    texts = ["Yes.\r\n\r\nfirst", "Yes.\r\n\r\n\t\nsecond\n \t \n\t", "x\nx\n日\n 日"]
+    frame = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(frame).collect()}
+    assert got == {0: (texts[0], 0), 1: ("\r\n\t\nsecond\n \t \n\t", 1), 2: ("x\n日", 2)}
+
+
 def test_line_dedup_of_rows_that_share_an_id(spark):
     dup = "this line is in three documents"
     rows = [(1, dup), (None, f"unique line a\n{dup}"), (None, f"{dup}\nunique line b"), (7, "text one of seven\nend of seven"), (7, f"{dup}\nother of seven")]
