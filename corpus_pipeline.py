@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checkframe.llm import decontamination, language, line_dedup, near_dedup, packing
-from checkframe.llm.storage import cut, shared_dir
+from checkframe.llm.storage import cut, remove, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +71,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply every stage to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:  # the stage is written whole, so nothing reads what it was made from again
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
