@@ -134,3 +134,12 @@ def test_labels_of_one_class_or_none_and_odd_ids(spark, module):
         found = module.score(docs, model).collect()
         assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found)
     assert module.score(docs.limit(0), model).count() == 0
+
+
+def test_the_order_of_rows_decides_nothing(spark):
+    rows = [(i, f"good clean words number {i} and {i * 7 % 13} here" if i % 2 else f"bad spam buy now {i} {i * 5 % 11}!!") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    models = [quality_classifier.learn(docs.repartition(n), labels, label="quality") for n in (1, 3)]
+    first, second = (sorted(map(tuple, quality_classifier.score(docs, m).collect())) for m in models)
+    assert first == second
