@@ -10,9 +10,8 @@ it, every partition trains a copy on its own, and the copies, averaged by the wi
 they saw, are where the next round starts.  All documents are scored by overlapping
 windows, each id once; ``score`` is an even mixture of that (``model_score``) with the base.
 
-The counts and ids of the most frequent words, at most ``COMMON_WORDS``, travel to the
-tasks; only rarer words are tokenized there, and joined by a shuffle for their counts, so
-no key is hot.
+The counts of the most frequent words, at most ``COMMON_WORDS``, travel to the tasks;
+rarer words are joined by a shuffle for their counts, so no key is hot.
 
 Defined cases: null text counts as empty (the end alone); repeated rows are scored
 alike; with no training rows counts are 0 and the network is untrained; an empty table
@@ -21,7 +20,9 @@ gives an empty result.  Other columns of the input are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import attention as net
 from .arrays import slices, sums
 from .common import crc32_sql, per_slice, small_batches
-from .packing import Given, word_ids
+from .packing import listed, word_ids
 from .storage import cut
 
 #: So many words at most travel to the tasks.
@@ -70,8 +71,22 @@ def word_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
     return train.select(F.col(text_col).alias("text")).transform(small_batches).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def common_words(counts: DataFrame, tokenizer_path: str, most: int = COMMON_WORDS) -> Given:
-    """Words from some count on, of which there are at most ``most``, with their ids."""
+@dataclass
+class Given:
+    """Words (one text, parted by newlines, which no word holds) and their counts."""
+
+    text: bytes
+    counts: np.ndarray
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Place of each word; -1 for others."""
+        if not hasattr(self, "_place"):
+            self._place = dict(zip(self.text.split(b"\n"), range(len(self.counts)))) if len(self.counts) else {}
+        return np.fromiter(map(self._place.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+
+def common_words(counts: DataFrame, most: int = COMMON_WORDS) -> Given:
+    """Words from some count on, of which there are at most ``most``."""
     # how many words have a count of 2 ** (k / 4) or more: a few hundred rows at any size
     step = F.floor(4 * F.log2(F.col("c").cast("double"))).cast("int")
     by_step = sorted(((r["k"], r["count"]) for r in counts.groupBy(step.alias("k")).count().collect()), reverse=True)
@@ -81,20 +96,11 @@ def common_words(counts: DataFrame, tokenizer_path: str, most: int = COMMON_WORD
         if total > most:
             break
         least = k
-
-    def spell(rows, data, offsets):
-        ids, cuts = word_ids(tokenizer_path).documents(data, offsets, None)
-        packed = ids.astype(net.ID)
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["word", "c", "ids"])
-
     if least is None:
-        return Given(b"", *(np.zeros(0, dtype=np.int64) for _ in range(3)))
+        return Given(b"", np.zeros(0, dtype=np.int64))
     # as Arrow columns, whose buffers are what is sent: no object a word on the driver
-    ended = counts.where(step >= least).select(F.concat("word", F.lit("\n")).alias("word"), "c")
-    found = ended.transform(small_batches).mapInArrow(per_slice(spell, "word"), "word string, c long, ids binary").toArrow()
-    text, ids = (_joined(found.column(k)) for k in (0, 2))
-    sizes = pc.binary_length(found.column(2)).to_numpy().astype(np.int64) // net.ID.itemsize
-    return Given(text[:-1].tobytes(), found.column(1).to_numpy(), ids.view(net.ID).copy(), sizes)
+    found = counts.where(step >= least).select(F.concat("word", F.lit("\n")).alias("word"), "c").toArrow()
+    return Given(_joined(found.column(0))[:-1].tobytes(), found.column(1).to_numpy())
 
 
 def _joined(column: pa.ChunkedArray) -> np.ndarray:
@@ -109,18 +115,18 @@ def read_texts(docs: DataFrame, common: Broadcast, tokenizer_path: str, end_id:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def step(rows, data, offsets):
-        ids_of = word_ids(tokenizer_path).knowing(common.value)
-        ids, cuts, place, first = ids_of.with_words(data, offsets, end_id)
-        packed = ids.astype(net.ID)
-        count = np.frombuffer(ids_of.count, dtype=np.int64)[place] if len(place) else np.zeros(0, dtype=np.int64)
-        known = count > 0
-        base = sums(np.where(known, np.log10((count + 1) / floor), 0.0), first)
-        word, unknown = ids_of.word, np.flatnonzero(~known)
-        cut_at = np.searchsorted(unknown, first)
-        rare = [word[i] for i in place[unknown]]
-        rare = [b" ".join(rare[a:b]).decode("utf-8", "replace") for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)]
-        ids = pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(first)), pa.array(sums(known, first).astype(np.int64)), pa.array(base), pa.array(rare, pa.string()), ids], names=["id", "train", "n_words", "n_known", "base", "rare", "ids"])
+        ids, cuts, words = word_ids(tokenizer_path).with_words(data, offsets, end_id)
+        packed = ids.astype(net.ID).view(np.uint8)
+        place = common.value.places(listed(words.distinct))
+        share = np.zeros(len(place))
+        share[place >= 0] = np.log10((common.value.counts[place[place >= 0]] + 1) / floor)
+        known = (place >= 0)[words.index]
+        unknown = np.flatnonzero(~known)
+        each = words.distinct.cast(pa.large_binary()).take(pa.array(words.index[unknown]))
+        rare = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.searchsorted(unknown, words.first)), each), pa.scalar(b" ", pa.large_binary()))
+        rare = [x.decode("utf-8", "replace") for x in rare.to_pylist()]
+        ids = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(cuts * net.ID.itemsize), pa.py_buffer(packed)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(words.first)), pa.array(sums(known, words.first).astype(np.int64)), pa.array(sums(share[words.index], words.first)), pa.array(rare, pa.string()), ids], names=["id", "train", "n_words", "n_known", "base", "rare", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     return rows.transform(small_batches).mapInArrow(per_slice(step), f"id {kind}, train boolean, n_words long, n_known long, base double, rare string, ids binary")
@@ -239,8 +245,7 @@ def lm_scores(docs: DataFrame, train: Column, tokenizer_path: str, vocabulary_si
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = total["n"] + n_docs, total["v"] + (n_docs > 0)
     floor = n_all + v_all + 1
-    given = common_words(counts, tokenizer_path)
-    common = context.broadcast(given)
+    common = context.broadcast(common_words(counts))
     read = read_texts(docs, common, tokenizer_path, vocabulary_size, float(floor), id_col=id_col, text_col=text_col, train=train)
     read = cut(read.withColumn("row", F.monotonically_increasing_id()), compression="zstd")
     learned = read.where("train")

@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import itertools
 import os
-import unicodedata
 import zlib
 from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,35 +37,73 @@ from .common import small_batches
 
 #: Items that are packed together.
 RUN_ITEMS = 4000
-#: Words, and as many pieces of words, whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+#: Pieces of words whose ids a Python worker remembers.
+CACHE_PIECES = 400_000
 
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_IS_MARK = np.zeros(256, dtype=bool)
+_IS_MARK[list(_MARKS.encode())] = True
+#: For each byte and the next one: that it is part of no lower-case letter below U+0130.
+_NO_LETTER = np.ones((256, 256), dtype=bool)
+_NO_LETTER[ord("a") : ord("z") + 1] = False
+_NO_LETTER[0x80:0xC0] = False
+_NO_LETTER[0xC2, [0xAA, 0xB5, 0xBA]] = False
+_NO_LETTER[0xC3, 0x80:0xC0] = False
+_NO_LETTER[0xC3, [0x97, 0xB7]] = True
+_NO_LETTER[0xC4, 0x80:0xB0] = False
+_NO_LETTER = _NO_LETTER.ravel()
 
 
 @dataclass
-class Given:
-    """Words (one text, parted by newlines, which no word holds) with their counts and ids, which lie in a row."""
+class TextWords:
+    """Words of a slice, A-Z in lower case: the distinct ones, each word's place among those, and where each document's words begin."""
 
-    text: bytes
-    counts: np.ndarray
-    ids: np.ndarray
-    sizes: np.ndarray
+    distinct: pa.Array
+    index: np.ndarray
+    first: np.ndarray
+
+
+def text_words(data: np.ndarray, offsets: np.ndarray) -> TextWords:
+    texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = parts.values
+    # blanks at an end of a text leave an empty part there
+    word = np.diff(_offsets(words)) > 0
+    coded = words.dictionary_encode()
+    first = np.concatenate([[0], np.cumsum(word)])[parts.offsets.to_numpy()]
+    return TextWords(coded.dictionary, coded.indices.to_numpy()[word], first)
+
+
+def _offsets(values: pa.Array) -> np.ndarray:
+    """Where each text of a ``large_string`` array begins in its buffer, with one more entry at the end."""
+    return np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
 
 
-class WordIds(dict):
-    """Ids of words, found by the tokenizer once a word and then remembered.
+def listed(values: pa.Array) -> list[bytes]:
+    """The texts of a large array as bytes; none of them holds a newline."""
+    together = pa.LargeListArray.from_arrays(pa.array([0, len(values)], pa.int64()), values.cast(pa.large_binary()))
+    return pc.binary_join(together, pa.scalar(b"\n", pa.large_binary()))[0].as_py().split(b"\n") if len(values) else []
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` in a row, and where each one lies there."""
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return values.take(np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])), upto
+
+
+class WordIds:
+    """Ids of words, found by the tokenizer once a piece of a word and then remembered.
 
     The tokenizer splits at white space before anything else, so a text's ids are its
-    words' ids in a row.  Words of Latin letters with marks at the end go straight to
-    the tokenizer's merge model; all others go through the tokenizer itself.
+    words' ids in a row.  A word of Latin letters with marks at the end is two pieces,
+    which go straight to the tokenizer's merge model; any other is one, and goes through
+    the tokenizer itself.  Only the distinct pieces of a slice become Python objects.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         # words come here in lower case: what then looks like a special token was none in the text
@@ -74,127 +112,105 @@ class WordIds(dict):
         byte = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         shown = {b: chr(b) for b in byte}
         shown |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-        #: how the merge model's vocabulary shows each byte; the newline parts words here
+        #: how the merge model's vocabulary shows each byte; the newline parts pieces here
         self.table = {b: c for b, c in shown.items() if b != 10}
-        self.pieces: dict[str, list[int]] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
         self.flat, self.at, self.size = array("I"), array("q"), array("q")
-        #: words whose ids and counts are given from outside, for callers that look counts up with the ids
-        self.given: Given | None = None
-        self.count, self.word = array("q"), []
-
-    def learn(self, words: list[bytes]) -> None:
-        """Finds the ids of new words; those of plain letters and marks are checked and spelled together."""
-        joined = b"\n".join(words).decode("utf-8", "replace")
-        if max(joined, default="") >= "İ" or not unicodedata.is_normalized("NFC", joined):
-            plain = [w for w in words if w.isascii()]
-            if len(plain) < len(words):
-                others = [w for w in words if not w.isascii()]
-                if len(others) > 1:  # one word that isn't plain must not make the others slow
-                    half = len(others) // 2
-                    self.learn(others[:half])
-                    self.learn(others[half:])
-                else:
-                    self._add(others, [self.plain.encode(joined if len(words) == 1 else others[0].decode("utf-8", "replace"), add_special_tokens=False).ids])
-                if plain:
-                    self.learn(plain)
-                return
-        low = joined.lower()
-        shown = low.encode().decode("latin-1").translate(self.table)
-        pieces, tokenize, found = self.pieces, self.model.tokenize, []
-        for text, as_shown in zip(low.split("\n"), shown.split("\n"), strict=True):
-            core = text.rstrip(_MARKS)
-            if len(text) >= 200 or core and not core.isalpha():
-                found.append(self.plain.encode(text, add_special_tokens=False).ids)
-                continue
-            marks = text[len(core) :]
-            ids = []
-            for piece, spelled in ((core, as_shown[: len(as_shown) - len(marks)]), (marks, marks)):
-                if piece:
-                    got = pieces.get(piece)
-                    if got is None:
-                        got = pieces[piece] = [t.id for t in tokenize(spelled)]
-                    ids = ids + got if ids else got
-            found.append(ids)
-        self._add(words, found)
-
-    def _add(self, words: list[bytes], found: list[list[int]]) -> None:
-        """Keeps the ids of each word under the word's place."""
-        self.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        #: pieces that came in a second slice
+        self.again = np.zeros(0, dtype=bool)
+
+    def trim(self) -> None:
+        """Forgets pieces that only one slice had, or all if too many are left."""
+        if len(self.place) <= CACHE_PIECES:
+            return
+        keys = [k for k, again in zip(self.place, self.again.tolist(), strict=True) if again]
+        flat, at, size = (np.array(x, dtype=t) for x, t in ((self.flat, np.uint32), (self.at, np.int64), (self.size, np.int64)))
+        ids, upto = _gather(flat, at[self.again], size[self.again])
+        self._forget()
+        if len(keys) <= CACHE_PIECES // 2:
+            self.place.update(zip(keys, range(len(keys)), strict=True))
+            self.flat.frombytes(ids.tobytes())
+            self.at.frombytes(upto[:-1].tobytes())
+            self.size.frombytes(np.diff(upto).tobytes())
+            self.again = np.zeros(len(keys), dtype=bool)
+
+    def learn(self, new: list[bytes]) -> None:
+        """Finds the ids of new pieces and keeps them under the piece's place."""
+        texts = [k.decode("utf-8", "replace") for k in new]
+        merged = [len(k) < 200 and (not t.strip(_MARKS) or t.isalpha() and (t.isascii() or max(t) < "İ")) for k, t in zip(new, texts, strict=True)]
+        shown = "\n".join(t for t, m in zip(texts, merged, strict=True) if m).lower().encode().decode("latin-1").translate(self.table)
+        tokenize, encode = self.model.tokenize, self.plain.encode
+        found = [[t.id for t in tokenize(x)] for x in shown.split("\n")] if any(merged) else []
+        if len(found) < len(new):
+            short = iter(found)
+            found = [next(short) if m else encode(t, add_special_tokens=False).ids for t, m in zip(texts, merged, strict=True)]
         sizes = array("q", map(len, found))
+        self.place.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
         self.at.extend(itertools.accumulate(sizes[:-1], initial=len(self.flat)))
         self.size.extend(sizes)
         self.flat.extend(itertools.chain.from_iterable(found))
-        if self.given is not None:
-            self.count.extend(itertools.repeat(0, len(words)))
-            self.word.extend(words)
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-
-    def knowing(self, given: Given) -> WordIds:
-        """These ids, with those of the given words known from the start and each word's count kept beside them."""
-        if self.given is not given:
-            self.given = given
-            self._forget()
-        return self
-
-    def trim(self) -> None:
-        if len(self) > CACHE_WORDS + (0 if self.given is None else len(self.given.counts)):
-            self._forget()
 
-    def _forget(self) -> None:
-        self.clear()
-        self.pieces.clear()
-        self.flat, self.at, self.size = array("I"), array("q"), array("q")
-        self.count, self.word = array("q"), []
-        if self.given is not None:
-            g = self.given
-            words = g.text.split(b"\n") if len(g.counts) else []
-            self.update(zip(words, range(len(words))))
-            self.flat.frombytes(g.ids.astype(np.uint32).tobytes())
-            self.size.frombytes(g.sizes.astype(np.int64).tobytes())
-            self.at.frombytes((np.cumsum(g.sizes, dtype=np.int64) - g.sizes).tobytes())
-            self.count.frombytes(g.counts.astype(np.int64).tobytes())
-            self.word.extend(words)
+    def spell(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (distinct ones, in lower case) in a row, and where each word's begin."""
+        upto = _offsets(words)
+        begin, end = upto[:-1], upto[1:]
+        data = np.frombuffer(words.buffers()[2], dtype=np.uint8) if words.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+        data = data[: upto[-1]]
+        some = np.flatnonzero(end > begin)
+        cut = end.copy()
+        if len(some):
+            own = np.where(_IS_MARK[data], -1, np.arange(len(data)))
+            head = np.maximum(np.maximum.reduceat(own, begin[some]) + 1, begin[some])
+            odd = _NO_LETTER[(data.astype(np.uint16) << 8) + np.append(data[1:], np.uint8(0))]
+            # what follows a first byte of a letter must be in the word, and come first in none
+            odd[begin[some]] |= (data[begin[some]] & 0xC0) == 0x80
+            odd[end[some] - 1] |= data[end[some] - 1] >= 0xC0
+            bad = np.concatenate([[0], np.cumsum(odd)])
+            plain = (bad[head] == bad[begin[some]]) & (end[some] - begin[some] < 200)
+            cut[some] = np.where(plain, head, end[some])
+        # each word's letters and its marks, one after the other, in the same bytes
+        bounds = np.append(np.stack([begin, cut], axis=1).ravel(), upto[-1])
+        pieces = pa.Array.from_buffers(pa.large_binary(), 2 * len(words), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        keys = listed(pieces.dictionary)
+        self.trim()
+        known = np.fromiter(map(self.place.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            known[new] = np.arange(len(self.size), len(self.size) + len(new))
+            self.learn([keys[i] for i in new])
+        self.again = np.append(self.again, np.zeros(len(new), dtype=bool))
+        self.again[np.delete(known, new)] = True
+        place = known[pieces.indices.to_numpy()]
+        at, size, flat = (np.array(x, dtype=t) for x, t in ((self.at, np.int64), (self.size, np.int64), (self.flat, np.uint32)))
+        ids, where = _gather(flat, at[place], size[place])
+        return ids, where[::2]
 
     def documents(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each document of a slice (with ``end`` after it), and where each document's begin."""
         return self.with_words(data, offsets, end)[:2]
 
-    def with_words(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``documents``, and each word's place in this cache and where each document's words begin."""
-        self.trim()
-        raw = data.tobytes()
-        special = self._piece_of_special()
-        texts, counts, whole = [], [], {}
-        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-            text = raw[a:b]
-            if any(s in text for s in special):
-                whole[i] = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-            words = text.lower().split()
-            counts.append(len(words))
-            texts.extend(words)
-        new = set(texts).difference(self)
-        if new:
-            self.learn(list(new))
-        index = list(map(self.__getitem__, texts))
-        at, size, flat = (np.frombuffer(x, dtype=t) if len(x) else np.zeros(0, dtype=t) for x, t in ((self.at, np.int64), (self.size, np.int64), (self.flat, np.uint32)))
-        index = np.array(index, dtype=np.int64)
-        sizes = size[index]
-        begin = np.cumsum(sizes) - sizes
-        body = flat[np.repeat(at[index] - begin, sizes) + np.arange(int(sizes.sum()))]
-        first = np.concatenate([[0], np.cumsum(counts)])
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        cuts = upto[first]
-        if end is None and not whole:
-            return body, cuts, index, first
-        parts, lengths = [], []
-        for i in range(len(counts)):
-            ids = np.array(whole[i], dtype=np.uint32) if i in whole else body[cuts[i] : cuts[i + 1]]
-            parts.append(ids)
-            if end is not None:
-                parts.append(np.array([end], dtype=np.uint32))
-            lengths.append(len(ids) + (end is not None))
-        return np.concatenate(parts) if parts else body, np.concatenate([[0], np.cumsum(lengths)]), index, first
+    def with_words(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray, TextWords]:
+        """``documents``, and the words."""
+        words = text_words(data, offsets)
+        spelled, begin = self.spell(words.distinct)
+        body, upto = _gather(spelled, begin[words.index], np.diff(begin)[words.index])
+        cuts = upto[words.first]
+        raw, n = data.tobytes(), len(offsets) - 1
+        whole = {}
+        if any(s in raw for s in self.special):
+            for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                if any(raw.find(s, a, b) >= 0 for s in self.special):
+                    whole[i] = np.array(self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint32)
+        if whole:
+            body = np.concatenate([whole.get(i, body[cuts[i] : cuts[i + 1]]) for i in range(n)])
+            cuts = np.concatenate([[0], np.cumsum([len(whole[i]) if i in whole else cuts[i + 1] - cuts[i] for i in range(n)])])
+        if end is not None:
+            body, cuts = np.insert(body, cuts[1:], end), cuts + np.arange(n + 1)
+        return body, cuts, words
 
     def first_lines(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """How many of each document's ids belong to its first line; 0 if nothing but blanks comes after it."""
@@ -204,11 +220,6 @@ class WordIds(dict):
             heads.append(raw[a:end] if end >= 0 and raw[end:b].strip() else b"")
         return np.diff(self.documents(np.frombuffer(b"".join(heads), dtype=np.uint8), np.cumsum([0, *map(len, heads)]), None)[1])
 
-    def _piece_of_special(self) -> list[bytes]:
-        if not hasattr(self, "_special"):
-            self._special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        return self._special
-
 
 _WORKER: dict[str, WordIds] = {}
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, language, line_dedup, lm_scoring, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, sharding, toxicity, vector_codes
 from .common import fold, table
+from .storage import cut
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +103,7 @@ def lm_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 promises of any packing, as one row: each document whole, each sequence gapless and within its limit."""
-    pieces = op3_packing(spark, sf_dir)
+    pieces = cut(op3_packing(spark, sf_dir))
     whole = pieces.groupBy("doc_id").agg(F.sum("length").alias("ids"), F.max("doc_tokens").alias("tokens"), F.min("start").alias("first"), F.max(F.col("start") + F.col("length")).alias("end"), F.count_distinct("start").alias("starts"), F.count("*").alias("n"))
     full = pieces.groupBy("sequence_id").agg(F.sum("length").alias("ids"), F.min("offset").alias("first"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("offsets"), F.count("*").alias("n"))
     docs = whole.agg(F.count("*").alias("documents"), F.bool_and((F.col("ids") == F.col("tokens")) & (F.col("first") == 0) & (F.col("end") == F.col("tokens")) & (F.col("starts") == F.col("n"))).alias("documents_whole"))

@@ -78,3 +78,26 @@ def test_first_lines_bear_no_loss(spark):
     for p in pieces:
         ids[p.doc_id] += p.length - p.loss_tokens
     assert [ids[i] for i in range(len(texts))] == [2, 0, 0, 0, 0, 0, 2]
+
+
+def test_only_distinct_pieces_are_spelled(monkeypatch):
+    """A word with marks shares its letters' ids with the bare word, and a slice asks for each piece once."""
+    ids_of, asked = packing.WordIds(TOKENIZER), []
+    learn = ids_of.learn
+    monkeypatch.setattr(ids_of, "learn", lambda new: (asked.extend(new), learn(new)))
+    raw = b"Word word, word. word!! (word) \xc3\x89t\xc3\xa9 \xc3\x89t\xc3\xa9, a1 a1"
+    ids_of.documents(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), None)
+    assert sorted(asked) == sorted([b"word", b",", b".", b"!!", b"(word)", b"a1", b"\xc3\x89t\xc3\xa9", b""])
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    """Pieces that only one slice had are forgotten; those that came back stay, with the same ids."""
+    monkeypatch.setattr(packing, "CACHE_PIECES", 64)
+    ids_of, rng = packing.WordIds(TOKENIZER), random.Random(2)
+    fresh = packing.WordIds(TOKENIZER)
+    for turn in range(12):
+        raw = " ".join(["often", *("".join(rng.choice("abcdeif") for _ in range(9)) for _ in range(30)), "often."]).encode()
+        data, offsets = np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])
+        assert (ids_of.documents(data, offsets, 1)[0] == fresh.documents(data, offsets, 1)[0]).all()
+        assert len(ids_of.place) <= 64 + 33 and len(ids_of.place) == len(ids_of.size) == len(ids_of.again)
+        assert turn < 2 or ids_of.place[b"often"] <= 32
