@@ -61,6 +61,9 @@ class TextWords:
     distinct: pa.Array
     index: np.ndarray
     first: np.ndarray
+    #: once they are spelled, how many ids each word has, and the ids of documents that hold special tokens
+    size: np.ndarray | None = None
+    special: dict[int, np.ndarray] = field(default_factory=dict)
 
 
 def text_words(data: np.ndarray, offsets: np.ndarray) -> TextWords:
@@ -197,10 +200,11 @@ class WordIds:
         """``documents``, and the words."""
         words = text_words(data, offsets)
         spelled, begin = self.spell(words.distinct)
-        body, upto = _gather(spelled, begin[words.index], np.diff(begin)[words.index])
+        words.size = np.diff(begin)[words.index]
+        body, upto = _gather(spelled, begin[words.index], words.size)
         cuts = upto[words.first]
         raw, n = data.tobytes(), len(offsets) - 1
-        whole = {}
+        whole = words.special
         if any(s in raw for s in self.special):
             for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                 if any(raw.find(s, a, b) >= 0 for s in self.special):
@@ -212,13 +216,23 @@ class WordIds:
             body, cuts = np.insert(body, cuts[1:], end), cuts + np.arange(n + 1)
         return body, cuts, words
 
-    def first_lines(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """How many of each document's ids belong to its first line; 0 if nothing but blanks comes after it."""
-        raw, heads = data.tobytes(), []
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+    def first_lines(self, data: np.ndarray, offsets: np.ndarray, words: TextWords) -> np.ndarray:
+        """How many of each document's ids belong to its first line; 0 if nothing but blanks comes after it.
+
+        ``words`` are those of the same slice: a line's ids are its words' ids.
+        """
+        raw, out = data.tobytes(), np.zeros(len(offsets) - 1, dtype=np.int64)
+        upto = np.concatenate([[0], np.cumsum(words.size)])
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             end = raw.find(b"\n", a, b)
-            heads.append(raw[a:end] if end >= 0 and raw[end:b].strip() else b"")
-        return np.diff(self.documents(np.frombuffer(b"".join(heads), dtype=np.uint8), np.cumsum([0, *map(len, heads)]), None)[1])
+            if end < 0 or not raw[end:b].strip():
+                continue
+            if i in words.special:
+                out[i] = len(self.documents(data[a:end], np.array([0, end - a]), None)[0])
+            else:
+                at = words.first[i]
+                out[i] = upto[at + len(raw[a:end].split())] - upto[at]
+        return out
 
 
 _WORKER: dict[str, WordIds] = {}
@@ -373,14 +387,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
         for batch in batches:
             key_type = batch.schema.field(0).type
             for part, data, offsets in slices(batch):
-                ids, cuts = ids_of.documents(data, offsets, end_id)
+                ids, cuts, words = ids_of.with_words(data, offsets, end_id)
                 quiet = np.zeros(part.num_rows, dtype=np.int64)
                 if prompt_col is not None:
                     before = [(p or "").encode() for p in part.column(2).to_pylist()]
                     p_ids, p_cuts = ids_of.documents(np.frombuffer(b"".join(before), dtype=np.uint8), np.cumsum([0, *map(len, before)]), None)
                     quiet = np.diff(p_cuts)
                 if first_line_prompt:
-                    quiet = quiet + ids_of.first_lines(data, offsets)
+                    quiet = quiet + ids_of.first_lines(data, offsets, words)
                 full = []
                 for i, key in enumerate(part.column(0).to_pylist()):
                     own = ids[cuts[i] : cuts[i + 1]]

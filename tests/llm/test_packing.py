@@ -101,3 +101,17 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
         assert (ids_of.documents(data, offsets, 1)[0] == fresh.documents(data, offsets, 1)[0]).all()
         assert len(ids_of.place) <= 64 + 33 and len(ids_of.place) == len(ids_of.size) == len(ids_of.again)
         assert turn < 2 or ids_of.place[b"often"] <= 32
+
+
+def test_first_lines_take_no_second_spelling(spark, monkeypatch):
+    """A slice is spelled once: the ids of first lines are counted among those of the texts."""
+    ids_of, calls = packing.WordIds(TOKENIZER), []
+    spell = ids_of.spell
+    monkeypatch.setattr(ids_of, "spell", lambda words: (calls.append(len(words)), spell(words))[1])
+    texts = [b"a longer title\nand a body", b"one line only", b"a title\n  \n", b"", b"  \xc3\x89t\xc3\xa9, a1\nx\ny"]
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    words = ids_of.with_words(data, offsets, 1)[2]
+    got = ids_of.first_lines(data, offsets, words)
+    assert len(calls) == 1
+    want = [len(ids_of.plain.encode(t, add_special_tokens=False).ids) for t in ("a longer title", "", "", "", "été, a1")]
+    assert list(got) == want
