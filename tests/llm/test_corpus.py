@@ -428,3 +428,24 @@ def test_pipeline(spark, docs, tmp_path):
     gone = seen[2] - seen[3]
     assert 3 in gone and all(i == 3 or i >= 160 for i in gone) and seen[4] == seen[3] <= seen[2]
     assert {i for i in range(160) if i != 3} <= seen[4]
+
+
+def test_few_links_take_few_tasks(spark, monkeypatch):
+    """Steps over few links are written by one task however many shuffle partitions there are; more links take more."""
+    written, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (written.append(plain(df)), written[-1])[1])
+    monkeypatch.setattr(graph, "release", lambda *kept: None)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(held, ("16", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        links = spark.range(60).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 20 + (F.col("id") + 1) % 20).alias("b"))
+        for rows_a_task, most in ((50_000, 1), (40, 4)):
+            monkeypatch.setattr(graph, "TASK_LINKS", rows_a_task)
+            written.clear()
+            got = {r.id: r.label for r in graph.components(links).collect()}
+            assert got == {i: i - i % 20 for i in range(60)}
+            assert max(len(w.inputFiles()) for w in written) <= most and (most == 1 or max(len(w.inputFiles()) for w in written) > 1)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
