@@ -449,3 +449,20 @@ def test_few_links_take_few_tasks(spark, monkeypatch):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_texts_are_read_with_the_counts_of_common_words(spark):
+    """Only the counts of common words travel to the tasks; ids come from the tokenizer, rare words are left in the text's order."""
+    from tokenizers import Tokenizer
+
+    common = lm_scoring.Given(b"the\ncat.", np.array([9, 4]))
+    assert list(common.places([b"cat.", b"cat", b"the", b""])) == [1, -1, 0, -1]
+    texts = ["The cat. sat\n\ton the Été, the", "", None, "  zzz cat ", "the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    read = lm_scoring.read_texts(docs, spark.sparkContext.broadcast(common), TOKENIZER, 49_408, 100.0, id_col="doc_id", text_col="text", train=F.col("doc_id") < 2)
+    rows = {r.id: r for r in read.collect()}
+    assert [(rows[i].train, rows[i].n_words, rows[i].n_known, rows[i].rare) for i in range(5)] == [(True, 7, 4, "sat on Été,"), (True, 0, 0, ""), (False, 0, 0, ""), (False, 2, 0, "zzz cat"), (False, 1, 1, "")]
+    assert [rows[i].base for i in range(5)] == pytest.approx([3 * math.log10(0.1) + math.log10(0.05), 0, 0, 0, math.log10(0.1)])
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    for i, text in enumerate(texts):
+        assert list(np.frombuffer(rows[i].ids, dtype="<u2")) == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 49_408]
