@@ -8,8 +8,8 @@ its ids, by smoothed corpus counts (those of a class's slots given the slot befo
 So the probabilities of all ids sum to one, and an untrained network is the corpus's
 smoothed pair model.
 
-Inputs carry a last column of ones: it gives the projections a bias, and the values a
-column whose weighted sum is what the attention shares are divided by.
+Inputs carry a last column of ones, which gives the projections a bias; the projections'
+last column, one of ones, is not computed.
 
 Defined cases: a document without ids has no window; with counts of 0 alone all slots
 of a class are equally likely; exponents beyond a float32 are bounded.
@@ -35,6 +35,8 @@ START = SLOTS - 1
 #: Counts that a smoothed distribution lends from the wider one it falls back to.
 LENT = 20.0
 _W = WIDTH + 1
+#: Numbers of a place's query, key and value.
+_QKV = 3 * WIDTH
 _KEEP = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 SHAPES = {"emb": (SLOTS, _W), "pos": (WINDOW, _W), "qkv": (_W, 3 * WIDTH + 1), "out": (WIDTH, WIDTH), "cls": (WIDTH, CLASSES)}
 
@@ -142,28 +144,34 @@ class Work(dict):
         return self[name][:size].reshape(shape)
 
 
-def _forward(p, slots, work, clamp=False, skip=0):
-    """What each place holds; with ``skip``, results are for the places from there on only."""
-    b, places = len(slots), WINDOW - skip
-    x = np.take(p["emb"], slots, axis=0, out=work("x", b, WINDOW, _W), mode="clip")
-    x += p["pos"]
-    y = np.matmul(x.reshape(-1, _W), p["qkv"], out=work("y", b * WINDOW, 3 * WIDTH + 1)).reshape(b, WINDOW, -1)
-    k = work("k", b, WIDTH, WINDOW)
-    np.copyto(k, y[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1))
-    q, v = y[:, skip:, :WIDTH], y[:, :, 2 * WIDTH :]
-    a = np.matmul(q, k, out=work("a", b, places, WINDOW))
+def _attend(q, k, v, keep, work, clamp):
+    """Attention shares (window, place, place before) before they are divided, what they are multiplied by, and the mixtures of values."""
+    b, places = q.shape[:2]
+    a = np.matmul(q, k.transpose(0, 2, 1), out=work("a", b, places, WINDOW))
     if clamp:
         np.minimum(a, 60, out=a)
     np.exp(a, out=a)
-    a *= _KEEP[skip:]
-    both = np.matmul(a, v, out=work("both", b, places, _W))
-    mixed = np.divide(both[:, :, :WIDTH], both[:, :, WIDTH:], out=work("mixed", b, places, WIDTH))
-    h = np.matmul(mixed.reshape(-1, WIDTH), p["out"], out=work("h", b * places, WIDTH)).reshape(b, places, WIDTH)
-    h += x[:, skip:, :WIDTH]
-    return x, q, k, v, a, both, mixed, h
+    a *= keep
+    # once a number of each row, so that products run along memory
+    over = np.repeat(1 / (a.reshape(-1, WINDOW) @ _PLACES), WIDTH).reshape(b, places, WIDTH)
+    mixed = np.matmul(a, v, out=work("mixed", b, places, WIDTH))
+    mixed *= over
+    return a, over, mixed
+
+
+def _forward(p, slots, work, clamp=False):
+    b = len(slots)
+    x = np.take(p["emb"], slots, axis=0, out=work("x", b, WINDOW, _W), mode="clip")
+    x += p["pos"]
+    y = np.matmul(x.reshape(-1, _W), p["qkv"][:, :_QKV], out=work("y", b * WINDOW, _QKV)).reshape(b, WINDOW, _QKV)
+    q, k, v = y[:, :, :WIDTH], y[:, :, WIDTH : 2 * WIDTH], y[:, :, 2 * WIDTH :]
+    a, over, mixed = _attend(q, k, v, _KEEP, work, clamp)
+    h = np.matmul(mixed.reshape(-1, WIDTH), p["out"], out=work("h", b * WINDOW, WIDTH)).reshape(b, WINDOW, WIDTH)
+    h += x[:, :, :WIDTH]
+    return x, q, k, v, a, over, mixed, h
 
 
-_ONES = np.ones(CLASSES, dtype=np.float32)
+_ONES, _PLACES, _ROW = (np.ones(n, dtype=np.float32) for n in (CLASSES, WINDOW, WIDTH))
 
 
 def _logits(h, p, vocab, before, work, clamp=False):
@@ -172,15 +180,52 @@ def _logits(h, p, vocab, before, work, clamp=False):
     return np.minimum(z, 60, out=z) if clamp else z
 
 
-def log_class(p: dict[str, np.ndarray], vocab: Vocabulary, slots: np.ndarray, at: np.ndarray, target: np.ndarray, work: Work | None = None, skip: int = 0) -> np.ndarray:
-    """Log probability of each target class at the given flat places of (windows, WINDOW - ``skip``) slots, the first ``skip`` of each left out."""
+@dataclass
+class Folded:
+    """Parameters that no longer change, multiplied as far as no attention comes between."""
+
+    #: queries, keys and values of each slot, and what a place adds to them
+    slot: np.ndarray
+    place: np.ndarray
+    #: from what attention adds to a place to its classes
+    out: np.ndarray
+    #: (slot, class): prior and what the slot itself adds; (place, class): what the place adds
+    prior: np.ndarray
+    cls: np.ndarray
+
+
+def folded(p: dict[str, np.ndarray], vocab: Vocabulary) -> Folded:
+    emb, pos = p["emb"][:, :WIDTH], p["pos"][:, :WIDTH]
+    return Folded(p["emb"] @ p["qkv"][:, :_QKV], p["pos"] @ p["qkv"][:, :_QKV], p["out"] @ p["cls"], vocab.log_class + emb @ p["cls"], pos @ p["cls"])
+
+
+def _class_logits(f: Folded, slots, at, work, clamp, skip):
+    b, places = len(slots), WINDOW - skip
+    y = np.take(f.slot, slots, axis=0, out=work("y", b, WINDOW, _QKV), mode="clip")
+    y += f.place
+    mixed = _attend(y[:, skip:, :WIDTH], y[:, :, WIDTH : 2 * WIDTH], y[:, :, 2 * WIDTH :], _KEEP[skip:], work, clamp)[-1].reshape(-1, WIDTH)
+    before = slots[:, skip:].ravel()
+    if at is not None:
+        mixed, before = mixed.take(at, axis=0), before.take(at)
+    z = np.matmul(mixed, f.out, out=work("z", len(before), CLASSES))
+    z += np.take(f.prior, before, axis=0, out=work("prior", len(before), CLASSES), mode="clip")
+    if at is None:
+        of_place = z.reshape(b, places, CLASSES)
+        of_place += f.cls[skip:]
+    else:
+        z += f.cls[skip:].take(at % places, axis=0)
+    return np.minimum(z, 60, out=z) if clamp else z
+
+
+def log_class(p: dict[str, np.ndarray] | Folded, vocab: Vocabulary, slots: np.ndarray, at: np.ndarray, target: np.ndarray, work: Work | None = None, skip: int = 0) -> np.ndarray:
+    """Log probability of each target class at the given flat places, in order, of (windows, WINDOW - ``skip``) slots, the first ``skip`` of each left out."""
     work = Work() if work is None else work
-    before = slots[:, skip:].ravel().take(at)
+    f = p if isinstance(p, Folded) else folded(p, vocab)
+    some = at if len(at) < len(slots) * (WINDOW - skip) else None
     for clamp in (False, True):
         with np.errstate(over="ignore", invalid="ignore"):
-            h = np.take(_forward(p, slots, work, clamp, skip)[-1].reshape(-1, WIDTH), at, axis=0, out=work("picked", len(at), WIDTH), mode="clip")
-            z = _logits(h, p, vocab, before, work, clamp)
-            picked = z[np.arange(len(z)), target]
+            z = _class_logits(f, slots, some, work, clamp, skip)
+            picked = z.ravel().take(np.arange(0, z.size, CLASSES) + target)
             total = np.exp(z, out=z) @ _ONES
         # exponents too large for a float32 are the exception: only then are they bounded
         if np.isfinite(total).all():
@@ -191,13 +236,14 @@ def log_class(p: dict[str, np.ndarray], vocab: Vocabulary, slots: np.ndarray, at
 def gradients(p: dict[str, np.ndarray], vocab: Vocabulary, slots: np.ndarray, target: np.ndarray, valid: np.ndarray, work: Work | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over valid places and its gradient."""
     work = Work() if work is None else work
-    rows, ok, t = np.arange(slots.size), valid.ravel(), target.ravel()
+    flat, ok = slots.ravel().astype(np.intp), valid.ravel()
+    own = np.arange(0, len(flat) * CLASSES, CLASSES) + target.ravel()
     for clamp in (False, True):
         with np.errstate(over="ignore", invalid="ignore"):
-            x, q, k, v, a, both, mixed, h = _forward(p, slots, work, clamp)
-            flat = h.reshape(-1, WIDTH)
-            z = _logits(flat, p, vocab, slots.ravel(), work, clamp)
-            picked = z[rows, t]
+            x, q, k, v, a, over, mixed, h = _forward(p, slots, work, clamp)
+            h = h.reshape(-1, WIDTH)
+            z = _logits(h, p, vocab, flat, work, clamp)
+            picked = z.ravel().take(own)
             total = np.exp(z, out=z) @ _ONES
         if np.isfinite(total).all():
             break
@@ -205,32 +251,31 @@ def gradients(p: dict[str, np.ndarray], vocab: Vocabulary, slots: np.ndarray, ta
     loss = float((np.log(total) - picked)[ok].sum()) / n
     share = ok.astype(np.float32) / np.float32(n)
     z *= (share / total)[:, None]
-    z[rows, t] -= share
-    g = {"cls": (z.T @ flat).T}
-    dh = np.matmul(z, p["cls"].T, out=work("dh", len(z), WIDTH))
+    z.ravel()[own] = z.ravel().take(own) - share
+    g = {"cls": (z.T @ h).T}
+    # beside what comes back to queries, keys and values lies what comes back to the places themselves
+    dy = work("dy", *slots.shape, _QKV + WIDTH)
+    flat_dy = dy.reshape(-1, _QKV + WIDTH)
+    dh = np.matmul(z, p["cls"].T, out=flat_dy[:, _QKV:])
     g["out"] = mixed.reshape(-1, WIDTH).T @ dh
-    dmixed = np.matmul(dh, p["out"].T, out=work("dmixed", len(z), WIDTH)).reshape(h.shape)
-    # of the shares' numerators and, in the last column, of what they are divided by
-    dboth = work("dboth", *both.shape)
-    np.divide(dmixed, both[:, :, WIDTH:], out=dboth[:, :, :WIDTH])
-    np.multiply(dboth[:, :, :WIDTH], mixed, out=dmixed)
-    np.negative(dmixed.sum(axis=2), out=dboth[:, :, WIDTH])
-    vt = work("vt", len(x), _W, WINDOW)
-    np.copyto(vt, v.transpose(0, 2, 1))
-    ds = np.matmul(dboth, vt, out=work("ds", *a.shape))
+    dvalue = np.matmul(dh, p["out"].T, out=work("dvalue", len(flat), WIDTH)).reshape(mixed.shape)
+    dvalue *= over
+    # of what the shares are divided by
+    less = np.multiply(dvalue, mixed, out=mixed).reshape(-1, WIDTH) @ _ROW
+    ds = np.matmul(dvalue, v.transpose(0, 2, 1), out=work("prior", *a.shape))
+    ds -= less.reshape(*slots.shape, 1)
     ds *= a
-    dy = work("dy", len(x), WINDOW, 3 * WIDTH + 1)
-    np.matmul(ds, k.transpose(0, 2, 1), out=dy[:, :, :WIDTH])
+    np.matmul(ds, k, out=dy[:, :, :WIDTH])
     np.matmul(ds.transpose(0, 2, 1), q, out=dy[:, :, WIDTH : 2 * WIDTH])
-    np.matmul(a.transpose(0, 2, 1), dboth, out=dy[:, :, 2 * WIDTH :])
-    flat_dy = dy.reshape(-1, 3 * WIDTH + 1)
-    g["qkv"] = (flat_dy.T @ x.reshape(-1, _W)).T
-    dx = np.matmul(flat_dy, p["qkv"].T, out=work("dx", len(z), _W))
-    dx[:, :WIDTH] += dh
-    g["pos"] = dx.reshape(x.shape).sum(axis=0)
-    place = (slots.ravel().astype(np.int64) * _W)[:, None] + np.arange(_W)
-    g["emb"] = np.bincount(place.ravel(), dx.ravel(), minlength=SLOTS * _W).reshape(SLOTS, _W).astype(np.float32)
-    g["emb"][:, WIDTH], g["pos"][:, WIDTH], g["qkv"][:, -1] = 0, 0, 0
+    np.matmul(a.transpose(0, 2, 1), dvalue, out=dy[:, :, 2 * WIDTH : _QKV])
+    g["qkv"] = np.zeros(SHAPES["qkv"], dtype=np.float32)
+    g["qkv"][:, :_QKV] = (flat_dy[:, :_QKV].T @ x.reshape(-1, _W)).T
+    back = np.concatenate([p["qkv"][:WIDTH, :_QKV].T, np.eye(WIDTH, dtype=np.float32)])
+    dx = np.matmul(flat_dy, back, out=work("dx", len(flat), WIDTH))
+    g["pos"], g["emb"] = np.zeros(SHAPES["pos"], dtype=np.float32), np.zeros(SHAPES["emb"], dtype=np.float32)
+    g["pos"][:, :WIDTH] = dx.reshape(*slots.shape, WIDTH).sum(axis=0)
+    for i in range(WIDTH):
+        g["emb"][:, i] = np.bincount(flat, dx[:, i], minlength=SLOTS)
     return loss, g
 
 

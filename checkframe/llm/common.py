@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import slices
+from .arrays import SLICE_BYTES, slices
 
 #: Rows up to which a (doc_id, label) side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
@@ -39,12 +39,12 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), lambda crc, b: list_reduce(range(8), lambda v, i: xor(v >> 1, (v & 1) * 3988292384), xor(crc, b)), 4294967295::BIGINT), 4294967295)"
 
 
-def per_slice(step: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch | pa.Table | None], column: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function that applies ``step(rows, bytes, offsets)`` to bounded runs of rows."""
+def per_slice(step: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch | pa.Table | None], column: str = "text", limit: int = SLICE_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A ``mapInArrow`` function that applies ``step(rows, bytes, offsets)`` to runs of rows of at most ``limit`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch, column):
+            for rows, data, offsets in slices(batch, column, limit):
                 out = step(rows, data, offsets)
                 if out is not None:
                     yield out

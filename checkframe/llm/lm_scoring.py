@@ -20,8 +20,6 @@ gives an empty result.  Other columns of the input are not read.
 
 from __future__ import annotations
 
-import itertools
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention as net
-from .arrays import slices, sums
+from .arrays import slices
 from .common import crc32_sql, per_slice, small_batches
-from .packing import listed, word_ids
+from .packing import text_words, word_ids
 from .storage import cut
 
 #: So many words at most travel to the tasks.
@@ -44,33 +42,45 @@ ROUNDS, RATE, BATCH = 3, 0.02, 256
 BLOCK = 192
 #: Rows of an Arrow batch of counts.
 COUNT_ROWS = 1 << 18
-#: Distinct words that a task counts before it hands the counts on.
-COUNTED_WORDS = 250_000
+#: Text whose words are told apart at once: the more, the fewer words come again in the next slice.
+READ_BYTES = 8 << 20
+#: Words of slices that a task adds up before it hands the counts on.
+COUNTED_WORDS = 1_000_000
 
 
 def word_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c) over all training rows, the end of text left out."""
 
-    def count(batches):
-        seen: Counter[bytes] = Counter()
+    def counted(data, offsets):
+        words = text_words(data, offsets)
+        n = np.bincount(words.index, minlength=len(words.distinct))
+        # blanks at an end of a text leave an empty word, which no place has
+        return pa.table({"word": words.distinct.cast(pa.large_binary()), "c": n}).filter(pa.array(n > 0))
 
-        def found():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string(), safe=False), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+    def added(held):
+        out = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+        for batch in out.to_batches(max_chunksize=COUNT_ROWS):
+            yield pa.RecordBatch.from_arrays([_string(batch.column("word")), batch.column("c_sum")], names=["word", "c"])
 
+    def count(batches):
+        held: list[pa.Table] = []
         for batch in batches:
-            for _, data, offsets in slices(batch):
-                raw = data.tobytes()
-                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                    seen.update(raw[a:b].lower().split())
-                if len(seen) > COUNTED_WORDS:
-                    yield found()
-                    seen.clear()
-        if seen:
-            yield found()
+            for _, data, offsets in slices(batch, limit=READ_BYTES):
+                held.append(counted(data, offsets))
+                if sum(map(len, held)) > COUNTED_WORDS:
+                    yield from added(held)
+                    held = []
+        if held:
+            yield from added(held)
 
     return train.select(F.col(text_col).alias("text")).transform(small_batches).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _string(words: pa.Array) -> pa.Array:
+    """Words of a large array as they are, valid UTF-8 or not."""
+    return words.cast(pa.large_binary()).cast(pa.binary()).cast(pa.string(), safe=False)
+
+
 @dataclass
 class Given:
     """Words (one text, parted by newlines, which no word holds) and their counts."""
@@ -78,11 +88,12 @@ class Given:
     text: bytes
     counts: np.ndarray
 
-    def places(self, words: list[bytes]) -> np.ndarray:
+    def places(self, words: pa.Array | list[bytes]) -> np.ndarray:
         """Place of each word; -1 for others."""
-        if not hasattr(self, "_place"):
-            self._place = dict(zip(self.text.split(b"\n"), range(len(self.counts)))) if len(self.counts) else {}
-        return np.fromiter(map(self._place.get, words, itertools.repeat(-1)), np.int64, len(words))
+        if not hasattr(self, "_words"):
+            self._words = pa.array(self.text.split(b"\n") if len(self.counts) else [], pa.large_binary())
+        words = words.cast(pa.large_binary()) if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())
+        return pc.fill_null(pc.index_in(words, self._words), -1).to_numpy(zero_copy_only=False)
 
 
 def common_words(counts: DataFrame, most: int = COMMON_WORDS) -> Given:
@@ -117,19 +128,20 @@ def read_texts(docs: DataFrame, common: Broadcast, tokenizer_path: str, end_id:
     def step(rows, data, offsets):
         ids, cuts, words = word_ids(tokenizer_path).with_words(data, offsets, end_id)
         packed = ids.astype(net.ID).view(np.uint8)
-        place = common.value.places(listed(words.distinct))
+        place = common.value.places(words.distinct)
         share = np.zeros(len(place))
         share[place >= 0] = np.log10((common.value.counts[place[place >= 0]] + 1) / floor)
         known = (place >= 0)[words.index]
         unknown = np.flatnonzero(~known)
+        # each text is summed on its own, so that a sum is as exact in a large slice as in a small one
+        doc = np.repeat(np.arange(len(rows)), np.diff(words.first))
         each = words.distinct.cast(pa.large_binary()).take(pa.array(words.index[unknown]))
         rare = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.searchsorted(unknown, words.first)), each), pa.scalar(b" ", pa.large_binary()))
-        rare = [x.decode("utf-8", "replace") for x in rare.to_pylist()]
         ids = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(cuts * net.ID.itemsize), pa.py_buffer(packed)]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(words.first)), pa.array(sums(known, words.first).astype(np.int64)), pa.array(sums(share[words.index], words.first)), pa.array(rare, pa.string()), ids], names=["id", "train", "n_words", "n_known", "base", "rare", "ids"])
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(words.first)), pa.array(np.bincount(doc[known], minlength=len(rows))), pa.array(np.bincount(doc, share[words.index], minlength=len(rows)), pa.float64()), _string(rare), ids], names=["id", "train", "n_words", "n_known", "base", "rare", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    return rows.transform(small_batches).mapInArrow(per_slice(step), f"id {kind}, train boolean, n_words long, n_known long, base double, rare string, ids binary")
+    return rows.transform(small_batches).mapInArrow(per_slice(step, limit=READ_BYTES), f"id {kind}, train boolean, n_words long, n_known long, base double, rare string, ids binary")
 
 
 def _ids_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,17 +231,19 @@ def train_network(read: DataFrame, vocab: net.Vocabulary, *, rounds: int = ROUND
 
 def log_probability(ids: np.ndarray, cuts: np.ndarray, params: dict[str, np.ndarray], vocab: net.Vocabulary) -> np.ndarray:
     """Natural log probability of each document's ids."""
-    w, work = net.windows(ids, cuts, vocab), net.Work()
+    w, work, fixed = net.windows(ids, cuts, vocab), net.Work(), net.folded(params, vocab)
     out = np.zeros(len(cuts) - 1)
     for later in (False, True):
         own, skip = np.flatnonzero(w.later == later), (net.WINDOW - net.STRIDE) * later
+        # full windows first: of those no place has to be picked
+        own = own[np.argsort(~w.valid[own, -1], kind="stable")]
         for i in range(0, len(own), BLOCK):
             some = own[i : i + BLOCK]
             slots = w.slots[some]
             at = np.flatnonzero(w.scored[some, skip:])
             target = w.target[some, skip:].ravel()[at]
             slot = vocab.slot[target]
-            got = net.log_class(params, vocab, slots, at, vocab.cls[slot], work, skip) + vocab.log_slot[slots[:, skip:].ravel()[at], slot] + vocab.log_share[target]
+            got = net.log_class(fixed, vocab, slots, at, vocab.cls[slot], work, skip) + vocab.log_slot[slots[:, skip:].ravel()[at], slot] + vocab.log_share[target]
             out += np.bincount(w.doc[some[at // (net.WINDOW - skip)]], got, minlength=len(out))
     return out
 
@@ -261,7 +275,8 @@ def lm_scores(docs: DataFrame, train: Column, tokenizer_path: str, vocabulary_si
     scored = kept.transform(small_batches).mapInArrow(per_slice(step, "ids"), f"row long, id {read.schema['id'].dataType.simpleString()}, n_words long, n_known long, base double, score double")
     tokens = read.where("rare <> ''").select("row", F.explode(F.split("rare", " ")).alias("word"))
     c = F.coalesce("c", F.lit(0))
-    rare = tokens.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10((c + 1) / F.lit(float(floor)))).alias("rare_base"), F.sum((c > 0).cast("int")).alias("rare_known"))
+    # each word has one count: a task's share of them is hashed, and its tokens need no order
+    rare = tokens.join(counts.hint("shuffle_hash"), "word", "left").groupBy("row").agg(F.sum(F.log10((c + 1) / F.lit(float(floor)))).alias("rare_base"), F.sum((c > 0).cast("int")).alias("rare_known"))
     end_score = float(np.log10((n_docs + 1) / floor))
     base_score = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + F.lit(end_score)
     return scored.join(rare, "row", "left").select(

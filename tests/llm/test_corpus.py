@@ -466,3 +466,42 @@ def test_texts_are_read_with_the_counts_of_common_words(spark):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     for i, text in enumerate(texts):
         assert list(np.frombuffer(rows[i].ids, dtype="<u2")) == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 49_408]
+
+
+def test_a_text_is_summed_as_exactly_behind_a_long_one(spark):
+    """Texts are read in large slices; a text's base sum owes nothing to the texts before it."""
+    common = lm_scoring.Given(b"the\ncat.", np.array([9, 4]))
+    texts = ["the cat. " * 150_000, "the cat. the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    read = lm_scoring.read_texts(docs, spark.sparkContext.broadcast(common), TOKENIZER, 49_408, 70.0, id_col="doc_id", text_col="text", train=F.lit(True))
+    rows = {r.id: (r.n_words, r.n_known, r.base) for r in read.select("id", "n_words", "n_known", "base").collect()}
+    assert rows[0][:2] == (300_000, 300_000) and rows[1][:2] == (3, 3)
+    assert rows[1][2] == pytest.approx(2 * math.log10(10 / 70) + math.log10(5 / 70), abs=1e-14)
+
+
+def test_fixed_parameters_are_multiplied_once_a_slice(monkeypatch):
+    """Scoring looks up what slots and places give to queries, keys, values and classes; it agrees with the forward pass of training."""
+    from checkframe.llm import attention as net
+
+    rng = np.random.default_rng(8)
+    vocab = small_vocabulary(rng)
+    p = net.initial()
+    p["cls"][:] = rng.normal(size=p["cls"].shape) / 4
+    w = net.windows(rng.integers(0, 5000, size=3000), np.array([0, 2900, 2907, 2907, 3000]), vocab, net.WINDOW)
+    target, at = vocab.cls[vocab.slot[w.target]], np.flatnonzero(w.valid)
+    loss = -float(net.log_class(p, vocab, w.slots, at, target.ravel()[at]).mean())
+    assert loss == pytest.approx(net.gradients(p, vocab, w.slots, target, w.valid)[0], rel=1e-5)
+    made, fold = [], net.folded
+    monkeypatch.setattr(net, "folded", lambda *given: (made.append(1), fold(*given))[1])
+    monkeypatch.setattr(lm_scoring, "BLOCK", 16)
+    lm_scoring.log_probability(rng.integers(0, 5000, size=3000), np.array([0, 2900, 2907, 2907, 3000]), p, vocab)
+    assert made == [1]
+
+
+def test_words_of_all_training_texts_are_counted(spark):
+    """Blanks, null and empty texts hold no word; A-Z alone is lower-cased."""
+    texts = [" The\tcat \n", None, "", "cat the Éé  x", "the"] * 40
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = collections.Counter(x for t in texts for x in words(t))
+    assert {r.word.encode(): r.c for r in lm_scoring.word_counts(docs).collect()} == want
+    assert lm_scoring.word_counts(docs.where("text is null")).count() == 0
