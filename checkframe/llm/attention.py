@@ -145,17 +145,17 @@ class Work(dict):
 
 
 def _attend(q, k, v, keep, work, clamp):
-    """Attention shares (window, place, place before) before they are divided, what they are multiplied by, and the mixtures of values."""
+    """Attention shares (window, place, place before) before they are divided, what they are divided by, and the mixtures of values."""
     b, places = q.shape[:2]
     a = np.matmul(q, k.transpose(0, 2, 1), out=work("a", b, places, WINDOW))
     if clamp:
         np.minimum(a, 60, out=a)
     np.exp(a, out=a)
     a *= keep
-    # once a number of each row, so that products run along memory
-    over = np.repeat(1 / (a.reshape(-1, WINDOW) @ _PLACES), WIDTH).reshape(b, places, WIDTH)
+    # once a number of each row, so that quotients run along memory; its reciprocal may be too large for a float32
+    over = np.repeat(a.reshape(-1, WINDOW) @ _PLACES, WIDTH).reshape(b, places, WIDTH)
     mixed = np.matmul(a, v, out=work("mixed", b, places, WIDTH))
-    mixed *= over
+    mixed /= over
     return a, over, mixed
 
 
@@ -259,7 +259,7 @@ def gradients(p: dict[str, np.ndarray], vocab: Vocabulary, slots: np.ndarray, ta
     dh = np.matmul(z, p["cls"].T, out=flat_dy[:, _QKV:])
     g["out"] = mixed.reshape(-1, WIDTH).T @ dh
     dvalue = np.matmul(dh, p["out"].T, out=work("dvalue", len(flat), WIDTH)).reshape(mixed.shape)
-    dvalue *= over
+    dvalue /= over
     # of what the shares are divided by
     less = np.multiply(dvalue, mixed, out=mixed).reshape(-1, WIDTH) @ _ROW
     ds = np.matmul(dvalue, v.transpose(0, 2, 1), out=work("prior", *a.shape))

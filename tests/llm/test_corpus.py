@@ -505,3 +505,13 @@ def test_words_of_all_training_texts_are_counted(spark):
     want = collections.Counter(x for t in texts for x in words(t))
     assert {r.word.encode(): r.c for r in lm_scoring.word_counts(docs).collect()} == want
     assert lm_scoring.word_counts(docs.where("text is null")).count() == 0
+
+
+def test_shares_of_very_low_scores_stay_finite():
+    """What shares are divided by may be so small that its reciprocal is beyond a float32."""
+    from checkframe.llm import attention as net
+
+    q, k = (np.full((1, net.WINDOW, net.WIDTH), x, dtype=np.float32) for x in (-95 / net.WIDTH, 1))
+    v = np.arange(net.WINDOW * net.WIDTH, dtype=np.float32).reshape(1, net.WINDOW, net.WIDTH)
+    mixed = net._attend(q, k, v, net._KEEP, net.Work(), False)[-1]
+    assert mixed[0] == pytest.approx(np.cumsum(v[0], axis=0) / np.arange(1, net.WINDOW + 1)[:, None], rel=1e-2)
